@@ -88,7 +88,8 @@ class Words:
     first: np.ndarray
 
 
-def words(t: Texts, breaks: np.ndarray = SPACES) -> Words:
+def words(t: Texts, breaks: np.ndarray = SPACES, cut: np.ndarray | None = None) -> Words:
+    """cut: positions at which a word ends and another begins."""
     n = len(t.buf)
     if not n:
         none = np.zeros(0, np.int64)
@@ -103,6 +104,9 @@ def words(t: Texts, breaks: np.ndarray = SPACES) -> Words:
     edge = t.off[1:-1]
     before[edge[edge < n]] = False
     after[edge[edge > 0] - 1] = False
+    if cut is not None:
+        before[cut] = False
+        after[cut - 1] = False
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     power, inverse = powers(n + 1)
