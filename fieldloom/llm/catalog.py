@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, decontam, packing, pii
+from fieldloom.llm import chat, decontam, lines, packing, pii
 from fieldloom.plans.tables import table
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -30,6 +34,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lines": op2_lines,
     "op3_pii": op3_pii,
     "op4_chat": op4_chat,
     "op8_decontamination": op8_decontamination,
@@ -37,5 +42,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_lines": lines.REPORT_SQL,
     "op4_chat": chat.DIGESTS_SQL,
 }
