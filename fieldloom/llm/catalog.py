@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, decontam, lines, neardup, packing, pii
+from fieldloom.llm import chat, decontam, langid, lines, neardup, packing, pii
 from fieldloom.plans.tables import table
 
 
@@ -29,6 +29,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lines": op2_lines,
     "op3_pii": op3_pii,
     "op4_chat": op4_chat,
+    "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
     "op10_packing": op10_packing,
 }
