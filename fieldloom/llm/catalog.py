@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, decontam, langid, lines, neardup, packing, pii
+from fieldloom.llm import chat, decontam, langid, lines, neardup, packing, pii, suffixes
 from fieldloom.plans.tables import table
 
 
@@ -37,6 +37,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_language": op5_language,
     "op8_decontamination": op8_decontamination,
+    "op9_repeated_bytes": op9_repeated_bytes,
     "op10_packing": op10_packing,
 }
 
