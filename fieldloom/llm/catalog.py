@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, decontam, langid, lines, neardup, packing, pii, suffixes
+from fieldloom.llm import chat, decontam, langid, lines, neardup, packing, pii, sketches, suffixes
 from fieldloom.plans.tables import table
 
 
@@ -33,6 +33,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_chat": op4_chat,
     "op5_language": op5_language,
+    "op6_fingerprints": op6_fingerprints,
     "op8_decontamination": op8_decontamination,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_packing": op10_packing,
