@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, decontam, langid, lines, neardup, packing, pii, sketches, suffixes
+from fieldloom.llm import chat, decontam, langid, lines, lmscore, neardup, packing, pii, sketches, suffixes
 from fieldloom.plans.tables import table
 
 
@@ -37,6 +37,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat": op4_chat,
     "op5_language": op5_language,
     "op6_fingerprints": op6_fingerprints,
+    "op7_lm_scores": op7_lm_scores,
     "op8_decontamination": op8_decontamination,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_packing": op10_packing,
