@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path[:0] = [ROOT, f"{ROOT}/tests/llm"]
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get("PYTHONPATH", "")}"
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
