@@ -1,4 +1,7 @@
-"""The reference-side queries by name, and the DuckDB SQL that checks them."""
+"""The queries by name, and the DuckDB SQL that checks them.
+
+Link measurements are read from `events` (a user is a receiver, time is the frame order, value the measurement),
+objects from `part` and `lineitem`, points from the first components of `embeddings`."""
 
 from __future__ import annotations
 
@@ -6,5 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from fieldloom.plans import documents, geometry, joins, links, statistics
+
+Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (links, joins, statistics, geometry, documents)
+
+QUERIES: dict[str, Query] = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.SQL.items()}
