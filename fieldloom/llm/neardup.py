@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.batches import U, mix64, shingles, texts, words
@@ -88,8 +88,8 @@ def _set_hash(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _full_sets(found: DataFrame) -> DataFrame:
-    """(node, shingles binary) of rows (node, text): the sorted distinct shingle hashes, where they are those
-    of the class `node`."""
+    """(node, shingles) of rows (node, text): the sorted distinct shingle hashes, where they are those of the
+    class `node`."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,37 +98,35 @@ def _full_sets(found: DataFrame) -> DataFrame:
                 values, first = _distinct(*shingles(words(t), SHINGLE_WORDS))
                 full = np.flatnonzero(np.diff(first))
                 own = full[_set_hash(values, first[full]) == nodes[t.first + full]]
-                raw = [values[first[i] : first[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[t.first + own], pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
+                lists = pa.ListArray.from_arrays(first.astype(np.int32), values.view(np.int64)).take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[t.first + own], pa.int64()), lists], names=["node", "shingles"])
 
-    return found.select("node", "text").mapInArrow(sets, "node long, shingles binary")
+    return found.select("node", "text").mapInArrow(sets, "node long, shingles array<long>")
 
 
-def _is_link(a: bytes, b: bytes, threshold: int) -> bool:
-    x, y = np.frombuffer(a, U), np.frombuffer(b, U)
-    if 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
-        return False
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate([x, y])
     both.sort(kind="stable")
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= threshold * (len(x) + len(y) - common)
+    return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. A document in many pairs as b is dealt out: its set
-    goes to one task for every SALT_ROWS pairs."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, overlap, n_a, n_b) of the pairs (a, b), from their full sets. A class that is b of many pairs is dealt out:
+    its set goes to one task for every SALT_ROWS pairs."""
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("parts"))
-    right = sets.join(many, sets["node"] == many["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("set_b"), "parts")
+    right = sets.join(many, sets["node"] == many["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("set_b"))
     left = pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     left = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = left.join(right.drop("parts"), ["b", "part"]).select("a", "b", "set_a", "set_b")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [_is_link(x.as_py(), y.as_py(), threshold) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], names=["a", "b"])
+            sides = [(batch.column(c).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(c).value_lengths().to_numpy())])) for c in ("set_a", "set_b")]
+            (x, at), (y, to) = sides
+            found = [_overlap(x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]) for i in range(batch.num_rows)]
+            columns = [batch.column("a"), batch.column("b"), pa.array(found, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(np.diff(to), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "overlap", "n_a", "n_b"])
 
-    return both.mapInArrow(check, "a long, b long")
+    return left.join(right, ["b", "part"]).select("a", "b", "set_a", "set_b").mapInArrow(count, "a long, b long, overlap long, n_a long, n_b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -178,31 +176,53 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     are one document that has the links of each; a row with a null doc_id links nothing, its component_id is
     null and it is kept. No rows give no rows; other columns are not looked at.
 
-    Equal sets are one class, told apart by a hash of the set. In every band bucket first each class is
-    paired with the bucket's smallest; then, in buckets that still hold several components, the classes of
-    different components are paired. Pairs are sifted by their minima before their full sets are compared.
+    Equal sets are one class, told apart by a hash of the set. In every band bucket first each class is paired
+    with one, the centre: that with the smallest share of shingles that no other candidate class has, the likely
+    origin of a group of copies. In buckets that then still hold several components the classes of different
+    components are paired, but for those pairs whose overlap cannot reach the threshold: it is at most what both
+    share with the centre, and what both share with any class outside it. The rest is sifted by minima before
+    full sets are compared.
     """
     sketches = staged(shingle_sets(docs), "sketches")
     usable = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     members = usable.select(F.col("set_hash").alias("c"), F.explode("bands").alias("key")).distinct()
-    smallest = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key", "low")
-    shared = staged(members.join(smallest, "key"), "buckets")
-    wanted = shared.select(F.col("c").alias("node")).distinct()
-    minima = staged(usable.select(F.col("set_hash").alias("node"), "minima").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("minima").alias("minima")), "minima")
+    several = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    shared = staged(members.join(several, "key"), "buckets")
     classes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("first_doc"))
-    sets = _class_sets(docs, classes, wanted)
+    sets = _class_sets(docs, classes, shared.select(F.col("c").alias("node")).distinct())
+    sizes = _sizes(sets)
+    sized = shared.join(sizes.withColumnRenamed("node", "c"), "c").select("key", "c", "n", "common")
+
+    def reaches(overlap: Column, a: str, b: str) -> Column:
+        """Whether sets of sizes n_a and n_b with so many common shingles are linked."""
+        return overlap * (100 + threshold) >= (F.col(a) + F.col(b)) * threshold
 
-    def links_of(pairs: DataFrame, name: str) -> DataFrame:
-        likely = staged(_agreeing(pairs.distinct(), minima, LEAST_AGREE, BANDS * ROWS), f"{name}-likely")
-        return staged(confirmed(likely, sets, threshold), f"{name}-links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return pairs.where(reaches(F.col("overlap"), "n_a", "n_b")).select("a", "b")
 
-    links = links_of(shared.where("c <> low").select(F.col("c").alias("a"), F.col("low").alias("b")), "star")
+    middle = F.min(F.struct((1 - F.col("common") / F.col("n")).alias("alone"), "c"))
+    centred = staged(sized.join(sized.groupBy("key").agg(middle["c"].alias("centre")), "key"), "centred")
+    star = staged(overlaps(centred.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct(), sets), "star-overlaps")
+    links = staged(linked(star), "star-links")
     found = components(links).withColumnRenamed("node", "c")
-    labelled = shared.join(found, "c", "left").select("key", "c", F.coalesce("component", "c").alias("label"))
+    # a class with too few common shingles for any size of partner has no links
+    alive = centred.where(F.col("common") * 100 >= F.col("n") * threshold)
+    labelled = alive.join(found, "c", "left").select("key", "c", "centre", "n", "common", F.coalesce("component", "c").alias("label"))
     unsettled = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = staged(labelled.join(unsettled, "key"), "unsettled")
-    other = rest.select("key", F.col("c").alias("b"), F.col("label").alias("label_b"))
-    more = links_of(rest.withColumnRenamed("c", "a").join(other, "key").where("label < label_b").select("a", "b"), "across")
+    rest = labelled.join(unsettled, "key").join(star.select(F.col("a").alias("c"), F.col("b").alias("centre"), "overlap"), ["c", "centre"], "left")
+    near = F.coalesce("overlap", "n")
+    rest = staged(rest.select("key", "c", "n", "label", near.alias("near"), F.greatest(F.col("common") - near, F.lit(0)).alias("far")), "unsettled")
+    # a pair that shares several buckets is taken in the one with the smallest key
+    keys = rest.groupBy("c").agg(F.collect_set("key").alias("keys"))
+    left, right = (rest.join(keys, "c").select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("c", "n", "label", "near", "far", "keys")]) for side in "ab")
+    most = F.least("near_a", "near_b") + F.least("far_a", "far_b")
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & reaches(most, "n_a", "n_b") & once)
+    across = staged(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), "across")
+    minima = usable.select(F.col("set_hash").alias("node"), "minima").join(across.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    minima = staged(minima.groupBy("node").agg(F.first("minima").alias("minima")), "minima")
+    likely = staged(_agreeing(across, minima, LEAST_AGREE, BANDS * ROWS), "across-likely")
+    more = staged(linked(overlaps(likely, sets)), "across-links")
     # from classes to documents: each document is linked with its class's first, and those as their classes are
     first_a, first_b = classes.toDF("a", "doc_a"), classes.toDF("b", "doc_b")
     between = links.unionAll(more).join(first_a, "a").join(first_b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
@@ -213,6 +233,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _sizes(sets: DataFrame) -> DataFrame:
+    """(node, n, common): the size of each set, and how many of its shingles another of the sets has."""
+    alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = sets.select("node", F.size("shingles").cast("long").alias("n")).distinct()
+    return staged(sizes.join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common")), "sizes")
+
+
 def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted classes, from the text of each one's first document."""
     first = classes.withColumnRenamed("set_hash", "node").join(wanted, "node", "left_semi")
