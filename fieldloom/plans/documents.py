@@ -14,7 +14,7 @@ QUERIES, SQL = query.queries, query.sql
 
 
 @query(
-    """SELECT o_orderkey, l_linenumber, (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS visual_index, l_partkey, l_quantity
+    """SELECT o_orderkey, l_linenumber, (row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INT AS visual_index, l_partkey, l_quantity
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 )
 def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:

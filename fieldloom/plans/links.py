@@ -190,3 +190,44 @@ def distinct_value_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").where("user_id < 20")
     users = F.array_join(F.sort_array(F.collect_set(F.col("user_id").cast("string"))), ",")
     return events.groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("user_id").alias("n_users"), users.alias("users"))
+
+
+@query()
+def balanced_logistic_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents from their length and language, against the majority baseline."""
+    from fieldloom.operators.ablation import ablation
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("geom_chars"), F.size(F.split("text", "\n")).alias("geom_lines"), (F.col("lang") == "en").cast("int").alias("sem_en"))
+    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    out = ablation(rows, ["geometry_only", "geometry_semantic"], "quality")
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+_ROLES = ("user", "assistant")
+
+
+@query(
+    """WITH t AS (
+        SELECT conv_id AS model, turn AS position, role AS link,
+            row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS sample_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, count(*) OVER (PARTITION BY conv_id) AS size
+        FROM conversations WHERE role <> 'system'
+    ), g AS (SELECT *, min(CASE WHEN sample_index <> n // 2 THEN n END) OVER (PARTITION BY model) AS first_bad FROM t)
+    SELECT model::VARCHAR AS model, sample_index::BIGINT AS sample_index, position, link FROM g
+    WHERE n // 2 * 2 + 2 <= least(coalesce(first_bad, size), size)"""
+)
+def stream_sample_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed samples before anything is wrong with their model, from a stream of turns."""
+    from fieldloom.plans.streams import conversation_samples
+
+    return conversation_samples(spark, sf_dir, _ROLES)
+
+
+@query(
+    """WITH l AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events)
+    SELECT user_id::VARCHAR AS receiver, event_id AS frame, round(value - prev, 6) AS delta_value, (value <> prev)::INT AS y_change, (value < prev)::INT AS y_drop FROM l WHERE prev IS NOT NULL"""
+)
+def stream_lag_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.plans.streams import event_labels
+
+    out = event_labels(spark, sf_dir)
+    return out.select("receiver", "frame", F.round("delta_value", 6).alias("delta_value"), "y_change", "y_drop")
