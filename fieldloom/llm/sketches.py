@@ -33,20 +33,18 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, np.log(np.maximum(gamma(), np.float32(1e-30))), rng.random(shape, np.float32)
 
 
-def _keys(terms: np.ndarray, log_weight: np.ndarray | float) -> np.ndarray:
-    """ln a of each term and sample, as an integer that sorts alike, with a hash of (term, t) below."""
+def _log_a(terms: np.ndarray, log_weight: np.ndarray | float) -> np.ndarray:
+    """ln a of each term and sample. It depends on the term and the weight's step t alone, so the least value of a
+    text also tells which term and step it came from."""
     r, log_c, shift = (x[terms] for x in _draws())
-    t = np.floor(log_weight / r + shift)
-    bits = (log_c - r * (t - shift) - r).astype(np.float32).view(np.uint32)
-    order = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(U)
-    what = (terms.astype(U)[:, None] * U(0x9E3779B97F4A7C15)) ^ ((t.astype(np.int64).view(U) + U(1)) * U(0xC2B2AE3D27D4EB4F))
-    return (order << U(32)) | (what * U(0xD6E8FEB86659FD93) >> U(32))
+    t = np.floor(np.float32(log_weight) / r + shift)
+    return log_c - r * (t - shift) - r
 
 
 @lru_cache(maxsize=1)
 def _single() -> np.ndarray:
-    """The keys of every term that occurs once."""
-    return np.concatenate([_keys(np.arange(a, a + 4096), 0.0) for a in range(0, 1 << TERM_BITS, 4096)])
+    """ln a of every term that occurs once."""
+    return np.concatenate([_log_a(np.arange(a, a + 4096), 0.0) for a in range(0, 1 << TERM_BITS, 4096)])
 
 
 def weighted_terms(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,13 +62,13 @@ def fingerprints(t: Texts) -> np.ndarray:
     terms, counts, first = weighted_terms(t)
     full = np.flatnonzero(np.diff(first))
     if len(full):
-        keys = _single()[terms]
+        values = _single()[terms]
         many = np.flatnonzero(counts > 1)
         for a in range(0, len(many), 2048):
             at = many[a : a + 2048]
-            keys[at] = _keys(terms[at], np.log(counts[at]).astype(np.float32)[:, None])
-        low = np.minimum.reduceat(keys, first[full], axis=0)
-        out[full] = np.minimum(low & U(0xFFFF), U(EMPTY - 1))
+            values[at] = _log_a(terms[at], np.log(counts[at]).astype(np.float32)[:, None])
+        least = np.array([values[first[i] : first[i + 1]].min(axis=0) for i in full]).view(np.uint32)
+        out[full] = np.minimum((least * np.uint32(0x9E3779B1)) >> np.uint32(16), np.uint32(EMPTY - 1))
     return out
 
 
