@@ -130,3 +130,51 @@ def scoped_paths(df: DataFrame, name: str, parent: str, depth: int = 16) -> Data
             break
         found = found.unionAll(level)
     return found
+
+
+def with_group_results(groups: DataFrame, results: DataFrame) -> DataFrame:
+    """Each requested group with its merged mesh; a group without a result is an error. results: material_class and
+    whatever the merge gave."""
+    found = groups.join(results.withColumn("__found", F.lit(True)), "material_class", "left")
+    checked = F.when(F.col("__found"), F.col("material_class")).otherwise(F.raise_error(F.concat(F.lit("no merge result for "), F.col("material_class"))).cast("string"))
+    return found.withColumn("material_class", checked).drop("__found")
+
+
+def corrected(entries: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Adds correction, the 4 by 4 transform inside an asset: those named turn by a right angle about x, from their
+    own up axis to the world's."""
+    turn = nested(pose_affine((0.0, 0.0, 0.0, -1.5707963267948966, 0.0, 0.0)))
+    same = nested(pose_affine((0.0, 0.0, 0.0, 0.0, 0.0, 0.0)))
+    return entries.withColumn("correction", F.when(F.col("mesh_path").isin(*paths), turn).otherwise(same))
+
+
+def resolved_paths(rows: DataFrame, column: str, listing: DataFrame, root: str, marker: str) -> DataFrame:
+    """Adds resolved: the path as it is, or moved below `root` from its last `marker` folder on, whichever is in the
+    listing (path); null where neither is."""
+    from fieldloom.functions.strings import rerooted
+
+    known = listing.select("path").distinct()
+    out = rows.withColumn("__moved", rerooted(F.col(column), root, marker))
+    out = out.join(known.select(F.col("path").alias("__own")), F.col(column) == F.col("__own"), "left")
+    out = out.join(known.select(F.col("path").alias("__other")), F.col("__moved") == F.col("__other"), "left")
+    return out.withColumn("resolved", F.coalesce("__own", "__other")).drop("__own", "__other", "__moved")
+
+
+def object_rows(composed: DataFrame, dynamic_models: Sequence[str]) -> DataFrame:
+    """A row per object of composed entries: the members of static groups, placed by their transform, and the
+    dynamic entries of the given models, placed by the middle of their box. Volumes: of a member its primitive's, of
+    a moving object its box's."""
+    from fieldloom.functions.geometry import box_centre, box_volume, primitive_volume, translation
+
+    static = composed.where("source = 'static'").select("frame_id", F.explode("static_record.members").alias("m"), F.col("static_record.material_class").alias("material_class"))
+    at, size = translation(F.col("m.to_world")), [F.get("m.size", F.lit(k)) for k in range(3)]
+    static = static.select(
+        "frame_id", F.lit(False).alias("is_dynamic"), "m.model_name", "m.link_name", "m.visual_name", "m.id", "material_class", *[F.get(at, F.lit(k)).alias(f"centroid_{a}") for k, a in enumerate("xyz")],
+        primitive_volume(F.col("m.geometry_type"), size, F.col("m.radius"), F.col("m.length")).alias("volume"), F.lit(None).cast("long").alias("vertex_count"), F.lit(None).cast("long").alias("face_count"),
+    )
+    low, high = ([F.get(c, F.lit(k)) for k in range(3)] for c in ("bounds_min", "bounds_max"))
+    moving = composed.where((F.col("source") == "dynamic") & F.col("model_name").isin(*dynamic_models)).select(
+        "frame_id", F.lit(True).alias("is_dynamic"), "model_name", "link_name", "visual_name", "id", F.col("material_label").alias("material_class"), *[c.alias(f"centroid_{a}") for c, a in zip(box_centre(low, high), "xyz", strict=True)],
+        box_volume(low, high).alias("volume"), F.col("mesh_vertex_count").alias("vertex_count"), F.col("mesh_face_count").alias("face_count"),
+    )
+    return static.unionByName(moving)

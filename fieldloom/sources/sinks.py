@@ -74,3 +74,14 @@ def wall_obj(walls: DataFrame) -> DataFrame:
             faces += [(ring[0], ring[1], ring[2]), (ring[0], ring[2], ring[3])]
     lines = [F.lit("f " + " ".join(f"{i + 1}/{i + 1}" for i in f)) for f in faces]
     return walls.select("wall", F.concat(F.array_join(F.array(*point, *coordinate, *lines), "\n"), F.lit("\n")).alias("obj"))
+
+
+def ply_text(triangles: DataFrame) -> DataFrame:
+    """(mesh, ply): ASCII PLY of triangles (mesh, triangle_idx, vertices array of three points), three vertices each."""
+    point = lambda p: F.format_string("%.6f %.6f %.6f", F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)))
+    rows = triangles.groupBy("mesh").agg(F.array_sort(F.collect_list(F.struct("triangle_idx", "vertices"))).alias("t"))
+    n = F.size("t").cast("string")
+    head = F.concat(F.lit("ply\nformat ascii 1.0\nelement vertex "), (F.size("t") * 3).cast("string"), F.lit("\nproperty float x\nproperty float y\nproperty float z\nelement face "), n, F.lit("\nproperty list uchar int vertex_indices\nend_header\n"))
+    vertices = F.array_join(F.flatten(F.transform("t", lambda t: F.transform(t["vertices"], point))), "\n")
+    faces = F.array_join(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.format_string("3 %d %d %d", 3 * i, 3 * i + 1, 3 * i + 2)), "\n")
+    return rows.select("mesh", F.concat(head, vertices, F.lit("\n"), faces, F.lit("\n")).alias("ply"))
