@@ -20,6 +20,8 @@ BANDS, ROWS = 40, 5
 #: Pairs whose minima agree in a smaller share aren't compared in full; at the threshold 200 minima do so in
 #: less than one case in a billion.
 LEAST_AGREE = 0.55
+#: Pairs with both their sets, or sets, that travel to Python at once.
+BATCH_ROWS = 500
 #: Rows that share a key in a join before they are dealt to several tasks.
 SALT_ROWS = 256
 
@@ -183,7 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     share with the centre, and what both share with any class outside it. The rest is sifted by minima before
     full sets are compared.
     """
-    sketches = staged(shingle_sets(docs), "sketches")
+    sketches = staged(shingle_sets(docs), "sketches", 4 * BATCH_ROWS)
     usable = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     members = usable.select(F.col("set_hash").alias("c"), F.explode("bands").alias("key")).distinct()
     several = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -202,9 +204,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     middle = F.min(F.struct((1 - F.col("common") / F.col("n")).alias("alone"), "c"))
     centred = staged(sized.join(sized.groupBy("key").agg(middle["c"].alias("centre")), "key"), "centred")
-    star = staged(overlaps(centred.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct(), sets), "star-overlaps")
+    star = staged(overlaps(centred.where("c <> centre").select(F.col("c").alias("a"), F.col("centre").alias("b")).distinct(), sets), "star-overlaps", BATCH_ROWS)
     links = staged(linked(star), "star-links")
-    found = components(links).withColumnRenamed("node", "c")
+    found = staged(components(links).withColumnRenamed("node", "c"), "components")
     # a class with too few common shingles for any size of partner has no links
     alive = centred.where(F.col("common") * 100 >= F.col("n") * threshold)
     labelled = alive.join(found, "c", "left").select("key", "c", "centre", "n", "common", F.coalesce("component", "c").alias("label"))
@@ -222,17 +224,27 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     minima = usable.select(F.col("set_hash").alias("node"), "minima").join(across.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
     minima = staged(minima.groupBy("node").agg(F.first("minima").alias("minima")), "minima")
     likely = staged(_agreeing(across, minima, LEAST_AGREE, BANDS * ROWS), "across-likely")
-    more = staged(linked(overlaps(likely, sets)), "across-links")
-    # from classes to documents: each document is linked with its class's first, and those as their classes are
-    first_a, first_b = classes.toDF("a", "doc_a"), classes.toDF("b", "doc_b")
-    between = links.unionAll(more).join(first_a, "a").join(first_b, "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-    copies = usable.select(F.col("doc_id").alias("a"), "set_hash").join(classes, "set_hash").select("a", F.col("first_doc").alias("b"))
-    groups = components(between.unionAll(copies))
-    out = sketches.select("doc_id", "n_shingles").join(groups, F.col("doc_id") == F.col("node"), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    more = staged(linked(overlaps(likely, sets)), "across-links", BATCH_ROWS)
+    # rows of one doc_id tie their classes; they and the new links join whole components
+    tied = usable.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b"), F.collect_set("set_hash").alias("all")).where("a < b")
+    tied = tied.select("a", F.explode("all").alias("b"))
+    first = components(_relabelled(more.unionAll(tied), found)).toDF("label", "joined")
+    label = F.coalesce("joined", "label")
+    whole = classes.join(found.withColumnRenamed("c", "set_hash"), "set_hash", "left").withColumn("label", F.coalesce("component", "set_hash"))
+    whole = whole.join(first, "label", "left").select("set_hash", "first_doc", label.alias("label"))
+    least = whole.groupBy("label").agg(F.min("first_doc").alias("component_id"))
+    ids = whole.join(least, "label").select("set_hash", "component_id")
+    out = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(ids, "set_hash", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _relabelled(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges between the components (c, component) of their ends; a class in none is its own."""
+    a, b = found.toDF("a", "label_a"), found.toDF("b", "label_b")
+    return edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+
+
 def _sizes(sets: DataFrame) -> DataFrame:
     """(node, n, common): the size of each set, and how many of its shingles another of the sets has."""
     alone = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node")).where("k = 1")
@@ -245,10 +257,29 @@ def _class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     """(node, shingles) of the wanted classes, from the text of each one's first document."""
     first = classes.withColumnRenamed("set_hash", "node").join(wanted, "node", "left_semi")
     text = docs.select(F.col("doc_id").cast("long").alias("first_doc"), "text")
-    return staged(_full_sets(first.join(text, "first_doc").select("node", "text").distinct()), "sets")
+    return staged(_full_sets(first.join(text, "first_doc").select("node", "text").distinct()), "sets", BATCH_ROWS)
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents, all columns, without those that a component has a smaller doc_id for."""
     gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+RESULT_SQL = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+s AS (
+    SELECT doc_id, list_distinct(list_transform(range(1, greatest(1, len(words) - {SHINGLE_WORDS - 1}) + 1), lambda i: array_to_string(words[i:i + {SHINGLE_WORDS - 1}], ' '))) AS shingles
+    FROM w WHERE len(words) > 0
+),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= {THRESHOLD} * (x.n + y.n - count(*))
+),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT links.b, reach.other FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT d.doc_id, coalesce(len(s.shingles), 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN s USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)"""

@@ -20,10 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Writes `df` as a Parquet table of its own in the shared folder and reads it back: later jobs start
-    from the files, also when an executor is lost."""
+    from the files, also when an executor is lost. batch_rows: rows of an Arrow batch while it is written, for
+    wide rows; the session's setting is put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if batch_rows:
+        spark.conf.set(key, str(batch_rows))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
