@@ -230,7 +230,7 @@ def predicted(docs: DataFrame) -> DataFrame:
     return identify(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def with_known_language(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
+def with_known_language(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """The documents, all columns, whose language is known with at least `least_score`; a text without letters
     goes."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))

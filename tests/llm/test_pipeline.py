@@ -20,7 +20,7 @@ def test_each_stage_and_run(spark, sf_dir):
         at[name] = {r.doc_id: r.text for r in before.collect()}
     texts = dict(docs.select("doc_id", "text").collect())
     model = langid.train(docs)
-    named = {r.doc_id for r in langid.identify(docs, model).where("lang_pred <> 'und' AND score >= 0.4").collect()}
+    named = {r.doc_id for r in langid.identify(docs, model).where("lang_pred <> 'und' AND score >= 0.3").collect()}
     assert at["language"] == {d: t for d, t in texts.items() if d in named} and len(named) > 0.98 * len(texts)
     want, touched = line_rest(list(at["language"].items()), 2)
     assert at["lines"] == {d: t for d, t in want.items() if d not in touched or t.strip()}
