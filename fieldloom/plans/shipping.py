@@ -13,7 +13,8 @@ _shipped: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's sources to every worker, once for each application, so that functions defined in it
-    run wherever a task does, whatever the driver's working folder is."""
+    run wherever a task does, whatever the driver's working folder is. Only the driver reads the archive; Spark hands
+    it to the executors."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
