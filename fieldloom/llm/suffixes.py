@@ -33,9 +33,9 @@ WINDOW, GRAM = 50, 20
 BEFORE, BEHIND = WINDOW - GRAM, WINDOW
 SPAN = BEFORE + BEHIND
 #: Bytes of text for each block of documents, and for each bucket of grams.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 #: Bytes of text whose suffixes a task gathers before it sends them.
-SEND_BYTES = 16 << 20
+SEND_BYTES = 12 << 20
 COVERED, OPEN = 1, 2
 TEXT, SUFFIX, FLAGS, SPANS, CONTEXT = range(5)
 PACKED = "key long, kind int, tag long, ids binary, sizes binary, data binary"
@@ -234,25 +234,25 @@ def _apply_flags(buckets: int, blocks: int) -> Callable[[pa.Table], pa.Table]:
         row, doc, text = _block_texts(table)
         row, first_of = np.unique(row, return_index=True)
         doc = doc[first_of]
-        whose, at, first, end, bucket, gram, near = [], [], [], [], [], [], []
+        whose, at, first, end, bucket, byte = [], [], [], [], [], []
         flagged = list(_rows(table, FLAGS))
         wanted = np.zeros(len(row), bool)
         for _, ids, _, _ in flagged:
             wanted[np.searchsorted(row, np.frombuffer(ids, np.int64))] = True
         some = np.flatnonzero(wanted)
         column = pa.array([text[first_of[i]] for i in some], pa.large_binary()).view(pa.large_string())
+        raw, before = np.frombuffer(b"".join(text[first_of[i]] for i in some), np.uint8), 0
         for t in texts(column):
             own, p, g = anchors(t)
             a, b, _ = contexts(t, own, p)
             base = t.off[own]
-            for to, x in zip((whose, at, first, end, bucket, gram), (some[t.first + own], p - base, a - base, b - base, _bucket(g, buckets), g), strict=True):
+            for to, x in zip((whose, at, first, end, bucket, byte), (some[t.first + own], p - base, a - base, b - base, _bucket(g, buckets), before + p), strict=True):
                 to.append(x)
-            index = np.clip(p[:, None] + np.arange(-BEFORE, BEHIND), 0, len(t.buf) - 1)
-            near.append(t.buf[index])
+            before += len(t.buf)
         if not whose:
             return pa.Table.from_batches([_packed([])])
-        whose, at, first, end, bucket, gram = map(np.concatenate, (whose, at, first, end, bucket, gram))
-        near, flags = np.concatenate(near), np.zeros(len(whose), np.uint8)
+        whose, at, first, end, bucket, byte = map(np.concatenate, (whose, at, first, end, bucket, byte))
+        flags = np.zeros(len(whose), np.uint8)
         order = np.lexsort((whose, bucket))
         place = bucket[order] * len(row) + whose[order]
         for tag, ids, sizes, data in flagged:
@@ -264,7 +264,8 @@ def _apply_flags(buckets: int, blocks: int) -> Callable[[pa.Table], pa.Table]:
         for b in np.unique(bucket[rest]).tolist():
             mine = rest[bucket[rest] == b]
             ids = np.stack([row[whose[mine]], doc[whose[mine]], at[mine], first[mine], end[mine]])
-            rows.append((b, CONTEXT, 0, ids, np.zeros(0), near[mine].tobytes()))
+            near = raw[np.clip(byte[mine][:, None] + np.arange(-BEFORE, BEHIND), 0, len(raw) - 1)]
+            rows.append((b, CONTEXT, 0, ids, np.zeros(0), near.tobytes()))
         return pa.Table.from_batches([_packed(rows)])
 
     return apply
@@ -371,3 +372,20 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     rest = docs.where("doc_id IS NULL").select("doc_id", F.octet_length(empty).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(empty, 256).alias("kept_sha256"))
     return cut.unionAll(rest)
+
+
+RESULT_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(1, n - 48)) AS i FROM d WHERE n >= 50),
+w AS (SELECT p.doc_id, p.i, min(p.doc_id) OVER (PARTITION BY d.b[p.i:p.i + 49]) AS first_doc FROM p JOIN d USING (doc_id)),
+c AS (SELECT doc_id, i, (i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50) IS NOT TRUE AS opens FROM w WHERE first_doc < doc_id),
+r AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 49 AS e FROM r GROUP BY doc_id, run),
+k AS (
+    SELECT doc_id, coalesce(lag(e) OVER o, 0) + 1 AS a, a - 1 AS e FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY run)
+    UNION ALL SELECT d.doc_id, coalesce(max(s.e), 0) + 1, max(d.n) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+),
+t AS (SELECT k.doc_id, string_agg(CASE WHEN k.e >= k.a THEN hex(d.b[k.a:k.e]) ELSE '' END, '' ORDER BY k.a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+n AS (SELECT doc_id, sum(e - a + 1)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
