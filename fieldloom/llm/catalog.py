@@ -67,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_near_duplicates": neardup.RESULT_SQL,
     "op2_lines": lines.REPORT_SQL,
     "op4_chat": chat.DIGESTS_SQL,
+    "op9_repeated_bytes": suffixes.RESULT_SQL,
 }
