@@ -178,3 +178,18 @@ def object_rows(composed: DataFrame, dynamic_models: Sequence[str]) -> DataFrame
         box_volume(low, high).alias("volume"), F.col("mesh_vertex_count").alias("vertex_count"), F.col("mesh_face_count").alias("face_count"),
     )
     return static.unionByName(moving)
+
+
+def resolved_uris(registry: DataFrame, listing: DataFrame, models: str) -> DataFrame:
+    """Adds resolved_path to visuals: of `model://name/rest` the file below the shallowest folder `name` under
+    `models`, of `file://` and plain paths themselves, if the listing (path) has them; and n_folders, how many
+    folders the name could mean."""
+    folder = F.regexp_extract("path", f"^(.*/{models}(?:/.*)?/([^/]+))/model\\.(?:sdf|config)$", 1)
+    index = listing.select(folder.alias("folder"), F.regexp_extract("path", "([^/]+)/model\\.(?:sdf|config)$", 1).alias("name")).where("folder <> ''").distinct()
+    best = index.groupBy("name").agg(F.min_by("folder", F.struct(F.size(F.split("folder", "/")), "folder")).alias("folder"), F.count(F.lit(1)).alias("n_folders"))
+    out = registry.withColumn("__name", F.regexp_extract(F.coalesce("uri", F.lit("")), "^model://([^/]+)", 1)).join(best.withColumnRenamed("name", "__name"), "__name", "left")
+    plain = F.when(F.col("uri").startswith("file://"), F.substr("uri", F.lit(8))).when(~F.contains("uri", F.lit("://")), F.col("uri"))
+    wanted = F.when(F.col("__name") != "", F.concat("folder", F.regexp_replace("uri", "^model://[^/]+", ""))).otherwise(plain)
+    known = listing.select(F.col("path").alias("resolved_path")).distinct()
+    out = out.withColumn("__wanted", wanted).join(known, F.col("__wanted") == F.col("resolved_path"), "left")
+    return out.drop("__name", "__wanted", "folder")

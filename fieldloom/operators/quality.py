@@ -60,3 +60,10 @@ def not_empty(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} has no rows")
     return df
+
+
+def different_positions(a: DataFrame, b: DataFrame, keys: Sequence[str], position: str, value: str) -> DataFrame:
+    """(keys, position, left, right) where two ordered lists differ, places that only one of them has included."""
+    on = [*keys, position]
+    both = a.select(*on, F.col(value).alias("left")).join(b.select(*on, F.col(value).alias("right")), on, "full")
+    return both.where(~F.col("left").eqNullSafe(F.col("right")))

@@ -85,3 +85,42 @@ def ply_text(triangles: DataFrame) -> DataFrame:
     vertices = F.array_join(F.flatten(F.transform("t", lambda t: F.transform(t["vertices"], point))), "\n")
     faces = F.array_join(F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.format_string("3 %d %d %d", 3 * i, 3 * i + 1, 3 * i + 2)), "\n")
     return rows.select("mesh", F.concat(head, vertices, F.lit("\n"), faces, F.lit("\n")).alias("ply"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.option("ignoreNullFields", "false").json(path)
+
+
+def wall_mtl(walls: DataFrame) -> DataFrame:
+    """(wall, mtl): the material of each wall (wall, texture)."""
+    return walls.select("wall", F.concat(F.lit("newmtl "), slugify(F.col("wall")), F.lit("\nKa 1.000000 1.000000 1.000000\nKd 1.000000 1.000000 1.000000\nmap_Kd "), "texture", F.lit("\n")).alias("mtl"))
+
+
+#: Colours by which materials are told apart in a picture, in turn.
+PALETTE = ("0.8 0.2 0.2", "0.2 0.6 0.2", "0.2 0.3 0.8", "0.8 0.7 0.2", "0.6 0.3 0.7", "0.3 0.7 0.7", "0.5 0.5 0.5")
+CAMERA = """    <integrator type="path" />
+    <sensor type="perspective">
+        <float name="fov" value="60" />
+        <transform name="to_world"><lookat origin="8, 8, 6" target="0, 0, 1" up="0, 0, 1" /></transform>
+        <sampler type="independent"><integer name="sample_count" value="64" /></sampler>
+        <film type="hdrfilm"><integer name="width" value="1280" /><integer name="height" value="720" /></film>
+    </sensor>
+    <emitter type="constant" />
+"""
+
+
+def visual_scene_xml(entries: DataFrame, geometry_only: bool = False) -> DataFrame:
+    """(frame_id, xml, n_shapes): a scene to look at. Materials have colours in turn, by name, glass is dielectric;
+    unless `geometry_only` there are a camera and a light. entries as for `scene_xml`."""
+    rows = entries.select("frame_id", "id", "material_class", shape_xml(slugify(F.col("id")), F.col("mesh_path"), F.concat(F.lit("mat-"), slugify(F.col("material_class")))).alias("shape"))
+    out = rows.groupBy("frame_id").agg(F.array_sort(F.collect_set("material_class")).alias("used"), F.array_sort(F.collect_list(F.struct("id", "shape"))).alias("shapes"))
+    colours = F.array(*map(F.lit, PALETTE))
+
+    def bsdf(name: Column, i: Column) -> Column:
+        head = F.concat(F.lit('" id="mat-'), slugify(name), F.lit('">'))
+        glass = F.concat(F.lit('    <bsdf type="dielectric'), head, F.lit("</bsdf>\n"))
+        plain = F.concat(F.lit('    <bsdf type="diffuse'), head, F.lit('<rgb name="reflectance" value="'), F.get(colours, i % len(PALETTE)), F.lit('" /></bsdf>\n'))
+        return F.when(name == "glass", glass).otherwise(plain)
+
+    parts = [F.lit('<scene version="3.0.0">\n'), F.lit("" if geometry_only else CAMERA), F.array_join(F.transform("used", bsdf), ""), F.array_join(F.transform("shapes", lambda x: x["shape"]), ""), F.lit("</scene>\n")]
+    return out.select("frame_id", F.concat(*parts).alias("xml"), F.size("shapes").alias("n_shapes"))
