@@ -33,7 +33,7 @@ WINDOW, GRAM = 50, 20
 BEFORE, BEHIND = WINDOW - GRAM, WINDOW
 SPAN = BEFORE + BEHIND
 #: Bytes of text for each block of documents, and for each bucket of grams.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 32 << 20
 #: Bytes of text whose suffixes a task gathers before it sends them.
 SEND_BYTES = 12 << 20
 COVERED, OPEN = 1, 2
@@ -348,12 +348,12 @@ def _cut(table: pa.Table) -> pa.Table:
 def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packed texts and packed spans."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // BLOCK_BYTES))
+    blocks, buckets = (max(1, -(-total // size)) for size in (BLOCK_BYTES, BUCKET_BYTES))
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    packed = keyed.mapInArrow(_send_texts(parts), PACKED)
-    flags = keyed.mapInArrow(_send_suffixes(parts), PACKED).groupBy("key").applyInArrow(_flag_suffixes(parts), PACKED)
-    marked = staged(packed.unionAll(flags).groupBy("key").applyInArrow(_apply_flags(parts, parts), PACKED), "suffix-marks")
-    matched = marked.where(F.col("kind") == CONTEXT).groupBy("key").applyInArrow(_match_windows(parts), PACKED)
+    packed = keyed.mapInArrow(_send_texts(blocks), PACKED)
+    flags = keyed.mapInArrow(_send_suffixes(buckets), PACKED).groupBy("key").applyInArrow(_flag_suffixes(blocks), PACKED)
+    marked = staged(packed.unionAll(flags).groupBy("key").applyInArrow(_apply_flags(buckets, blocks), PACKED), "suffix-marks")
+    matched = marked.where(F.col("kind") == CONTEXT).groupBy("key").applyInArrow(_match_windows(blocks), PACKED)
     return packed, marked.where(F.col("kind") == SPANS).unionAll(matched)
 
 

@@ -59,12 +59,12 @@ def test_planted_repeats_and_edges(spark):
     docs += [docs[3], docs[3], (docs[5][0], docs[6][1]), (docs[5][0], docs[7][1])]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, key int, row string")
     assert got(df) == brute(docs)
-    suffixes_block = suffixes.BLOCK_BYTES
+    before = suffixes.BLOCK_BYTES, suffixes.BUCKET_BYTES
     try:
-        suffixes.BLOCK_BYTES = 4000
+        suffixes.BLOCK_BYTES, suffixes.BUCKET_BYTES = 4000, 7000
         assert got(df) == brute(docs)
     finally:
-        suffixes.BLOCK_BYTES = suffixes_block
+        suffixes.BLOCK_BYTES, suffixes.BUCKET_BYTES = before
     assert suffixes.without_repeats(df.limit(0)).count() == 0
 
 
