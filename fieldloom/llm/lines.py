@@ -44,14 +44,15 @@ def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, line) of every window whose lines stand, in this order, at an earlier position of the corpus.
 
-    Fingerprints that occur once drop out. Of the others' windows the first position is found (counted per task
-    before the shuffle) and joined back, which splits hot keys; windows that touch are one run, so a match is
-    extended both ways as far as its lines agree.
+    Fingerprints that occur once drop out. Of the others' windows the first position is found (the least of each task
+    before the shuffle) and joined back; windows that touch are one run, so a match is extended both ways as far as
+    its lines agree. Both small sides are staged, so that Spark can split the joins' hot keys.
     """
     prints = staged(fingerprints(docs, window), "line-prints")
-    twice = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    twice = staged(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "line-repeated")
     alive = prints.join(twice, "print", "left_semi")
     first = alive.groupBy("gram").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first")
+    first = staged(first, "line-first")
     return alive.join(first, "gram").where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
 
 
