@@ -221,8 +221,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     once = F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]
     across = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & reaches(most, "n_a", "n_b") & once)
     across = staged(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), "across")
-    minima = usable.select(F.col("set_hash").alias("node"), "minima").join(across.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    minima = staged(minima.groupBy("node").agg(F.first("minima").alias("minima")), "minima")
+    # one row for each class and task before the shuffle, so many copies of a set don't meet
+    minima = usable.groupBy(F.col("set_hash").alias("node")).agg(F.first("minima").alias("minima"))
+    minima = staged(minima.join(across.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "minima")
     likely = staged(_agreeing(across, minima, LEAST_AGREE, BANDS * ROWS), "across-likely")
     more = staged(linked(overlaps(likely, sets)), "across-links", BATCH_ROWS)
     # rows of one doc_id tie their classes; they and the new links join whole components
