@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,59 +11,99 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.batches import Texts, U, texts, words
+from fieldloom.llm.batches import Texts, texts, words
+from fieldloom.llm.staging import staged
 
-#: Words are hashed to 2^BITS numbers; the FREQUENT ones most often seen are classes of their own, all others
-#: share RARE classes by their number.
-BITS, FREQUENT, RARE = 17, 96, 32
+#: The most frequent words are groups of their own, FREQUENT in CLASSES of all groups; all others share the rest by
+#: their number. Groups are dealt over CLASSES, a class having `parts` of them, and there are about as many groups as
+#: the root of the number of distinct words.
+FREQUENT, RARE = 96, 32
 CLASSES = FREQUENT + RARE
+#: At most so many words' counts go to every task; those of the others, none of which is frequent, are joined.
+KNOWN = 1 << 18
 #: Words on each side, and the width of the hidden layer.
 SIDE, HIDDEN = 2, 32
-#: Each round learns from one word in STRIDE of every document, each time others.
-STRIDE, ROUNDS = 16, 2
+#: Each round learns from every ROUNDS-th word of every document, each time others: from every word once.
+ROUNDS = 2
 BATCH, RATE = 256, 0.08
-#: Counts and weights travel in so many pieces.
+#: Weights travel in so many pieces.
 PIECES = 64
+#: A task's distinct words are sent on when there are more.
+PENDING = 1 << 20
 BLOB = "piece long, task long, weight double, data binary"
-SCORED = "doc_id long, n_tokens long, log_likelihood double, mean_log_prob double"
+COUNTS = "word long, n long"
+JUDGED = "row long, doc_id long, n_tokens long, part double, rest array<long>"
+
+
+@dataclass
+class ByWord:
+    """A value of each of the sorted `words`; another word's is `base` and its number modulo `tail`, or NaN."""
+
+    words: np.ndarray
+    values: np.ndarray
+    base: int = 0
+    tail: int = 0
+
+    def __getitem__(self, number: np.ndarray) -> np.ndarray:
+        other = self.base + number % self.tail if self.tail else np.float32("nan")
+        if not len(self.words):
+            return other + np.zeros_like(number, self.values.dtype)
+        at = np.minimum(np.searchsorted(self.words, number), len(self.words) - 1)
+        return np.where(self.words[at] == number, self.values[at], other)
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self.values.astype(dtype or self.values.dtype)
+
+    def astype(self, kind) -> np.ndarray:
+        return self.values.astype(kind)
 
 
 @dataclass
 class Vocabulary:
-    """The class of each word number, and the logarithm of a word's share of its class."""
+    """The group of each word number, the logarithm of a word's share of its group, and that of each group's sum.
+    `counts` (word, n) has every word, if some are not among the known."""
 
-    klass: np.ndarray
-    log_share: np.ndarray
+    klass: ByWord
+    log_share: ByWord
+    log_sums: np.ndarray
+    parts: int
+    counts: DataFrame | None = None
 
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Vocabulary:
-        order = np.lexsort((np.arange(len(counts)), -counts))
-        klass = FREQUENT + np.arange(len(counts)) % RARE
-        klass[order[:FREQUENT]] = np.arange(FREQUENT)
-        smooth = counts + 0.5
-        return cls(klass.astype(np.int16), np.log(smooth / np.bincount(klass, smooth, CLASSES)[klass]).astype(np.float32))
+    def sent(self) -> Vocabulary:
+        """What tasks need."""
+        return replace(self, counts=None)
 
 
 def word_numbers(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     w = words(t)
-    return (w.hash >> U(64 - BITS)).astype(np.int64), w.first
+    return w.hash.view(np.int64), w.first
 
 
 class Network:
-    """Class scores from the classes of 2 * SIDE neighbours: summed tables, tanh, one more layer."""
+    """Class scores from the groups of 2 * SIDE neighbours: summed tables, tanh, one more layer; where a class has
+    parts, their scores by a layer of that class."""
 
-    SHAPES = ((2 * SIDE * (CLASSES + 1), HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
-
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, flat: np.ndarray | None = None, parts: int = 1):
+        self.parts, self.groups = parts, parts * CLASSES
+        self.SHAPES = ((2 * SIDE * (self.groups + 1), HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, parts if parts > 1 else 0, HIDDEN + 1))
         if flat is None:
             rng = np.random.default_rng(11)
-            flat = np.concatenate([(rng.standard_normal(np.prod(s)) * (0.1 if len(s) > 1 else 0)).ravel() for s in self.SHAPES])
+            flat = np.concatenate([(rng.standard_normal(np.prod(s)) * (0.1 if len(s) == 2 else 0)).ravel() for s in self.SHAPES])
         self.flat = flat.astype(np.float32)
         ends = np.cumsum([int(np.prod(s)) for s in self.SHAPES])
-        self.near, self.bias, self.out, self.prior = (x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), self.SHAPES, strict=True))
+        self.near, self.bias, self.out, self.prior, self.inner = (x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), self.SHAPES, strict=True))
 
-    @staticmethod
-    def neighbours(klass: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    @classmethod
+    def of(cls, known: Vocabulary) -> Network:
+        """Not yet taught: groups have the probabilities of their sums in the corpus."""
+        net = cls(parts=known.parts)
+        sums = np.exp(known.log_sums.reshape(known.parts, CLASSES))
+        if known.parts > 1:
+            net.inner[:, :, HIDDEN] = np.log(sums / sums.sum(axis=0)).T
+            net.prior[:] = np.log(sums.sum(axis=0) / sums.sum())
+        return net
+
+    def neighbours(self, klass: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows of `near` for the words `at`; a place beyond the text has a row of its own."""
         text = np.searchsorted(first, at, "right") - 1
         low, high = first[text], first[text + 1]
@@ -71,7 +111,7 @@ class Network:
         for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             place = at + shift
             inside = (place >= low) & (place < high)
-            out[:, k] = np.where(inside, klass[np.clip(place, 0, len(klass) - 1)], CLASSES) + k * (CLASSES + 1)
+            out[:, k] = np.where(inside, klass[np.clip(place, 0, len(klass) - 1)], self.groups) + k * (self.groups + 1)
         return out
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
@@ -80,23 +120,55 @@ class Network:
             total += self.near[rows[:, k]]
         return np.tanh(total + self.bias)
 
+    def _part_scores(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Scores of the parts of each word's class; `own`: the classes' layers."""
+        scores = np.matmul(own[:, :, :HIDDEN], h[:, :, None])[:, :, 0] + own[:, :, HIDDEN]
+        return scores - scores.max(axis=1, keepdims=True)
+
     def log_probs(self, rows: np.ndarray, klass: np.ndarray) -> np.ndarray:
-        scores = self.hidden(rows) @ self.out + self.prior
-        top = scores.max(axis=1)
-        own = scores[np.arange(len(klass)), klass] - top
-        return own - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        h, each = self.hidden(rows), np.arange(len(klass))
+        scores = h @ self.out + self.prior
+        scores -= scores.max(axis=1, keepdims=True)
+        own = scores[each, klass % CLASSES]
+        total = own - np.log(np.exp(scores, out=scores).sum(axis=1))
+        for a in range(0, len(klass) if self.parts > 1 else 0, 256):
+            k = klass[a : a + 256]
+            scores = self._part_scores(h[a : a + 256], self.inner[k % CLASSES])
+            total[a : a + 256] += scores[each[: len(k)], k // CLASSES] - np.log(np.exp(scores).sum(axis=1))
+        return total
 
     def learn(self, rows: np.ndarray, klass: np.ndarray, rate: float) -> None:
+        n, each, outer = len(klass), np.arange(len(klass)), klass % CLASSES
         h = self.hidden(rows)
-        p = h @ self.out + self.prior
-        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p = h @ self.out
+        p += self.prior
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(klass)), klass] -= 1
-        back = (p @ self.out.T) * (1 - h * h)
-        self.out -= rate / len(klass) * (h.T @ p)
-        self.prior -= rate / len(klass) * p.sum(axis=0)
-        self.bias -= rate / len(klass) * back.sum(axis=0)
-        np.subtract.at(self.near, rows.ravel(), np.repeat(rate * back / np.sqrt(len(klass)), rows.shape[1], axis=0))
+        p[each, outer] -= 1
+        back = p @ self.out.T
+        if self.parts > 1:
+            own = self.inner[outer]
+            q = np.exp(self._part_scores(h, own))
+            q /= q.sum(axis=1, keepdims=True)
+            q[each, klass // CLASSES] -= 1
+            back += np.matmul(q[:, None, :], own[:, :, :HIDDEN])[:, 0]
+            q *= np.float32(rate / np.sqrt(n))
+            _subtract(self.inner, outer, q[:, :, None] * np.concatenate([h, np.ones((n, 1), np.float32)], axis=1)[:, None, :])
+        back *= 1 - h * h
+        self.out -= rate / n * (h.T @ p)
+        self.prior -= rate / n * p.sum(axis=0)
+        self.bias -= rate / n * back.sum(axis=0)
+        back *= np.float32(rate / np.sqrt(n))
+        _subtract(self.near, rows.ravel(), np.repeat(back, rows.shape[1], axis=0))
+
+
+def _subtract(table: np.ndarray, rows: np.ndarray, steps: np.ndarray) -> None:
+    """Subtracts every step from its row, also where a row is named more than once."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    start = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    table[rows[start]] -= np.add.reduceat(steps[order], start, axis=0)
 
 
 def _blobs(data: np.ndarray, weight: float) -> pa.RecordBatch:
@@ -106,86 +178,141 @@ def _blobs(data: np.ndarray, weight: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(PIECES)), pa.array([task] * PIECES, pa.int64()), pa.array([float(weight)] * PIECES), pa.array(parts, pa.binary())], names=["piece", "task", "weight", "data"])
 
 
-def _gathered(rows: DataFrame, kind: np.dtype, mean: bool) -> np.ndarray:
-    """Sums, or means by weight, of all tasks' numbers, piece by piece and in the order of tasks."""
+def _gathered(rows: DataFrame, kind: np.dtype) -> np.ndarray:
+    """Means by weight of all tasks' numbers, piece by piece and in the order of tasks."""
 
     def combine(table: pa.Table) -> pa.Table:
         table = table.sort_by("task")
         total, weight = None, 0.0
         for data, w in zip(table["data"], table["weight"].to_pylist(), strict=True):
-            x = np.frombuffer(data.as_py(), kind) * (w if mean else 1)
+            x = np.frombuffer(data.as_py(), kind) * w
             total, weight = x if total is None else total + x, weight + w
-        total = (total / max(weight, 1e-30) if mean else total).astype(kind)
+        total = (total / max(weight, 1e-30)).astype(kind)
         return pa.table({"piece": table["piece"][:1], "task": table["task"][:1], "weight": pa.array([weight]), "data": pa.array([total.tobytes()], pa.binary())})
 
     found = sorted(rows.groupBy("piece").applyInArrow(combine, BLOB).collect(), key=lambda r: r.piece)
     return np.concatenate([np.frombuffer(r.data, kind) for r in found]) if found and found[0].weight else np.zeros(0, kind)
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts every word of every text."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): every word number of every text, and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
+        found, n, waiting, fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate([np.zeros(0, np.int64), *waiting]), return_counts=True)
+            both, at = np.unique(np.concatenate([found, new]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([n, times]), len(both)).astype(np.int64)
+
         for batch in batches:
             for t in texts(batch.column(0)):
-                total += np.bincount(word_numbers(t)[0], minlength=1 << BITS)
-        yield _blobs(total, 1)
+                waiting.append(word_numbers(t)[0])
+                fresh += len(waiting[-1])
+                if fresh > PENDING:
+                    (found, n), waiting, fresh = merged(), [], 0
+                    if len(found) > PENDING:
+                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
+                        found, n = found[:0], n[:0]
+        found, n = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["word", "n"])
 
-    counts = _gathered(docs.select("text").mapInArrow(count, BLOB), np.dtype(np.int64), mean=False)
-    return Vocabulary.of(counts if len(counts) else np.zeros(1 << BITS, np.int64))
+    return docs.select("text").mapInArrow(count, COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    """Every task learns from its own documents, one word in `stride` of each; after each round the weights are
-    averaged, by how many words each task learned from."""
-    spark, net = docs.sparkSession, Network()
-    words_of = spark.sparkContext.broadcast(known)
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Counts every word of every text."""
+    counts = staged(word_counts(docs), "words")
+    by_count = np.array(sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True), np.int64).reshape(-1, 2)
+    many = np.cumsum(by_count[:, 1])
+    distinct = int(many[-1]) if len(many) else 0
+    parts = max(1, round(distinct**0.5 / CLASSES))
+    single, tail = FREQUENT * parts, RARE * parts
+    level = int((many <= KNOWN).sum())
+    least = int(by_count[level - 1, 0]) if level else 1 << 62
+    table = counts.where(F.col("n") >= least).toArrow().sort_by("word")
+    known, n = table["word"].to_numpy(), table["n"].to_numpy()
+    klass = single + known % tail
+    first = np.lexsort((known, -n))[:single]
+    klass[first] = np.arange(len(first))
+    sums = np.bincount(klass, n + 0.5, single + tail)
+    for r in counts.where(F.col("n") < least).groupBy(F.pmod("word", F.lit(tail)).alias("k")).agg(F.sum(F.col("n") + 0.5).alias("n")).collect():
+        sums[single + r.k] += r.n
+    log_sums = np.log(np.maximum(sums, 0.5))
+    share = (np.log(n + 0.5) - log_sums[klass]).astype(np.float32)
+    return Vocabulary(ByWord(known, klass, single, tail), ByWord(known, share), log_sums, parts, counts if len(known) < distinct else None)
+
+
+def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """Every task learns from its own documents, from every word in one of the rounds; after each round the weights
+    are averaged, by how many words each task learned from."""
+    spark, net = docs.sparkSession, Network.of(known)
+    words_of = spark.sparkContext.broadcast(known.sent())
     for k in range(rounds):
         start = spark.sparkContext.broadcast(net.flat)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
-            own, klass_of, seen = Network(start.value.copy()), words_of.value.klass, 0
+            own, klass_of, seen = Network(start.value.copy(), words_of.value.parts), words_of.value.klass, 0
             for batch in batches:
                 for t in texts(batch.column(0)):
                     number, first = word_numbers(t)
                     klass = klass_of[number].astype(np.int64)
-                    place = np.arange(len(klass)) - np.repeat(first[:-1], np.diff(first))
-                    at = np.flatnonzero(place % stride == k * stride // rounds)
+                    at = learned_places(first, k, rounds)
                     at = at[np.random.default_rng(len(at)).permutation(len(at))]
+                    rows = own.neighbours(klass, first, at)
                     for a in range(0, len(at), BATCH):
-                        some = at[a : a + BATCH]
-                        own.learn(own.neighbours(klass, first, some), klass[some], RATE * (1 - k / (2 * rounds)))
+                        own.learn(rows[a : a + BATCH], klass[at[a : a + BATCH]], RATE * (1 - k / (2 * rounds)))
                     seen += len(at)
             yield _blobs(own.flat, seen)
 
-        flat = _gathered(docs.select("text").mapInArrow(learn, BLOB), np.dtype(np.float32), mean=True)
-        net = Network(flat) if len(flat) == len(net.flat) else net
+        flat = _gathered(docs.select("text").mapInArrow(learn, BLOB), np.dtype(np.float32))
+        net = Network(flat, known.parts) if len(flat) == len(net.flat) else net
     return net
 
 
+def learned_places(first: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """The words that round k learns from; over all rounds each word once."""
+    place = np.arange(first[-1]) - np.repeat(first[:-1], np.diff(first))
+    return np.flatnonzero(place % rounds == k)
+
+
 def score(docs: DataFrame, known: Vocabulary, net: Network) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_prob): the summed and mean log-probability of every word of a
     text, given the words on both sides. Without words (or null) all are 0. A row for each row; repeated and null
-    doc_ids come out as they are, other columns are not looked at."""
+    doc_ids come out as they are, other columns are not looked at. A word that was not counted is taken as half an
+    occurrence."""
     context = docs.sparkSession.sparkContext
-    sent, weights = context.broadcast(known), context.broadcast(net.flat)
+    sent, weights = context.broadcast(known.sent()), context.broadcast(net.flat)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = Network(weights.value), sent.value
+        known = sent.value
+        own, row = Network(weights.value, known.parts), TaskContext.get().partitionId() << 40
         for batch in batches:
             for t in texts(batch.column(1), 1 << 18):
                 number, first = word_numbers(t)
-                klass = known.klass[number].astype(np.int64)
+                klass, share = known.klass[number].astype(np.int64), known.log_share[number]
                 each = np.zeros(len(klass))
                 for a in range(0, len(klass), 4096):
                     at = np.arange(a, min(a + 4096, len(klass)))
                     each[at] = own.log_probs(own.neighbours(klass, first, at), klass[at])
-                sums = np.concatenate([[0.0], np.cumsum(each + known.log_share[number])])[first]
-                n, total = np.diff(first), np.diff(sums)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_prob"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, SCORED)
+                other = np.isnan(share)
+                each += np.where(other, -known.log_sums[klass], share)
+                total = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first])
+                ends = np.concatenate([[0], np.cumsum(other)])[first].astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(number[other]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(t))), batch.column(0).slice(t.first, len(t)), pa.array(np.diff(first)), pa.array(total), rest], names=["row", "doc_id", "n_tokens", "part", "rest"])
+                row += len(t)
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, JUDGED)
+    total = F.col("part")
+    if known.counts is not None:
+        rows = staged(rows, "judged")
+        rest = rows.select("row", F.explode("rest").alias("word")).join(known.counts.hint("shuffle_merge"), "word", "left")
+        more = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"))
+        rows, total = rows.drop("rest").join(more, "row", "left"), total + F.coalesce("more", F.lit(0.0))
+    else:
+        total += F.size("rest") * float(np.log(0.5))
+    return rows.select("doc_id", "n_tokens", total.alias("log_likelihood"), (total / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"))
 
 
 def scored(docs: DataFrame) -> DataFrame:

@@ -57,3 +57,42 @@ def test_scores_and_edges(spark, sf_dir):
     mean = lambda n: sum(r.log_likelihood for r in lmscore.score(docs, known, n).collect() if r.doc_id is not None and r.doc_id >= 0)
     assert mean(net) > mean(lmscore.Network(np.zeros(len(net.flat))))
     assert lmscore.scored(docs.limit(0)).count() == 0
+
+
+def test_every_word_is_learned_from_once():
+    first = np.array([0, 1, 1, 9, 40])
+    places = np.concatenate([lmscore.learned_places(first, k, lmscore.ROUNDS) for k in range(lmscore.ROUNDS)])
+    assert sorted(places) == list(range(40))
+
+
+def test_gradient_of_parts():
+    rng = np.random.default_rng(4)
+    net = lmscore.Network(parts=3)
+    net = lmscore.Network(rng.standard_normal(len(net.flat)) * 0.3, 3)
+    klass, at = rng.integers(0, net.groups, 40), np.arange(40)
+    rows = net.neighbours(klass, np.array([0, 40]), at)
+    loss = lambda flat: -lmscore.Network(flat, 3).log_probs(rows, klass).mean()
+    before = net.flat.copy()
+    net.learn(rows, klass, 1e-2)
+    step = (before - net.flat).astype(np.float64)
+    inner = len(step) - net.inner.size
+    for i in rng.choice(np.flatnonzero(step[inner:]), 20) + inner:
+        x = np.zeros(len(step), np.float32)
+        x[i] = 1e-2
+        assert abs((loss(before + x) - loss(before - x)) / 2e-2 - step[i] / np.sqrt(len(at)) / 1e-2) < 2e-3
+    each = lmscore.Network(before, 3).log_probs(np.repeat(rows[:1], net.groups, axis=0), np.arange(net.groups))
+    assert np.isclose(np.exp(each).sum(), 1, atol=1e-3)
+
+
+def test_counts_and_shares_are_of_words(spark, monkeypatch):
+    text = " ".join(f"w{i} " * (1 + i % 5) for i in range(40000))
+    docs = spark.createDataFrame([(k, " ".join(text.split()[k::7])) for k in range(7)] + [(7, None)], "doc_id long, text string")
+    whole = lmscore.vocabulary(docs)
+    assert len(whole.klass.words) == 40000 and whole.counts is None and whole.parts == 2
+    monkeypatch.setattr(lmscore, "KNOWN", 20000)
+    part = lmscore.vocabulary(docs)
+    assert len(part.klass.words) == 16000 and part.counts.count() == 40000
+    assert np.allclose(part.log_sums, whole.log_sums) and (part.klass[whole.klass.words] == whole.klass.values).all()
+    net = lmscore.Network.of(whole)
+    a, b = ({r.doc_id: r for r in lmscore.score(docs, known, net).collect()} for known in (whole, part))
+    assert len(a) == len(b) == 8 and all(np.isclose(a[d].log_likelihood, b[d].log_likelihood, rtol=1e-5) and a[d].n_tokens == b[d].n_tokens for d in a)
