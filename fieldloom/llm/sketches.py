@@ -4,55 +4,61 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.batches import Texts, U, shingles, texts, words
+from fieldloom.llm.batches import Texts, U, mix64, shingles, texts, words
 
-#: Samples of a fingerprint, each of 16 bits; terms are hashed to 2^TERM_BITS numbers.
-SAMPLES, TERM_BITS, TERM_WORDS = 128, 16, 2
+#: Samples of a fingerprint, each of 16 bits; a term is the 64-bit hash of a run of TERM_WORDS words.
+SAMPLES, TERM_WORDS = 128, 2
 EMPTY = 0xFFFF
 #: Bytes of text that are sampled at once.
 CHUNK = 1 << 17
+#: Terms that are drawn for at once.
+TERMS = 256
 #: At most so many ranges of doc_id.
 MOST_RANGES = 2000
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-@lru_cache(maxsize=1)
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r and ln c, Gamma(2, 1) and its logarithm, and the uniform shift, of each term and sample."""
-    rng = np.random.Generator(np.random.PCG64(20240229))
-    shape = (1 << TERM_BITS, SAMPLES)
-    gamma = lambda: -(np.log1p(-rng.random(shape, np.float32)) + np.log1p(-rng.random(shape, np.float32)))
-    r = np.maximum(gamma(), np.float32(1e-6))
-    return r, np.log(np.maximum(gamma(), np.float32(1e-30))), rng.random(shape, np.float32)
+SALTS = mix64(np.arange(1, SAMPLES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 
 
-def _log_a(terms: np.ndarray, log_weight: np.ndarray | float) -> np.ndarray:
-    """ln a of each term and sample. It depends on the term and the weight's step t alone, so the least value of a
-    text also tells which term and step it came from."""
-    r, log_c, shift = (x[terms] for x in _draws())
-    t = np.floor(np.float32(log_weight) / r + shift)
-    return log_c - r * (t - shift) - r
+def _uniform(bits: np.ndarray, width: int) -> np.ndarray:
+    return (bits.astype(np.uint32).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-width)
 
 
-@lru_cache(maxsize=1)
-def _single() -> np.ndarray:
-    """ln a of every term that occurs once."""
-    return np.concatenate([_log_a(np.arange(a, a + 4096), 0.0) for a in range(0, 1 << TERM_BITS, 4096)])
+def _least_a(terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """a of each term and sample. With u and v uniform, r = -ln u - ln v is Gamma(2, 1) and the shift ln v / (ln u +
+    ln v) is uniform beside it, so a = c u exp(-r t), with t = 0 for a term that occurs once. It depends on the term
+    and the weight's step t alone, so the least value of a text also tells which term and step it came from."""
+    x = mix64(terms[:, None] ^ SALTS)
+    u = _uniform(x >> U(40), 24)
+    a = _uniform((x >> U(20)) & U(0xFFFFF), 20)
+    a *= _uniform(x & U(0xFFFFF), 20)
+    np.log(a, out=a)
+    a *= -u
+    many = np.flatnonzero(counts > 1)
+    if len(many):
+        e = -np.log(_uniform(mix64(x[many] + U(1)) >> U(40), 24))
+        r = np.maximum(e - np.log(u[many]), np.float32(1e-6))
+        a[many] *= np.exp(-r * np.floor((np.log(counts[many]).astype(np.float32)[:, None] + e) / r))
+    return a
 
 
 def weighted_terms(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct terms, how often they occur, and where each text's begin."""
     values, first = shingles(words(t), TERM_WORDS)
     text = np.repeat(np.arange(len(t)), np.diff(first))
-    both, counts = np.unique((text << TERM_BITS) | (values >> U(64 - TERM_BITS)).astype(np.int64), return_counts=True)
-    return both & ((1 << TERM_BITS) - 1), counts, np.searchsorted(both, np.arange(len(t) + 1) << TERM_BITS)
+    order = np.lexsort((values, text))
+    values, text = values[order], text[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+    start = np.flatnonzero(new)
+    return values[start], np.diff(np.append(start, len(values))), np.searchsorted(text[start], np.arange(len(t) + 1))
 
 
 def fingerprints(t: Texts) -> np.ndarray:
@@ -60,15 +66,15 @@ def fingerprints(t: Texts) -> np.ndarray:
     Jaccard similarity of their term counts, on average. A text without words has EMPTY throughout."""
     out = np.full((len(t), SAMPLES), EMPTY, np.uint16)
     terms, counts, first = weighted_terms(t)
-    full = np.flatnonzero(np.diff(first))
-    if len(full):
-        values = _single()[terms]
-        many = np.flatnonzero(counts > 1)
-        for a in range(0, len(many), 2048):
-            at = many[a : a + 2048]
-            values[at] = _log_a(terms[at], np.log(counts[at]).astype(np.float32)[:, None])
-        least = np.array([values[first[i] : first[i + 1]].min(axis=0) for i in full]).view(np.uint32)
-        out[full] = np.minimum((least * np.uint32(0x9E3779B1)) >> np.uint32(16), np.uint32(EMPTY - 1))
+    full = np.diff(first) > 0
+    text = np.repeat(np.arange(len(t)), np.diff(first))
+    least = np.full((len(t), SAMPLES), np.inf, np.float32)
+    for a in range(0, len(terms), TERMS):
+        own = text[a : a + TERMS]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        some = np.minimum.reduceat(_least_a(terms[a : a + TERMS], counts[a : a + TERMS]), start, axis=0)
+        least[own[start]] = np.minimum(least[own[start]], some)
+    out[full] = np.minimum((least[full].view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(16), np.uint32(EMPTY - 1))
     return out
 
 

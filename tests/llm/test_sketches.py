@@ -56,3 +56,15 @@ def test_whole_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sketches.edited_fingerprints(df).collect()
     assert len(rows) == df.count() and np.mean([r.near_edited for r in rows]) > 0.5 > np.mean([r.near_next for r in rows]) + 0.3
+
+
+def test_long_texts_are_compared_by_their_word_pairs():
+    rng = random.Random(5)
+    errors = []
+    for shared in (0, 0, 0, 12000):
+        a = [f"w{rng.randrange(10**9)}" for _ in range(25000)]
+        b = a[:shared] + [f"w{rng.randrange(10**9)}" for _ in range(25000 - shared)]
+        x, y = set(zip(a, a[1:], strict=False)), set(zip(b, b[1:], strict=False))
+        fa, fb = sketches.all_fingerprints(pa.array([" ".join(a), " ".join(b)]))
+        errors.append((fa == fb).mean() - len(x & y) / len(x | y))
+    assert max(map(abs, errors[:3])) < 0.03 and abs(errors[3]) < 0.15
