@@ -1,98 +1,162 @@
 import numpy as np
 import pyarrow as pa
-from fieldloom.llm import lmscore
+import pytest
+from fieldloom.llm import lmscore, sums
 from fieldloom.llm.batches import texts
 from pyspark.sql import functions as F
 
 
-def test_gradient():
+def numbers(text):
+    (t,) = texts(pa.array([text]))
+    return lmscore.word_numbers(t)
+
+
+def known_of(sums, twigs=4):
+    none = np.zeros(0, np.int64)
+    return lmscore.Vocabulary(none, none, none, twigs, twigs // 2, sums, int(sums.sum()))
+
+
+def plain_loss(net, rows, twig):
+    """Mean negative log-probability of branches and twigs, word by word."""
+    total = 0.0
+    for r, g in zip(rows, twig, strict=True):
+        h = np.tanh(net.near[r].astype(float).sum(axis=0) + net.bias)
+        s = h @ net.out + net.prior
+        b, leaf = divmod(int(g), net.twigs)
+        q = net.inner[b] @ np.append(h, 1.0)
+        total -= s[b] - np.log(np.exp(s).sum()) + q[leaf] - np.log(np.exp(q).sum())
+    return total / len(twig)
+
+
+def test_probabilities_and_gradient():
     rng = np.random.default_rng(3)
-    klass = rng.integers(0, lmscore.CLASSES, 40)
-    first = np.array([0, 15, 15, 40])
-    at = np.arange(40)
-    net = lmscore.Network(rng.standard_normal(len(lmscore.Network().flat)) * 0.3)
-    rows = net.neighbours(klass, first, at)
-    loss = lambda flat: -lmscore.Network(flat).log_probs(rows, klass).mean()
-    before = net.flat.copy()
-    net.learn(rows, klass, 1e-2)
-    step = (before - net.flat).astype(np.float64)
-    sizes = np.cumsum([int(np.prod(s)) for s in net.SHAPES])
-    scale = np.ones(len(step))
-    scale[: sizes[0]] = 1 / np.sqrt(len(at))  # the tables learn at a higher rate
-    gradient = step * scale / 1e-2
-    for i in np.concatenate([rng.choice(np.flatnonzero(step[: sizes[0]]), 10), rng.integers(sizes[0], len(step), 30)]):
-        x = np.zeros(len(step), np.float32)
+    net = lmscore.Network.of(known_of(rng.uniform(0.5, 90, 3 * lmscore.BRANCHES), 3))
+    net = lmscore.Network(net.flat + rng.standard_normal(len(net.flat)) * 0.2, 3)
+    twig, at = rng.integers(0, net.groups, 40), np.arange(40)
+    rows = net.neighbours(twig, np.array([0, 15, 15, 40]), at)
+    assert np.isclose(-net.log_probs(rows, twig).mean(), plain_loss(net, rows, twig), rtol=1e-5)
+    each = net.log_probs(np.repeat(rows[:1], net.groups, axis=0), np.arange(net.groups))
+    assert np.isclose(np.exp(each).sum(), 1, atol=1e-4)
+    named, near, rest = net.gradient(rows, twig)
+    whole = np.zeros_like(net.near)
+    whole[named] = near
+    gradient = np.concatenate([x.ravel() for x in (whole, *rest)])
+    for i in np.concatenate([rng.choice(np.flatnonzero(gradient), 40), rng.integers(0, len(gradient), 10)]):
+        x = np.zeros(len(gradient), np.float32)
         x[i] = 1e-2
-        assert abs((loss(before + x) - loss(before - x)) / 2e-2 - gradient[i]) < 2e-3
+        slope = (plain_loss(lmscore.Network(net.flat + x, 3), rows, twig) - plain_loss(lmscore.Network(net.flat - x, 3), rows, twig)) / 2e-2
+        assert abs(slope - gradient[i]) < 1e-4
+
+
+def test_one_partition_is_the_plain_loop(spark):
+    texts_ = ["the cat of the hat ran", "to the hat, of a cat " * 9, "zu dem Hut"]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts_)], "doc_id long, text string").coalesce(1)
+    known = lmscore.vocabulary(docs)
+    net = lmscore.train(docs, known, 1)
+    own = lmscore.Network.of(known)
+    number, ending, first = (np.concatenate(x) for x in zip(*[numbers(x) for x in texts_], strict=True))
+    first = np.cumsum([0, *[len(x.split()) for x in texts_]])
+    twig = known.of(number, ending)[0]
+    order = np.random.default_rng(len(number)).permutation(len(number))
+    squares = np.full(len(own.flat), 1e-6, np.float32)
+    for a in range(0, len(order), 32):
+        rows = own.neighbours(twig, first, order[a : a + 32])
+        g = np.zeros(len(own.flat), np.float32)
+        named, near, rest = own.gradient(rows, twig[order[a : a + 32]])
+        g[: own.near.size].reshape(own.near.shape)[named] = near
+        g[own.near.size :] = np.concatenate([x.ravel() for x in rest])
+        squares += g * g
+        own.flat -= lmscore.RATE * g / np.sqrt(squares)
+    assert np.allclose(own.flat, net.flat, atol=1e-3)
+
+
+def test_sums_in_levels(spark):
+    def send(batches):
+        for _ in batches:
+            pass
+        task = sums.TaskContext.get().partitionId()
+        yield sums.pieces(np.arange(100, dtype=np.float32) * (task + 1), task)
+
+    rows = spark.range(0, 70, 1, 7).mapInArrow(send, sums.BLOB)
+    weights = np.arange(7)
+    expected = np.arange(100) * (weights * (weights + 1)).sum() / weights.sum()
+    assert np.allclose(sums.gathered(rows, np.float32, True, fan=2), expected, rtol=1e-5)
+    assert np.allclose(sums.gathered(rows, np.float32, False, fan=3), np.arange(100) * 28)
+    assert len(sums.gathered(rows.where("task < 0"), np.float32, True)) == 0
 
 
 def brute(text, known, net):
-    (t,) = texts(pa.array([text]))
-    number, _ = lmscore.word_numbers(t)
+    number, ending, _ = numbers(text)
+    twig, n = known.of(number, ending)
     total = 0.0
-    for i, w in enumerate(number):
+    for i, g in enumerate(twig):
         h = net.bias.astype(float).copy()
         for k, shift in enumerate([-2, -1, 1, 2]):
             j = i + shift
-            c = known.klass[number[j]] if 0 <= j < len(number) else lmscore.CLASSES
-            h += net.near[k * (lmscore.CLASSES + 1) + c]
-        s = np.tanh(h) @ net.out + net.prior
-        total += s[known.klass[w]] - np.log(np.exp(s).sum()) + known.log_share[w]
+            h += net.near[k * (net.groups + 1) + (twig[j] if 0 <= j < len(twig) else net.groups)]
+        h = np.tanh(h)
+        s, (b, leaf) = h @ net.out + net.prior, divmod(int(g), net.twigs)
+        q = net.inner[b] @ np.append(h, 1.0)
+        total += s[b] - np.log(np.exp(s).sum()) + q[leaf] - np.log(np.exp(q).sum()) + np.log(max(n[i], 0) + 0.5) - np.log(known.sums[g])
     return total
 
 
 def test_scores_and_edges(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one"), (-4, "of the " * 40000), (None, "the of"), (-5, "zz yy"), (-5, "zz yy")], "doc_id long, text string")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "one"), (-4, "of the " * 40000), (None, "the of"), (-5, "zz yy"), (-5, "zz yy"), (-6, "qqxqq once")], "doc_id long, text string")
     docs = table.union(extra).withColumn("n_tokens", F.lit("clash"))
     known = lmscore.vocabulary(docs)
-    assert np.isclose(np.bincount(known.klass, np.exp(known.log_share.astype(float))), 1, atol=1e-3).all()
     net = lmscore.train(docs, known)
     rows = lmscore.score(docs, known, net).collect()
     assert len(rows) == docs.count()
     by = {r.doc_id: r for r in rows}
     for d, t in docs.select("doc_id", "text").limit(5).collect() + [(-3, "one"), (None, "the of"), (-5, "zz yy")]:
         assert np.isclose(by[d].log_likelihood, brute(t, known, net), rtol=1e-3)
-    assert by[-1].log_likelihood == by[-2].log_likelihood == 0 and by[-4].n_tokens == 80000
-    mean = lambda n: sum(r.log_likelihood for r in lmscore.score(docs, known, n).collect() if r.doc_id is not None and r.doc_id >= 0)
-    assert mean(net) > mean(lmscore.Network(np.zeros(len(net.flat))))
+    assert by[-1].log_likelihood == by[-2].log_likelihood == by[-1].n_once == 0 and by[-4].n_tokens == 80000
+    assert by[-5].n_once == 0 and by[-6].n_once == 2
     assert lmscore.scored(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_held_out_words_are_better_predicted_than_by_their_counts(spark, sf_dir, sf):
+    docs = spark.read.parquet(sf_dir.replace("sf0.001", sf) + "/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(6)) == 0
+    rest, test = docs.where(~held), docs.where(held)
+    known = lmscore.vocabulary(rest)
+
+    def mean(net):
+        r = lmscore.score(test, known, net).agg(F.sum("log_likelihood").alias("s"), F.sum("n_tokens").alias("n")).first()
+        return r.s / r.n
+
+    counts, whole = mean(lmscore.Network.of(known)), mean(lmscore.train(rest.coalesce(1) if sf == "sf0.001" else rest, known))
+    assert whole > counts + 0.4
+    if sf == "sf0.001":
+        dealt = mean(lmscore.train(rest.repartition(7, "doc_id"), known))
+        assert dealt > counts + 0.25 and abs(dealt / whole - 1) < 0.03
+
+
+def test_untaught_is_the_unigram(spark):
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "b a dd")], "doc_id long, text string")
+    known = lmscore.vocabulary(docs)
+    got = {r.doc_id: r.log_likelihood for r in lmscore.score(docs, known, lmscore.Network.of(known)).collect()}
+    whole, share = known.sums.sum(), lambda n: np.log(n + 0.5)
+    assert np.isclose(got[2], share(2) + share(3) + share(1) - 3 * np.log(whole), rtol=1e-4)
+
+
 def test_every_word_is_learned_from_once():
     first = np.array([0, 1, 1, 9, 40])
     places = np.concatenate([lmscore.learned_places(first, k, lmscore.ROUNDS) for k in range(lmscore.ROUNDS)])
     assert sorted(places) == list(range(40))
 
 
-def test_gradient_of_parts():
-    rng = np.random.default_rng(4)
-    net = lmscore.Network(parts=3)
-    net = lmscore.Network(rng.standard_normal(len(net.flat)) * 0.3, 3)
-    klass, at = rng.integers(0, net.groups, 40), np.arange(40)
-    rows = net.neighbours(klass, np.array([0, 40]), at)
-    loss = lambda flat: -lmscore.Network(flat, 3).log_probs(rows, klass).mean()
-    before = net.flat.copy()
-    net.learn(rows, klass, 1e-2)
-    step = (before - net.flat).astype(np.float64)
-    inner = len(step) - net.inner.size
-    for i in rng.choice(np.flatnonzero(step[inner:]), 20) + inner:
-        x = np.zeros(len(step), np.float32)
-        x[i] = 1e-2
-        assert abs((loss(before + x) - loss(before - x)) / 2e-2 - step[i] / np.sqrt(len(at)) / 1e-2) < 2e-3
-    each = lmscore.Network(before, 3).log_probs(np.repeat(rows[:1], net.groups, axis=0), np.arange(net.groups))
-    assert np.isclose(np.exp(each).sum(), 1, atol=1e-3)
-
-
 def test_counts_and_shares_are_of_words(spark, monkeypatch):
     text = " ".join(f"w{i} " * (1 + i % 5) for i in range(40000))
     docs = spark.createDataFrame([(k, " ".join(text.split()[k::7])) for k in range(7)] + [(7, None)], "doc_id long, text string")
     whole = lmscore.vocabulary(docs)
-    assert len(whole.klass.words) == 40000 and whole.counts is None and whole.parts == 2
+    assert len(whole.words) == 40000 and whole.counts is None and whole.total == 120000
+    assert np.isclose(whole.sums.sum(), 120000 + 0.5 * (40000 + whole.twigs * lmscore.BRANCHES))
     monkeypatch.setattr(lmscore, "KNOWN", 20000)
     part = lmscore.vocabulary(docs)
-    assert len(part.klass.words) == 16000 and part.counts.count() == 40000
-    assert np.allclose(part.log_sums, whole.log_sums) and (part.klass[whole.klass.words] == whole.klass.values).all()
-    net = lmscore.Network.of(whole)
-    a, b = ({r.doc_id: r for r in lmscore.score(docs, known, net).collect()} for known in (whole, part))
-    assert len(a) == len(b) == 8 and all(np.isclose(a[d].log_likelihood, b[d].log_likelihood, rtol=1e-5) and a[d].n_tokens == b[d].n_tokens for d in a)
+    assert len(part.words) == 16000 and part.counts.count() == 40000 and np.isclose(part.sums.sum(), whole.sums.sum())
+    a, b = ({r.doc_id: r for r in lmscore.score(docs, k, lmscore.Network.of(k)).collect()} for k in (whole, part))
+    assert len(a) == len(b) == 8 and all(np.isclose(a[d].log_likelihood, b[d].log_likelihood, rtol=1e-4) and a[d].n_tokens == b[d].n_tokens and a[d].n_once == b[d].n_once for d in a)
