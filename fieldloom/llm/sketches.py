@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,12 +16,8 @@ from fieldloom.llm.batches import Texts, U, mix64, shingles, texts, words
 #: Samples of a fingerprint, each of 16 bits; a term is the 64-bit hash of a run of TERM_WORDS words.
 SAMPLES, TERM_WORDS = 128, 2
 EMPTY = 0xFFFF
-#: Bytes of text that are sampled at once.
-CHUNK = 1 << 17
-#: Terms that are drawn for at once.
-TERMS = 256
-#: At most so many ranges of doc_id.
-MOST_RANGES = 2000
+#: Bytes of text that are sampled at once, terms that are drawn for at once, and entries of texts that take them.
+CHUNK, TERMS, ENTRIES = 1 << 18, 256, 1024
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -63,17 +60,29 @@ def weighted_terms(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fingerprints(t: Texts) -> np.ndarray:
     """A row of SAMPLES 16-bit numbers for each text; two rows agree in a share of places that is the generalised
-    Jaccard similarity of their term counts, on average. A text without words has EMPTY throughout."""
+    Jaccard similarity of their term counts, on average. A text without words has EMPTY throughout.
+
+    A term that several of the texts have equally often is drawn for once."""
     out = np.full((len(t), SAMPLES), EMPTY, np.uint16)
     terms, counts, first = weighted_terms(t)
-    full = np.diff(first) > 0
     text = np.repeat(np.arange(len(t)), np.diff(first))
+    order = np.lexsort((text, counts, terms))
+    terms, counts, text = terms[order], counts[order], text[order]
+    new = np.ones(len(terms), bool)
+    new[1:] = (terms[1:] != terms[:-1]) | (counts[1:] != counts[:-1])
+    start, which = np.flatnonzero(new), np.cumsum(new) - 1
     least = np.full((len(t), SAMPLES), np.inf, np.float32)
-    for a in range(0, len(terms), TERMS):
-        own = text[a : a + TERMS]
-        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        some = np.minimum.reduceat(_least_a(terms[a : a + TERMS], counts[a : a + TERMS]), start, axis=0)
-        least[own[start]] = np.minimum(least[own[start]], some)
+    for a in range(0, len(start), TERMS):
+        drawn = _least_a(terms[start[a : a + TERMS]], counts[start[a : a + TERMS]])
+        low, high = start[a], start[a + TERMS] if a + TERMS < len(start) else len(terms)
+        for c in range(low, high, ENTRIES):
+            own, at = text[c : min(c + ENTRIES, high)], which[c : min(c + ENTRIES, high)] - a
+            by_text = np.argsort(own, kind="stable")
+            own = own[by_text]
+            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            some = np.minimum.reduceat(drawn[at[by_text]], edge, axis=0)
+            least[own[edge]] = np.minimum(least[own[edge]], some)
+    full = np.diff(first) > 0
     out[full] = np.minimum((least[full].view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(16), np.uint32(EMPTY - 1))
     return out
 
@@ -89,63 +98,91 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _rank(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts `value` reaches: by every k-th cut first, then by the k before the next."""
+    k = max(1, round(len(cuts) ** 0.5))
+    longs = lambda x: F.array(*[F.lit(c).cast("long") for c in x]).cast("array<long>")
+    coarse = F.size(F.filter(longs(cuts[::k]), lambda c: c <= value))
+    fine = lambda at: (at - 1) * k + F.size(F.filter(F.slice(longs(cuts), (at - 1) * k + 1, k), lambda c: c <= value))
+    return F.when(coarse == 0, F.lit(0)).otherwise(fine(F.greatest(coarse, F.lit(1))))
+
+
+def _range_number(cuts: list[int], place: Column, tie: Column) -> Column:
+    """The range of a row. A place that is several cuts, as it has the rows of several ranges, is dealt to as many by
+    `tie`, in its order."""
+    own = sorted(set(cuts))
+    times = [bisect_right(cuts, c) - bisect_left(cuts, c) for c in own]
+    if not own:
+        return F.lit(0)
+    at = _rank(own, place) - 1
+    ints = lambda x: F.array(*map(F.lit, x))
+    upto, many = F.get(ints(np.cumsum(times).tolist()), at), F.get(ints(times), at)
+    share = F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * many).cast("int"), many - 1)
+    hot = (many > 1) & (F.get(F.array(*[F.lit(c).cast("long") for c in own]), at) == place)
+    return F.when(at < 0, F.lit(0)).when(hot, upto - many + 1 + share).otherwise(upto)
+
+
 def _ranged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (range, last, place, doc_id, text), place being doc_id with nulls first. Each range ends with a row
-    (last: true) that repeats the document after it; the last range's is the very first document."""
+    """Rows (range, last, place, tie, doc_id, text), place being doc_id with nulls first. Each range ends with a row
+    (last: true) that repeats the document after it; the last range's is the very first document. There are four
+    ranges for each shuffle partition of the session, and of each the driver gets where it begins."""
     spark = docs.sparkSession
-    n = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    place = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    rows = docs.select(place.alias("place"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = docs.agg(F.percentile_approx(place, [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else []
-    cuts = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts or []))]).cast("array<long>")
-    number: Column = F.size(F.filter(cuts, lambda c: c <= place))
-    firsts = docs.select(number.alias("range"), place.alias("place")).groupBy("range").agg(F.min("place").alias("place")).orderBy("range").collect()
-    ends = [(r.range, firsts[(k + 1) % len(firsts)].place) for k, r in enumerate(firsts)]
-    tails = F.broadcast(spark.createDataFrame(ends, "tail_range int, tail_place long"))
-    after = rows.join(tails, F.col("place") == F.col("tail_place")).groupBy("tail_range", "place").agg(F.min("text").alias("text"))
-    body = rows.select(F.size(F.filter(cuts, lambda c: c <= F.col("place"))).alias("range"), F.lit(False).alias("last"), "place", "doc_id", "text")
-    return body, after.select(F.col("tail_range").alias("range"), F.lit(True).alias("last"), "place", F.col("place").alias("doc_id"), "text")
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place, text = F.coalesce(F.col("doc_id"), F.lit(-(2**63))), F.coalesce("text", F.lit(""))
+    rows = docs.select(place.alias("place"), F.xxhash64(text).alias("tie"), "doc_id", text.alias("text"))
+    cuts = docs.agg(F.percentile_approx(place, [k / n for k in range(1, n)], 20 * n)).first()[0] or []
+    rows = rows.withColumn("range", _range_number(sorted(cuts), F.col("place"), F.col("tie")))
+    firsts = rows.groupBy("range").agg(F.min(F.struct("place", "tie")).alias("f")).orderBy("range").collect()
+    ends = [(r.range, *firsts[(k + 1) % len(firsts)].f) for k, r in enumerate(firsts)]
+    tails = F.broadcast(spark.createDataFrame(ends, "tail_range int, tail_place long, tail_tie long"))
+    after = rows.join(tails, (F.col("place") == F.col("tail_place")) & (F.col("tie") == F.col("tail_tie"))).groupBy("tail_range", "place", "tie").agg(F.min("text").alias("text"))
+    body = rows.select("range", F.lit(False).alias("last"), "place", "tie", "doc_id", "text")
+    return body, after.select(F.col("tail_range").alias("range"), F.lit(True).alias("last"), "place", "tie", F.col("place").alias("doc_id"), "text")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """For each document its fingerprint, that of its edited text, and how like the two and the next document's are.
 
     The next document is that with the next doc_id, after the last the first; rows with the same doc_id follow
-    each other by text, and those with a null doc_id come first. A null text is an empty one; texts without words
-    are like each other (1) and like no others. No rows give none; other columns are not looked at. Documents are
-    sorted in ranges of doc_id, so a text is shuffled once.
+    each other by a hash of their text, and those with a null doc_id come first. A null text is an empty one; texts
+    without words are like each other (1) and like no others. No rows give none; other columns are not looked at.
+    Documents are sorted in ranges of doc_id, so a text is shuffled once; a doc_id with very many rows is several
+    ranges.
     """
     body, tails = _ranged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     spark = docs.sparkSession
-    rows = body.unionAll(tails).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "last", "place", "text")
+    rows = body.unionAll(tails).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "last", "place", "tie", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[list, list, np.ndarray] | None = None
+        ids, text, last, first = [], [], [], None
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                ids = part.column("doc_id").to_pylist()
-                text, last, own = part.column("text").to_pylist(), part.column("last").to_pylist(), all_fingerprints(part.column("text"))
-                if before:
-                    ids, text, last, own = before[0] + ids, before[1] + text, [False] + last, np.concatenate([before[2], own])
-                open_end = not last[-1]
-                before = (ids[-1:], text[-1:], own[-1:]) if open_end else None
-                mine = [i for i in range(len(ids) - open_end) if not last[i]]
-                if not mine:
-                    continue
-                new = [edited(text[i], text[i + 1]) for i in mine]
-                changed, this, following = all_fingerprints(pa.array(new, pa.string())), own[mine], own[[i + 1 for i in mine]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in mine], pa.int64()),
-                        pa.array([len(text[i]) for i in mine], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in new]),
-                        pa.array([x.astype(">u2").tobytes().hex() for x in this]),
-                        pa.array([x.astype(">u2").tobytes().hex() for x in changed]),
-                        pa.array((this == changed).mean(axis=1)),
-                        pa.array((this == following).mean(axis=1)),
-                    ],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
+                ids += part.column("doc_id").to_pylist()
+                text += part.column("text").to_pylist()
+                last += part.column("last").to_pylist()
+                mine = [i for i in range(len(ids) - (not last[-1])) if not last[i]]
+                # each text goes beside its edited text, with which it shares most terms
+                new = {i: edited(text[i], text[i + 1]) for i in mine}
+                both = [(i, k, x) for i in range(len(ids)) for k, x in enumerate((text[i], new.get(i))) if x is not None and (k or i or first is None)]
+                prints = dict(zip(((i, k) for i, k, _ in both), all_fingerprints(pa.array([x for _, _, x in both], pa.string())), strict=True))
+                if first is not None:
+                    prints[0, 0] = first
+                if mine:
+                    this, changed, following = (np.stack([prints[i + d, k] for i in mine]) for d, k in ((0, 0), (0, 1), (1, 0)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([ids[i] for i in mine], pa.int64()),
+                            pa.array([len(text[i]) for i in mine], pa.int64()),
+                            pa.array([hashlib.sha256(new[i].encode()).hexdigest() for i in mine]),
+                            pa.array([x.astype(">u2").tobytes().hex() for x in this]),
+                            pa.array([x.astype(">u2").tobytes().hex() for x in changed]),
+                            pa.array((this == changed).mean(axis=1)),
+                            pa.array((this == following).mean(axis=1)),
+                        ],
+                        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                    )
+                first = None if last[-1] else prints[len(ids) - 1, 0]
+                ids, text, last = ([], [], []) if last[-1] else (ids[-1:], text[-1:], [False])
 
     return rows.select("last", "doc_id", "text").mapInArrow(compare, RESULT)

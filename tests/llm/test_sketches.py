@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from fieldloom.llm import sketches
 from fieldloom.llm.batches import texts
+from pyspark.sql import functions as F
 
 
 def jaccard(a, b):
@@ -34,10 +35,11 @@ def test_edits_neighbours_and_edges(spark):
     docs += [(5, None), (6, ""), (7, "abc"), (8, "x " * 40000), (9, "same text here"), (10, "same text here"), (11, "t"), (11, "u"), (None, "no id")]
     df = spark.createDataFrame([(d, t, True, 3) for d, t in docs], "doc_id long, text string, last boolean, range int")
     rows = sketches.edited_fingerprints(df).collect()
-    order = sorted(((d is not None, d or 0, t or "") for d, t in docs))
+    ties = dict(spark.createDataFrame([(t or "",) for _, t in docs], "t string").select("t", F.xxhash64("t")).collect())
+    order = sorted(((d is not None, d or 0, ties[t or ""], t or "") for d, t in docs))
     want = {}
-    for i, (known, d, t) in enumerate(order):
-        nxt = order[(i + 1) % len(order)][2]
+    for i, (known, d, _, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][3]
         n = len(t) // 4
         want.setdefault(d if known else None, []).append((len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
     got = {}
@@ -52,6 +54,27 @@ def test_edits_neighbours_and_edges(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_a_doc_id_of_very_many_rows_is_several_ranges(spark):
+    docs = [(7, f"text number {i}") for i in range(3000)] + [(i, f"other {i}") for i in range(3, 300) if i != 7] + [(7, "the same")] * 40
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ranges = sketches._ranged(df)[0].groupBy("range").count().collect()
+    assert len(ranges) > 12 and max(r["count"] for r in ranges) < 1000
+    rows = sketches.edited_fingerprints(df).collect()
+    assert len(rows) == len(docs)
+    ties = dict(df.select("text", F.xxhash64("text")).collect())
+    order = sorted((d, ties[t], t) for d, t in docs)
+    want = sorted((d, hashlib.sha256(sketches.edited(t, order[(i + 1) % len(order)][2]).encode()).hexdigest()) for i, (d, _, t) in enumerate(order))
+    assert sorted((r.doc_id, r.edited_sha256) for r in rows) == want
+
+
+def test_ranks(spark):
+    cuts = [-9, -2, 0, 4, 5, 6, 7, 100, 2**62, 2**63 - 1]
+    for some in (cuts, cuts[:1], cuts[:2], cuts[:5]):
+        values = [-(2**63), -10, -9, -3, 0, 1, 5, 50, 100, 2**62 + 1, 2**63 - 1]
+        got = spark.createDataFrame([(v,) for v in values], "v long").select("v", sketches._rank(some, F.col("v")).alias("k")).collect()
+        assert {r.v: r.k for r in got} == {v: sum(c <= v for c in some) for v in values}
+
+
 def test_whole_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sketches.edited_fingerprints(df).collect()
