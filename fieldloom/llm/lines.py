@@ -11,6 +11,8 @@ from fieldloom.llm.staging import staged
 
 #: Any run of this many lines that are not blank is found when it stands earlier in the corpus.
 WINDOW = 2
+#: A line of this many words (parts between blanks) counts as such a run by itself.
+LONG_WORDS = 50
 #: What is taken off the ends of a line before it is compared.
 BLANKS = " \t\r\x0b\x0c\u00a0"
 
@@ -24,41 +26,60 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _windows(docs: DataFrame, body: Callable[[Column], Column]) -> DataFrame:
+    """doc_id and the structs that `body` makes of each document's lines that aren't blank."""
+    lines = F.filter(F.transform(F.split("text", "\n"), _trimmed), lambda x: x != "")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(_let(lines, body)))
+
+
 def fingerprints(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, line, print, gram): a row per window of `window` lines, blank lines not counted.
+    """(doc_id, line, print, around): the lines that winnowing selects, blank lines not counted.
 
-    print is the hash of the line with the smallest hash in the window (on a tie the last such line), so equal
-    windows choose the same line; gram is the hash of all its lines. Fewer lines than a window give no rows.
+    A line is selected if its hash is the smallest (on a tie the last such) in a run of `window` lines, so equal runs
+    select the same line of them; of n lines about 2n / (window + 1) are. print is the line's hash, around the runs of
+    `window` lines that it is in: (start, size, gram), gram being the hash of all their lines. Fewer lines than a
+    window give no rows.
     """
-    hashes = F.transform(F.filter(F.split("text", "\n"), lambda x: _trimmed(x) != ""), lambda x: F.xxhash64(_trimmed(x)))
 
-    def windows(h: Column) -> Column:
-        own = lambda s: F.slice(h, s + 1, window)
-        each = F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda s: F.struct(s.alias("line"), F.array_min(own(s)).alias("print"), F.xxhash64(own(s)).alias("gram")))
-        return F.when(F.size(h) >= window, each)
+    def selected(lines: Column) -> Column:
+        run = lambda h, s: F.slice(h, s + 1, window)
+        starts = lambda h: F.sequence(F.lit(0), F.size(h) - window)
+        last = lambda h, s: s + window - F.array_position(F.reverse(run(h, s)), F.array_min(run(h, s))).cast("int")
+        of = lambda h, i: F.transform(F.sequence(F.greatest(i - window + 1, F.lit(0)), F.least(i, F.size(h) - window)), lambda s: F.struct(s.alias("start"), F.lit(window).alias("size"), F.xxhash64(run(h, s)).alias("gram")))
+        rows = lambda h: F.transform(F.array_distinct(F.transform(starts(h), lambda s: last(h, s))), lambda i: F.struct(i.alias("line"), F.get(h, i).alias("print"), of(h, i).alias("around")))
+        return _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda h: F.when(F.size(h) >= window, rows(h)))
+
+    return _windows(docs.where(F.contains("text", F.lit("\n"))) if window > 1 else docs, selected)
 
-    rows = docs.where(F.col("doc_id").isNotNull() & (F.col("text").contains("\n") if window > 1 else F.col("text").isNotNull()))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(_let(hashes, windows)))
+
+def long_lines(docs: DataFrame, words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, start, size, gram): each line of at least so many words as a run of its own."""
+    row = lambda x, i: F.when(F.size(F.split(x, " ")) >= words, F.struct(i.alias("start"), F.lit(1).alias("size"), F.xxhash64(F.array(F.xxhash64(x))).alias("gram")))
+    return _windows(docs, lambda lines: F.array_compact(F.transform(lines, row)))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, line) of every window whose lines stand, in this order, at an earlier position of the corpus.
+    """(doc_id, start, size) of every run of `window` lines, and of every long line, that stands earlier in the corpus.
 
-    Fingerprints that occur once drop out. Of the others' windows the first position is found (the least of each task
-    before the shuffle) and joined back; windows that touch are one run, so a match is extended both ways as far as
-    its lines agree. Both small sides are staged, so that Spark can split the joins' hot keys.
+    Positions whose fingerprint occurs once drop out; so only selected lines are shuffled, and no run yet. The rest
+    are extended to both sides, to all runs of `window` lines around them, and equal runs are joined with the first
+    of them (the least of each task before the shuffle). Each run that stands earlier has its own fingerprint selected
+    at both places, so none is missed; runs that touch are one longer run. The small sides are staged, so that Spark
+    can split the joins' hot keys.
     """
     prints = staged(fingerprints(docs, window), "line-prints")
     twice = staged(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print"), "line-repeated")
-    alive = prints.join(twice, "print", "left_semi")
-    first = alive.groupBy("gram").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "first")
-    first = staged(first, "line-first")
-    return alive.join(first, "gram").where(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
+    runs = prints.join(twice, "print", "left_semi").select("doc_id", F.inline("around"))
+    runs = staged(runs.unionByName(long_lines(docs)), "line-runs")
+    first = runs.groupBy("gram", "size").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
+    first = staged(first.where("first < last").select("gram", "size", "first"), "line-first")
+    return runs.join(first, ["gram", "size"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "size")
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, dropped array<int>): the lines to delete, numbered without blank lines, ascending."""
-    lines = F.flatten(F.transform(F.collect_set("line"), lambda s: F.sequence(s, s + window - 1)))
+    lines = F.flatten(F.transform(F.collect_set(F.struct("start", "size")), lambda r: F.sequence(r["start"], r["start"] + r["size"] - 1)))
     return repeated_windows(docs, window).groupBy("doc_id").agg(F.array_sort(F.array_distinct(lines)).alias("dropped"))
 
 
@@ -76,7 +97,7 @@ def _kept(text: Column, dropped: Column) -> Column:
 
 def without_repeated_lines(docs: DataFrame, window: int = WINDOW, drop_emptied: bool = True) -> DataFrame:
     """The documents, all columns, with each run of `window` or more lines that stands earlier in the corpus
-    deleted (earlier: a smaller doc_id, or further up in the same document).
+    deleted, and each line of LONG_WORDS words that does (earlier: a smaller doc_id, or further up in the same document).
 
     Lines are compared without white space at their ends; blank lines don't count and stay. Rows with the same
     doc_id count as one position each line, so none makes another's lines repeated; a null doc_id or text is
@@ -108,8 +129,11 @@ def _sql(window: int = WINDOW) -> str:
             FROM raw WHERE ltrim(rtrim(full_line, {blanks}), {blanks}) <> ''
         ),
         grams AS (SELECT *, {lead} AS gram FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
-        marked AS (SELECT *, coalesce(gram IS NOT NULL AND row_number() OVER (PARTITION BY gram ORDER BY doc_id, n) > 1, false) AS bad FROM grams),
-        dropped AS (SELECT *, {covered} AS gone FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+        marked AS (
+            SELECT *, coalesce(gram IS NOT NULL AND row_number() OVER (PARTITION BY gram ORDER BY doc_id, n) > 1, false) AS bad,
+                len(string_split(line, ' ')) >= {LONG_WORDS} AND row_number() OVER (PARTITION BY line ORDER BY doc_id, n) > 1 AS alone FROM grams
+        ),
+        dropped AS (SELECT *, {covered} OR alone AS gone FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
         kept AS (
             SELECT raw.doc_id, count(d.n) AS n_lines, count(*) FILTER (WHERE d.gone) AS n_dropped,
                 string_agg(full_line, chr(10) ORDER BY raw.pos) FILTER (WHERE NOT coalesce(d.gone, false)) AS text
