@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ class Layout:
     #: (list, role field, text field) of listed turns.
     listed: tuple[str, str, str] | None = None
     roles: dict[str, str] = field(default_factory=dict)
+    #: (conversation, turn, role, text) where each record is one turn of a conversation.
+    rows: tuple[str, str, str, str] | None = None
 
     def path_sets(self) -> list[list[str]]:
         return [sorted(self.required + extra) for n in range(len(self.optional) + 1) for extra in combinations(self.optional, n)]
@@ -49,8 +52,9 @@ LAYOUTS = (
     Layout("prompt_completion", ("completion", "prompt"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt_response", ("prompt", "response"), ("system",), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("question_answer", ("answer", "question"), ("system",), (("system", "system"), ("user", "question"), ("assistant", "answer"))),
+    Layout("turn_rows", ("conv_id", "role", "text", "turn"), rows=("conv_id", "turn", "role", "text")),
+    Layout("message_rows", ("content", "message_index", "role", "thread_id"), rows=("thread_id", "message_index", "role", "content")),
 )
-TURN_ROWS = ("conv_id", "role", "text", "turn")
 KNOWN_PATHS = tuple(sorted({p for x in LAYOUTS for p in x.required + x.optional}))
 
 
@@ -59,39 +63,73 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(paths, "\n"))
 
 
+def _number(paths: list[str]) -> int:
+    """The same hash on the driver."""
+    n = xxhash.xxh64_intdigest("\n".join(paths).encode(), seed=42)
+    return n - (1 << 64) * (n >> 63)
+
+
+#: The mapping that each hash of a set of paths selects.
+REGISTRY = {_number(paths): x for x in LAYOUTS for paths in x.path_sets()}
+
+
+def _keys(value: Column) -> Column:
+    """The field names of a variant object; null for other values."""
+    return F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+
+
+def record_paths(record: Column) -> Column:
+    """The nested paths of a variant object's fields, whatever their values: fields of objects by dots, fields of the
+    objects in a list, of any of them, by []."""
+
+    def below(e: Column) -> Column:
+        items = F.try_variant_get(e["value"], "$", "array<variant>")
+        inner = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(_keys(x), F.array().cast("array<string>")))))
+        of = lambda keys, mark: F.transform(keys, lambda k: F.concat(e["key"], F.lit(mark), k))
+        found = F.when(items.isNotNull(), of(inner, "[].")).otherwise(of(_keys(e["value"]), "."))
+        return F.when(F.size(found) > 0, found).otherwise(F.array(e["key"]))
+
+    fields = F.map_entries(F.try_variant_get(record, "$", "map<string,variant>"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(fields, below))))
+
+
 def _value(record: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(record, "$." + path.replace("[]", "[0]"), kind)
+    return F.try_variant_get(record, "$." + path, kind)
 
 
 def canonical_records(df: DataFrame, column: str = "record") -> DataFrame:
     """Adds layout string, fingerprint long and turns array<struct<role,text>> to rows with a JSON record each.
 
-    A path counts if its value (in lists: the first element's) isn't null; paths that no layout knows are left
-    out, the others hashed, and the hash selects the mapping. Records that are null, no JSON or of no known
-    layout have layout and turns null. Texts and roles that are null become empty. Existing columns with these
-    names are replaced; other columns stay.
+    The record's nested paths are taken, whatever their values are and from all elements of a list; those that no
+    layout knows are left out, the others hashed, and the hash selects the mapping. Records that are null, no JSON
+    objects or of no known layout have layout and turns null, as have layouts with a record for each turn, which
+    `canonical_rows` takes. Texts and roles that are null, or missing in one element of a list, become empty; so does
+    a null single turn, but an optional one (system) is left out. Very long records are taken whole, repeated rows come out as often, an empty table
+    gives none. Existing columns with these names are replaced; other columns stay.
     """
     record = F.try_parse_json(F.col(column))
-    present = F.array_compact(F.array(*[F.when(_value(record, p).isNotNull(), F.lit(p)) for p in KNOWN_PATHS]))
-    df = df.withColumn("fingerprint", fingerprint(present))
+    known = F.array_intersect(record_paths(record), F.array(*map(F.lit, KNOWN_PATHS)))
+    df = df.withColumns({"__record": record, "fingerprint": fingerprint(known)})
+    record = F.col("__record")
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
     for x in LAYOUTS:
-        hit = F.lit(False)
-        for paths in x.path_sets():
-            hit = hit | (F.col("fingerprint") == fingerprint(F.array(*map(F.lit, paths))))
-        parts = [_single(record, role, path) for role, path in x.single]
+        if x.rows:
+            continue
+        hit = F.col("fingerprint").isin(*[n for n, layout in REGISTRY.items() if layout is x])
+        parts = [_single(record, role, path, path in x.optional) for role, path in x.single]
         if x.listed:
             parts.append(_listed(record, *x.listed, x.roles))
         name = F.when(hit, F.lit(x.name)).otherwise(name)
         turns = F.when(hit, F.concat(*parts)).otherwise(turns)
-    return df.withColumns({"layout": name, "turns": turns})
+    return df.withColumns({"layout": name, "turns": turns}).drop("__record")
 
 
-def _single(record: Column, role: str, path: str) -> Column:
+def _single(record: Column, role: str, path: str, optional: bool) -> Column:
     first, *rest = path.split("+")
     value = _value(record, first)
-    text = F.concat_ws("\n", value, *[F.nullif(_value(record, p), F.lit("")) for p in rest])
-    return F.when(value.isNull(), F.array().cast(TURN)).otherwise(F.array(F.struct(F.lit(role).alias("role"), text.alias("text"))))
+    text = F.concat_ws("\n", F.coalesce(value, F.lit("")), *[F.nullif(_value(record, p), F.lit("")) for p in rest])
+    turn = F.array(F.struct(F.lit(role).alias("role"), text.alias("text")))
+    return F.when(value.isNull(), F.array().cast(TURN)).otherwise(turn) if optional else turn
 
 
 def _listed(record: Column, name: str, role: str, text: str, roles: dict[str, str]) -> Column:
@@ -107,12 +145,18 @@ def _listed(record: Column, name: str, role: str, text: str, roles: dict[str, st
 
 
 def canonical_rows(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table that has a row per turn; its schema's fingerprint is checked."""
-    kept = [f for f in df.schema.fields if f.name in TURN_ROWS]
-    if tuple(nested_paths(T.StructType(kept))) != TURN_ROWS:
+    """(conv_id, turn, role, text) of a table with a row for each turn.
+
+    The nested paths of the table's schema, those that no layout knows left out, are hashed, and the hash selects the
+    mapping; without one it is an error. Null texts and roles become empty; repeated rows come out as often.
+    """
+    found = [p for p in nested_paths(df.schema) if p in KNOWN_PATHS]
+    layout = REGISTRY.get(_number(sorted(found)))
+    if layout is None or not layout.rows:
         raise ValueError(f"no mapping for the paths {nested_paths(df.schema)}")
+    conversation, turn, role, text = layout.rows
     empty = F.lit("")
-    return df.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    return df.select(F.col(conversation).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(role, empty).alias("role"), F.coalesce(text, empty).alias("text"))
 
 
 # -- template ------------------------------------------------------------------------------------------------

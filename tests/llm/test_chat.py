@@ -50,11 +50,40 @@ def test_layouts_are_selected_by_fingerprint(spark):
         "question_answer": {"question": "q", "answer": "a"},
         None: {"prompt": "only"},
     }
-    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in records.items()] + [(None, None), (None, "{not json")], "want string, record string")
+    more = [
+        ("messages", {"messages": [{"role": "assistant", "content": None, "tool": 1}, {"role": "user"}, {"content": "a", "role": None}]}),
+        ("prompt_completion", {"prompt": None, "completion": "c"}),
+        (None, {"prompt": "p", "completion": "c", "response": None}),
+        (None, {"messages": []}),
+        (None, [1, 2]),
+        (None, {"conv_id": 1, "turn": 0, "role": "user", "text": "x"}),
+    ]
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in [*records.items(), *more]] + [(None, None), (None, "{not json")], "want string, record string")
     out = chat.format_records(chat.canonical_records(df)).collect()
     assert all(r.layout == r.want and (r.turns is None) == (r.want is None) for r in out)
-    by = {r.layout: [tuple(t) for t in r.turns] for r in out if r.layout}
+    by = {r.layout: [tuple(t) for t in r.turns] for r in reversed(out) if r.layout}
+    turns = [[tuple(t) for t in r.turns] for r in out if r.layout]
+    assert [("assistant", ""), ("user", ""), ("", "a")] in turns and [("user", ""), ("assistant", "c")] in turns
     assert by["messages"] == [("user", "q"), ("assistant", "")]
     assert by["from_value"] == [("system", "s"), ("user", "q"), ("assistant", "a")]
     assert by["instruction"] == [("user", "do\nthis"), ("assistant", "done")]
     assert by["prompt_response"] == [("user", "p"), ("assistant", "c")]
+
+
+def test_the_hash_is_the_same_on_the_driver(spark):
+    paths = [sorted(p) for x in chat.LAYOUTS for p in x.path_sets()]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p array<string>").select("i", chat.fingerprint(F.col("p")).alias("h")).collect()
+    assert all(chat.REGISTRY[r.h].name for r in rows) and len({r.h for r in rows}) == len(paths) == len(chat.REGISTRY)
+
+
+def test_rows_of_another_layout(spark):
+    df = spark.createDataFrame([(9, 0, "user", None), (9, 1, "assistant", "x"), (9, 1, "assistant", "x")], "thread_id int, message_index int, role string, content string").withColumn("extra", F.lit(1))
+    rows = chat.canonical_rows(df)
+    assert rows.columns == ["conv_id", "turn", "role", "text"] and sorted(map(tuple, rows.collect())) == [(9, 0, "user", ""), (9, 1, "assistant", "x"), (9, 1, "assistant", "x")]
+
+
+def test_long_and_repeated_records(spark):
+    long = json.dumps({"messages": [{"role": "user", "content": "word " * 20000}] * 300})
+    df = spark.createDataFrame([(long,), (long,)], "record string").withColumn("layout", F.lit(5))
+    out = chat.format_records(chat.canonical_records(df)).select("layout", F.size("turns").alias("n"), F.length("formatted").alias("chars")).collect()
+    assert [r.n for r in out] == [300, 300] and out[0].chars > 300 * 100000 and chat.canonical_records(df.limit(0)).count() == 0
