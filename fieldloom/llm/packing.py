@@ -3,26 +3,29 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldloom.llm.batches import LOWER, SPACES, Texts, texts, words
 
-#: Documents in a group on average; a group's rows fit one task whatever the input's size.
-GROUP_DOCS = 8192
+#: Pieces in a group on average, at most; a group's rows fit one task whatever the input's size.
+GROUP_PIECES = 8192
 #: Parts of texts whose ids a worker remembers, about 40 bytes each.
 CACHE_ENTRIES = 2_000_000
 MARK = "\x01"
 #: Bytes of text that are looked up at once.
 PART_BYTES = 2 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+SALTED = PIECES + ", salt long"
 
 
 class CachedTokenizer:
@@ -123,25 +126,30 @@ def shared_tokenizer(path: str) -> CachedTokenizer:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:
-    """A row per piece of at most `length` ids of each document, its end id included."""
+    """A row per piece of at most `length` ids of each document, its end id included. salt tells equal rows of a table
+    apart: it is the task's number and how many such rows the task had before, so it is the same in whatever order the
+    task's rows come."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = shared_tokenizer(tokenizer), end_id.to_bytes(4, "little")
+        own, end, seen = shared_tokenizer(tokenizer), end_id.to_bytes(4, "little"), Counter()
+        task = TaskContext.get().partitionId() << 40
         for batch in batches:
             doc_ids = batch.column(0)
             for t in texts(batch.column(1), PART_BYTES):
                 flat, first = own.encode(t)
-                rows: list[list[int]] = [[], [], [], [], []]
+                rows: list[list[int]] = [[], [], [], [], [], []]
+                ids = doc_ids.slice(t.first, len(t)).to_pylist()
                 for i in range(len(t)):
                     tokens = flat[first[i] : first[i + 1]].astype("<u4").tobytes() + end
-                    n = len(tokens) // 4
+                    n, same = len(tokens) // 4, hash((ids[i], tokens))
+                    salt, seen[same] = task + seen[same], seen[same] + 1
                     for s in range(0, n, length):
                         part = tokens[4 * s : 4 * (s + length)]
-                        for to, value in zip(rows, (t.first + i, s, len(part) // 4, zlib.crc32(part), n), strict=True):
+                        for to, value in zip(rows, (t.first + i, s, len(part) // 4, zlib.crc32(part), n, salt), strict=True):
                             to.append(value)
-                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows[0])), *(pa.array(r, pa.int64()) for r in rows[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(rows[0])), *(pa.array(r, pa.int64()) for r in rows[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(pieces, SALTED)
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -166,26 +174,28 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[tuple[int, int
     return placed
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, end_id: int = 2, group_docs: int = GROUP_DOCS, seed: int = 17) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = 4096, end_id: int = 2, group_pieces: int = GROUP_PIECES, seed: int = 17) -> DataFrame:
     """Packs every document (null text: empty) into sequences of at most `length` ids.
 
     A document is its ids and then `end_id`, cut every `length` ids. Pieces go to groups at random (by a hash of
-    document, start and seed), about `group_docs` documents each, and every group packs its own by first fit
+    document, ids, salt and seed, so pieces that share a doc_id, or all of it, are dealt out too), about
+    `group_pieces` each or fewer, as a text has no more ids than bytes, and every group packs its own by first fit
     decreasing; ties go by doc_id, start and checksum. Repeated rows are packed as often as they occur, a null
     doc_id stays null, an empty text gives one piece with the end id alone, no documents give no rows, and
     columns other than doc_id and text are not looked at.
     """
     pieces = tokenized_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), length, end_id)
-    groups = max(1, -(-docs.count() // group_docs))
+    most = docs.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.floor(F.octet_length("text") / length)), F.lit(0))).first()[0]
+    groups = max(1, -(-most // group_pieces))
 
     def packed(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
         placed = np.array(first_fit_decreasing(rows["length"].to_pylist(), length), np.int64).reshape(-1, 2)
         sequence = rows["pack_group"].to_numpy() * (1 << 32) + placed[:, 0]
-        return rows.drop_columns("pack_group").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(placed[:, 1]))
+        return rows.drop_columns(["pack_group", "salt"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(placed[:, 1]))
 
     return (
-        pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(groups)))
+        pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens", "salt", F.lit(seed)), F.lit(groups)))
         .groupBy("pack_group")
         .applyInArrow(packed, PIECES + ", sequence_id long, offset long")
     )

@@ -67,12 +67,20 @@ def check(rows, docs):
 def test_pack_edges(spark):
     docs = {1: "One two, three.", 2: None, 3: "", 4: "ab " * 9000, 5: "One two, three.", None: "no id"}
     df = spark.createDataFrame([(k, v, "x") for k, v in docs.items()], "doc_id long, text string, length string")
-    check(pack(df, group_docs=2).collect(), docs)
+    check(pack(df, group_pieces=2).collect(), docs)
     assert pack(df.limit(0)).count() == 0
     twice = pack(df.filter("doc_id = 1").union(df.filter("doc_id = 1"))).collect()
     assert len(twice) == 2 and {r.offset for r in twice} == {0, twice[0].length}
 
 
+def test_rows_that_are_alike_are_dealt_to_all_groups(spark):
+    for doc_id in (None, 4):
+        df = spark.createDataFrame([(doc_id, "the same") for _ in range(900)], "doc_id long, text string").repartition(3)
+        rows = pack(df, group_pieces=30).collect()
+        each = np.bincount([r.sequence_id >> 32 for r in rows], minlength=30)
+        assert len(rows) == 900 and each.min() > 0 and each.max() < 90
+
+
 def test_pack_whole_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = pack(df).collect()
