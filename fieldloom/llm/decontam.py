@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.batches import PUNCTUATION, U, mix64, texts, words
 
-#: Fixed masks, 1: the token counts. Each has six, and together they fit any passage of which one word in
-#: every three, four, five or more is replaced.
-MASKS = ("111111", "1111011", "1110111", "11011011", "10101011010")
+#: Fixed masks, 1: the token counts. Each has six. Together they fit any passage of which one word in every three,
+#: four, five or more is replaced, and of passages of 20 words and more of which as many agree as must, at any places,
+#: nine in ten at a share of 0.6 and more at higher shares (the test measures it).
+MASKS = ("111111", "1111011", "1110111", "11011011", "10101011010", "1101010011", "10010110101", "1100100110001", "1010001100101")
 #: Words of the stretch that must agree, and the share of them.
 WINDOW, SHARE = 20, 0.6
-#: Benchmark items of fewer words are too short to be a passage.
-LEAST_WORDS = 5
+#: Items of fewer words are found where all their words follow each other exactly.
+SHORT_WORDS = 11
+#: Hits that are looked at together.
+HITS_AT_ONCE = 1 << 20
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark is searched part by part.
 PART_CHARS = 8_000_000
 
@@ -52,7 +55,7 @@ class SeedIndex:
         (t,) = texts(pa.array([x[1] for x in items], pa.large_string()), 1 << 40)
         w = words(t, PUNCTUATION)
         size = np.diff(w.first)
-        short = sorted({int(n) for n in size if LEAST_WORDS <= n < max(map(len, MASKS))})
+        short = sorted({int(n) for n in size if 0 < n < SHORT_WORDS})
         masks = [*MASKS, *("1" * n for n in short)]
         item_of = np.repeat(np.arange(len(size)), size)
         tables = []
@@ -60,7 +63,7 @@ class SeedIndex:
             s = _seeds(w.hash, mask)
             at = np.arange(len(s))
             inside = at + len(mask) <= w.first[item_of[: len(s)] + 1]
-            inside &= (size >= LEAST_WORDS)[item_of[: len(s)]] if m < len(MASKS) else (size == len(mask))[item_of[: len(s)]]
+            inside &= (size >= SHORT_WORDS)[item_of[: len(s)]] if m < len(MASKS) else (size == len(mask))[item_of[: len(s)]]
             s, at = s[inside], at[inside]
             order = np.argsort(s, kind="stable")
             bits = max(16, int(len(s) * 16).bit_length())
@@ -69,10 +72,11 @@ class SeedIndex:
             tables.append((s[order], at[order], table))
         return cls(w.hash, w.first, np.array([x[0] for x in items], np.int64), masks, tables) if len(w.hash) else None
 
-    def diagonals(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct rows (text, item number, offset of the item's first token in the hashes) of all hits."""
+    def diagonals(self, h: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        """Distinct rows (text, item number, offset of the item's first token in the hashes) of all hits, of at most
+        HITS_AT_ONCE hits at a time and each diagonal once: what is kept grows with the diagonals, not with the hits."""
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        found = []
+        seen = np.zeros((0, 3), np.int64)
         for mask, (seeds, at, table) in zip(self.masks, self.tables, strict=True):
             s = _seeds(h, mask)
             if not len(s) or not len(seeds):
@@ -80,19 +84,23 @@ class SeedIndex:
             bits = len(table).bit_length() - 1
             pos = np.flatnonzero(table[(s >> U(64 - bits)).astype(np.int64)])
             pos = pos[pos + len(mask) <= first[text[pos] + 1]]
-            low, high = np.searchsorted(seeds, s[pos], "left"), np.searchsorted(seeds, s[pos], "right")
-            n = high - low
-            if n.sum():
-                which = at[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                pos = np.repeat(pos, n)
+            low, n = np.searchsorted(seeds, s[pos], "left"), np.searchsorted(seeds, s[pos], "right")
+            n -= low
+            ends = np.cumsum(n)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, HITS_AT_ONCE):
+                k = np.arange(a, min(a + HITS_AT_ONCE, ends[-1]))
+                of = np.searchsorted(ends, k, "right")
+                which = at[low[of] + k - (ends - n)[of]]
                 item = np.searchsorted(self.first, which, "right") - 1
-                found.append(np.stack([text[pos], item, pos - (which - self.first[item])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+                found = np.unique(np.stack([text[pos[of]], item, pos[of] - (which - self.first[item])], 1), axis=0)
+                both, index = np.unique(np.concatenate([seen, found]), axis=0, return_index=True)
+                yield found[index[index >= len(seen)] - len(seen)]
+                seen = both
 
     def verified(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item number, first word, end word, share that agrees) of each diagonal with a stretch of
-        WINDOW words (a shorter item: all its words) of which SHARE agree (an item shorter than a mask: all)."""
-        for text, item, offset in self.diagonals(h, first).tolist():
+        WINDOW words (a shorter item: all its words) of which SHARE agree (an item of fewer than SHORT_WORDS: all)."""
+        for text, item, offset in (row for part in self.diagonals(h, first) for row in part.tolist()):
             low, high, own = first[text], first[text + 1], self.hash[self.first[item] : self.first[item + 1]]
             a, b = max(offset, low), min(offset + len(own), high)
             same = h[a:b] == own[a - offset : b - offset]
@@ -101,7 +109,7 @@ class SeedIndex:
                 continue
             sums = np.concatenate([[0], np.cumsum(same)])
             counts = sums[width:] - sums[:-width]
-            need = width if len(own) < max(map(len, MASKS)) else SHARE * width
+            need = width if len(own) < SHORT_WORDS else SHARE * width
             good = np.flatnonzero(counts >= need)
             if len(good):
                 yield text, item, int(a - low + good[0]), int(a - low + good[-1] + width), float(counts.max() / width)
@@ -111,7 +119,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHA
     """(doc_id, item_id, start, end, agree): each stretch of words of a document that a benchmark item covers.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null and empty texts, and items
-    of fewer than LEAST_WORDS words, match nothing. Repeated documents give repeated rows, a null doc_id or
+    without words, match nothing; an item of few words is found wherever all of them follow each other. Repeated documents give repeated rows, a null doc_id or
     item_id stays null in the result (null item_ids count as -1), other columns are not looked at. The benchmark
     goes to the tasks in parts whose size is measured first; a larger one takes more passes over the documents.
     """

@@ -17,8 +17,8 @@ def brute(docs, items):
         for item, passage in items:
             p = split(passage)
             width = min(decontam.WINDOW, len(p))
-            need = width if len(p) < 11 else decontam.SHARE * width
-            if len(p) < decontam.LEAST_WORDS:
+            need = width if len(p) < decontam.SHORT_WORDS else decontam.SHARE * width
+            if not p:
                 continue
             for offset in range(-len(p) + 1, len(d)):
                 a, b = max(offset, 0), min(offset + len(p), len(d))
@@ -65,3 +65,31 @@ def test_substituted_passages_and_edges(spark):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_recall_of_random_substitutions():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    for share in (0.6, 0.7, 0.8, 0.9):
+        found = there = 0
+        for size in (20, 25, 40):
+            items = [(i, " ".join(word() for _ in range(size))) for i in range(250)]
+            docs = [(i, " ".join([word()] * 3 + [w if rng.random() < share else word() for w in t.split()] + [word()])) for i, t in items]
+            want = {x for d, i in zip(docs, items, strict=True) for x in brute([d], [i])}
+            index = decontam.SeedIndex.of(items)
+            (t,) = decontam.texts(decontam.pa.array([x for _, x in docs]), 1 << 30)
+            w = decontam.words(t, decontam.PUNCTUATION)
+            got = {(i, int(index.item[k])) for i, k, *_ in index.verified(w.hash, w.first)}
+            assert got <= {(i, i) for i, _ in items}
+            found, there = found + len(got & want), there + len(want)
+        assert found / there > 0.9
+
+
+def test_hits_are_taken_in_parts(monkeypatch):
+    items = [(i, f"the same words of all items in the benchmark again and again {i} end of it") for i in range(30)]
+    index = decontam.SeedIndex.of(items)
+    (t,) = decontam.texts(decontam.pa.array([x for _, x in items] * 2), 1 << 30)
+    w = decontam.words(t, decontam.PUNCTUATION)
+    whole = sorted(index.verified(w.hash, w.first))
+    monkeypatch.setattr(decontam, "HITS_AT_ONCE", 7)
+    assert sorted(index.verified(w.hash, w.first)) == whole and len(whole) >= 60
