@@ -10,11 +10,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The first four are the base kinds; account and url are what the method adds.
+#: The first four are the base kinds; the others are what the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "account", "url")
-#: Words that announce an account or identity number.
-CUES = ("iban", "account", "acct", "konto", "kontonummer", "cuenta", "compte", "passport", "ssn")
+KINDS = (*BASE_KINDS, "account", "url", "secret")
+#: Words, in any case, that announce an account number, an identity document, a social security number or a secret.
+CUES = {
+    "account": ("iban", "account", "acct", "konto", "kontonummer", "cuenta", "compte"),
+    "passport": ("passport", "reisepass", "pasaporte", "passeport"),
+    "ssn": ("ssn", "social security"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "passwort", "contraseña"),
+}
+# The lengths of IBANs.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26,
+    "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
 
 _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
@@ -25,7 +37,13 @@ _LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*")
 _PARTS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _TAIL = re.compile(r"[ ().0-9-]+")
-_ACCOUNT = re.compile(r"(?: {1,3}(?:no|nr|num|number)\.?)? {0,3}[:#=]? {0,3}([A-Za-z]{0,2}[0-9](?:[ -]?[A-Za-z0-9])*)")
+_LEAD = re.compile(r"(?:[ _](?:no|nr|num|number|key|id)\.?)?[\"']? {0,3}(?:[:#=]|is)? {0,3}", re.IGNORECASE)
+_NUMBER = re.compile(r"[A-Za-z]{0,2}[0-9](?:[ -]?[A-Za-z0-9])*")
+_IBAN = re.compile(r"([A-Za-z]{2})[0-9]{2}(?: ?[A-Za-z0-9])*")
+_PASSPORT = re.compile(r"(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,9}(?![A-Za-z0-9])")
+_SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])")
+_SECRET = re.compile(r"[\"']?((?=[A-Za-z_+/.-]*[0-9])(?=[0-9_+/.-]*[A-Za-z])[A-Za-z0-9_+/=.-]{12,})")
+_FOLD = {c: c + 32 for c in range(65, 91)}
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 
 
@@ -34,9 +52,9 @@ def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
     for text, kind in [("@", "@"), ("+", "+"), ("://", ":"), *((d, "0") for d in "0123456789")]:
         found.add_word(text, (kind, len(text)))
-    for cue in CUES:
-        for text in {cue, cue.capitalize(), cue.upper()}:
-            found.add_word(text, ("cue", len(text)))
+    for kind, cues in CUES.items():
+        for cue in cues:
+            found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -67,11 +85,40 @@ def _phone(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if end > at + 3 else None
 
 
-def _account(text: str, start: int, end: int) -> tuple[int, int] | None:
+def iban_length(text: str, start: int) -> int | None:
+    """Where a valid IBAN that begins at `start` ends: its country's length and its check digits are right."""
+    found = _IBAN.match(text, start)
+    left = IBAN_LENGTHS.get(found[1].upper(), 0) if found else 0
+    if not left:
+        return None
+    end, plain = start, ""
+    while end < found.end() and len(plain) < left:
+        plain += text[end] if text[end] != " " else ""
+        end += 1
+    whole = len(plain) == left and (end == len(text) or not (text[end].isascii() and text[end].isalnum()))
+    return end if whole and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else None
+
+
+def _cued(kind: str, text: str, start: int, end: int) -> tuple[str, int, int] | None:
+    """(kind, start, end) of what a cue announces, if it is valid: after a word of its own, an IBAN with right check
+    digits or else 6 to 17 digits; a passport's number; a social security number of a group that is given out; a
+    secret of 12 characters and more, both letters and digits among them."""
     if start and text[start - 1].isalnum():
         return None
-    found = _ACCOUNT.match(text, end)
-    return found.span(1) if found and 6 <= sum(c.isdigit() for c in found[1]) <= 30 and found.start(1) > end else None
+    at = _LEAD.match(text, end).end()
+    if kind == "account":
+        found = _NUMBER.match(text, at)
+        if not found or at == end:
+            return None
+        if (close := iban_length(text, at)) is not None:
+            return "account", at, close
+        like_iban = bool(_IBAN.match(text, at))
+        return ("account", *found.span()) if not like_iban and 6 <= sum(c.isdigit() for c in found[0]) <= 17 else None
+    if kind == "secret":
+        found = _SECRET.match(text, at)
+        return ("secret", *found.span(1)) if found and at > end else None
+    found = {"passport": _PASSPORT, "ssn": _SSN}[kind].match(text, at)
+    return ("account", *found.span()) if found and at > end else None
 
 
 def _url(text: str, at: int, low: int) -> tuple[int, int] | None:
@@ -92,7 +139,8 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int
     and don't overlap; a match that fails its check is dropped and the search goes on behind it."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)
-    for last, (kind, n) in automaton.iter(text):
+    low = text.lower()
+    for last, (kind, n) in automaton.iter(low if len(low) == len(text) else text.translate(_FOLD)):
         at = last - n + 1
         if kind == "0":
             if at >= done["ip"]:
@@ -125,10 +173,11 @@ def spans_of(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int
             if at >= done["url"] and (span := _url(text, at, done["url"])):
                 found["url"].append(span)
                 done["url"] = span[1]
-        elif at >= done["account"] and (span := _account(text, at, last + 1)):
-            found["account"].append(span)
-            done["account"] = span[1]
-    return [(k, *span) for k in KINDS for span in found[k]]
+        elif span := _cued(kind, text, at, last + 1):
+            if span[1] >= done[span[0]]:
+                found[span[0]].append(span[1:])
+                done[span[0]] = span[2]
+    return [(k, *span) for k in KINDS for span in sorted(found[k])]
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -147,7 +196,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Each document with its spans replaced by [kind]; of spans that overlap, the earlier and then longer stays."""
+    """Each document, all columns, with its spans replaced by [kind]; of spans that overlap, the earlier and then longer
+    counts. A null text stays null; repeated rows and null doc_ids come out as they are, an empty table gives none."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = anchors()
@@ -173,4 +223,4 @@ def digests(found: DataFrame) -> DataFrame:
     """The contract's counts and digests of the spans that `find_pii` gives."""
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return found.select("doc_id", *map(of, BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(of, BASE_KINDS), F.size("spans").cast("long").alias("n_spans"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
