@@ -13,20 +13,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.batches import Texts, texts
+from fieldloom.llm.sums import BLOB, gathered, pieces
 
 #: Hashed n-gram features (2^BITS) of one to three characters.
 BITS, ORDERS = 15, 3
 #: Labelled documents that the classifier is fitted on: at most so many of each language, those with the
-#: smallest hash of doc_id. Their n-gram counts go to the driver, which fits the model.
-SAMPLE_PER_LANG = 600
+#: smallest hash of doc_id, and about so many in all. Their n-gram counts go to the driver, which fits the model.
+SAMPLE_PER_LANG, SAMPLE_ROWS = 600, 60_000
 #: One in so many of those is for the temperature only.
 CALIBRATION = 5
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
-#: A task's counts travel in so many pieces.
-PIECES = 64
-#: Bytes of text whose n-grams are taken at once.
+#: Bytes of text whose n-grams are taken at once; a longer text is taken in parts, without the n-grams across them.
 CHARS = 1 << 18
+#: A text is of no learned language if its n-grams are less likely in the best one by so many deviations. They count
+#: n-grams as independent, which those of one text aren't, and texts may mix languages, so it is far out.
+DEVIATIONS = 20.0
 #: Scales mean n-gram weights, so that rows have about unit length and learning isn't slow.
 SCALE = 8.0
 
@@ -77,56 +79,114 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return f, first, has
 
 
+def _parts(t: Texts) -> Iterator[tuple[int, Texts]]:
+    """The texts, or parts of about CHARS bytes of a long one; the number of the first of them."""
+    if len(t) > 1 or len(t.buf) <= 2 * CHARS:
+        yield 0, t
+        return
+    a = 0
+    while a < len(t.buf):
+        b = min(a + CHARS, len(t.buf))
+        while b < len(t.buf) and t.buf[b] & 0xC0 == 0x80:
+            b += 1
+        yield 0, Texts(t.first, t.buf[a:b], np.array([0, b - a]))
+        a = b
+
+
+def _counted(t: Texts) -> Iterator[tuple[int, np.ndarray]]:
+    """Number of a text with a letter, and how often each feature occurs in it."""
+    if len(t) > 1 or len(t.buf) <= 2 * CHARS:
+        f, first, has = features(t)
+        for i in np.flatnonzero(has).tolist():
+            yield i, np.bincount(f[first[i] : first[i + 1]].ravel(), minlength=1 << BITS)
+        return
+    total, letters = np.zeros(1 << BITS, np.int64), False
+    for _, part in _parts(t):
+        f, _, has = features(part)
+        total += np.bincount(f.ravel(), minlength=1 << BITS)
+        letters |= bool(has[0])
+    if letters:
+        yield 0, total
+
+
 def _document_counts(docs: DataFrame) -> np.ndarray:
-    """In how many documents each feature occurs, over all rows of `docs`; the last entry counts the documents.
-    Each task sums its own and sends the counts in PIECES pieces, which are added up."""
-    size = (1 << BITS) // PIECES
+    """In how many documents each feature occurs, over all rows of `docs`; the last entry counts the documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << BITS, np.int64), 0
+        total = np.zeros((1 << BITS) + 1, np.int64)
         for batch in batches:
             for t in texts(batch.column(0), CHARS):
-                f, first, has = features(t)
-                n += int(has.sum())
-                for i in np.flatnonzero(has):
-                    total[np.flatnonzero(np.bincount(f[first[i] : first[i + 1]].ravel(), minlength=1 << BITS))] += 1
-        pieces = np.arange(PIECES + 1)
-        blobs = [x.tobytes() for x in total.reshape(PIECES, size)] + [np.array([n]).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(pieces), pa.array(blobs, pa.binary())], names=["piece", "counts"])
+                for _, n in _counted(t):
+                    total[np.flatnonzero(n)] += 1
+                    total[-1] += 1
+        yield pieces(total, 1.0)
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in rows["counts"])
-        return pa.table({"piece": rows["piece"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "piece long, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).groupBy("piece").applyInArrow(add, schema).collect()
-    by = {r.piece: np.frombuffer(r.counts, np.int64) for r in summed}
-    return np.concatenate([by.get(k, np.zeros(size if k < PIECES else 1, np.int64)) for k in range(PIECES + 1)])
+    found = gathered(docs.select("text").mapInArrow(count, BLOB), np.int64, mean=False)
+    return found if len(found) else np.zeros((1 << BITS) + 1, np.int64)
 
 
 @dataclass
 class Model:
-    """score of a text: mean over its n-grams of table[feature], plus bias, divided by the temperature."""
+    """score of a text: mean over its n-grams of table[feature], plus bias, divided by the temperature.
+
+    log_p: of each feature in each language; mean, spread and noise: of the mean of log_p over the n-grams of a text
+    of the language, over texts, and what one n-gram adds to it."""
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
-
-    def predict(self, t: Texts) -> tuple[list[str], np.ndarray]:
-        f, first, has = features(t)
-        logits = np.zeros((len(t), len(self.langs)))
-        full = np.flatnonzero(np.diff(first))
-        if len(full):
-            sums = np.zeros((len(f), len(self.langs)), np.float32)
-            for n in range(ORDERS):
-                sums += self.table[f[:, n]]
-            logits[full] = np.add.reduceat(sums.astype(np.float64), first[full], axis=0) / (ORDERS * np.diff(first)[full])[:, None]
-        p = _softmax((logits + self.bias) / self.temperature)
+    log_p: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+    noise: np.ndarray
+
+    def predict(self, t: Texts, judged: bool = False) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Names, scores and, if `judged`, by how many deviations each text is more likely in its language than a text
+        of it is on average. Of languages with equal probabilities the first by name is taken."""
+        sums, n, known = np.zeros((len(t), len(self.langs))), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
+        likely = np.zeros((len(t), len(self.langs)))
+        for _, part in _parts(t):
+            f, first, has = features(part)
+            known |= has
+            n += np.diff(first)
+            full = np.flatnonzero(np.diff(first))
+            for table, to in [(self.table, sums), *([(self.log_p, likely)] if judged else [])]:
+                if len(full):
+                    each = table[f[:, 0]]
+                    for k in range(1, ORDERS):
+                        each += table[f[:, k]]
+                    to[full] += np.add.reduceat(each.astype(np.float64), first[full], axis=0)
+        grams = (ORDERS * np.maximum(n, 1))[:, None]
+        p = _softmax((sums / grams + self.bias) / self.temperature)
         best = p.argmax(axis=1) if self.langs else np.zeros(len(t), int)
-        known = has & bool(self.langs)
+        known &= bool(self.langs)
         names = [self.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
-        return names, np.where(known, np.clip(p[np.arange(len(t)), best], 0, 1) if self.langs else 0.0, 0.0)
+        each = np.arange(len(t))
+        score = np.where(known, np.clip(p[each, best], 0, 1) if self.langs else 0.0, 0.0)
+        if not (judged and self.langs):
+            return names, score, np.zeros(len(t))
+        off = (likely / grams)[each, best] - self.mean[best]
+        return names, score, off / np.sqrt(self.spread[best] + self.noise[best] / grams[:, 0])
+
+
+def _typical(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, fit: np.ndarray, classes: int) -> tuple[np.ndarray, ...]:
+    """log_p, mean, spread and noise of `Model`, from rows (feature, share of the text's n-grams, number of those):
+    log_p from the rows `fit`, the others from the rest (where there are few, from all)."""
+    log_p, numbers = np.zeros((1 << BITS, classes), np.float32), np.zeros((3, classes))
+    for k in range(classes):
+        mine = np.flatnonzero(labels == k)
+        total = np.ones(1 << BITS)
+        for i in mine[fit[mine]]:
+            at, share, n = rows[i]
+            total[at] += share * n
+        log_p[:, k] = np.log(total / total.sum())
+        rest = mine[~fit[mine]]
+        found = [((x := log_p[at, k]) @ share, (x * x) @ share, n) for at, share, n in (rows[i] for i in (rest if len(rest) >= 10 else mine))]
+        m, squares, n = (np.array(x, float) for x in zip(*found, strict=True))
+        noise = np.maximum(squares - m * m, 0)
+        numbers[:, k] = np.average(m, weights=n), max((np.average((m - np.average(m, weights=n)) ** 2, weights=n)), 1e-3), noise.mean() + 1e-3
+    return log_p, *numbers
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -170,33 +230,37 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts = _document_counts(learn)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
-    ranked = learn.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("k")).where(F.col("k") <= per_lang)
+    # of a language with many rows only those with small hashes come to its sort
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = max(1, sizes.count())
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // langs))
+    place = F.xxhash64("doc_id")
+    near = learn.select("doc_id", "lang").join(sizes, "lang").where((place / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * per_lang + 20)
+    ranked = near.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id")).alias("k")).where(F.col("k") <= per_lang)
     ids = ranked.select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang")).distinct()
     chosen = learn.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts(batch.column("text"), CHARS):
-                f, first, has = features(t)
-                out: list[list] = [[], [], [], []]
-                for i in np.flatnonzero(has).tolist():
-                    own, tf = np.unique(f[first[i] : first[i + 1]], return_counts=True)
-                    row = (batch.column("doc_id")[t.first + i].as_py(), batch.column("lang")[t.first + i].as_py(), own.astype("<i4").tobytes(), (tf / tf.sum()).astype("<f4").tobytes())
+                out: list[list] = [[], [], [], [], []]
+                for i, n in _counted(t):
+                    own = np.flatnonzero(n)
+                    row = (batch.column("doc_id")[t.first + i].as_py(), batch.column("lang")[t.first + i].as_py(), own.astype("<i4").tobytes(), (n[own] / n.sum()).astype("<f4").tobytes(), int(n.sum()))
                     for to, value in zip(out, row, strict=True):
                         to.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["doc_id", "lang", "at", "tf"])
+                kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "lang", "at", "tf", "n"])
 
-    rows = chosen.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(extract, "doc_id long, lang string, at binary, tf binary").collect()
+    rows = chosen.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(extract, "doc_id long, lang string, at binary, tf binary, n long").collect()
     rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.at, r.tf))
     langs = sorted({r.lang for r in rows})
+    none = np.zeros(0)
     if not langs:
-        return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((1 << BITS, 0), np.float32), none, 1.0, np.zeros((1 << BITS, 0), np.float32), none, none, none)
     labels = np.array([langs.index(r.lang) for r in rows])
-    sparse = []
-    for r in rows:
-        at = np.frombuffer(r.at, "<i4")
-        x = np.frombuffer(r.tf, "<f4") * idf[at] * SCALE
-        sparse.append((np.append(at, 1 << BITS), np.append(x, 1.0)))
+    shares = [(np.frombuffer(r.at, "<i4"), np.frombuffer(r.tf, "<f4"), r.n) for r in rows]
+    sparse = [(np.append(at, 1 << BITS), np.append(tf * idf[at] * SCALE, 1.0)) for at, tf, _ in shares]
     check = np.arange(len(rows)) % CALIBRATION == CALIBRATION - 1
     keep = np.flatnonzero(~check)
     w, bias = ftrl([sparse[i] for i in keep], labels[keep], len(langs))
@@ -207,19 +271,19 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
         own = labels[check]
         loss = lambda s: -np.log(np.maximum(_softmax(logits / s)[np.arange(len(own)), own], 1e-12)).mean()
         temperature = float(min(np.geomspace(0.05, 20, 121), key=loss))
-    return Model(langs, (w * idf[:, None] * SCALE).astype(np.float32), bias, temperature)
+    return Model(langs, (w * idf[:, None] * SCALE).astype(np.float32), bias, temperature, *_typical(shares, labels, ~check, len(langs)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row's whole text; only the text is looked at. A null text, or one
-    without a letter, is `und` with score 0, as is every text if nothing was learned. Repeated and null doc_ids
-    come out as they are."""
+    without a letter, is `und` with score 0, as is every text if nothing was learned; of languages with equal
+    probabilities the first by name is taken. Repeated and null doc_ids come out as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in texts(batch.column(1), CHARS):
-                names, score = sent.value.predict(t)
+                names, score, _ = sent.value.predict(t)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(predict, PREDICTED)
@@ -230,17 +294,19 @@ def predicted(docs: DataFrame) -> DataFrame:
     return identify(docs, train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def with_known_language(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """The documents, all columns, whose language is known with at least `least_score`; a text without letters
-    goes."""
+def with_known_language(docs: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+    """The documents, all columns, of a learned language: with a letter, and with n-grams that are not less likely in the
+    predicted language than those of its texts are, by more than so many deviations of texts of their length. How
+    many languages were learned plays no part. If nothing was learned, all go. Repeated rows and null doc_ids are
+    treated like others."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good: list[bool] = []
             for t in texts(batch.column("text"), CHARS):
-                names, score = sent.value.predict(t)
-                good += [n != UNKNOWN and s >= least_score for n, s in zip(names, score, strict=True)]
+                names, _, off = sent.value.predict(t, judged=True)
+                good += [n != UNKNOWN and o >= -deviations for n, o in zip(names, off, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
