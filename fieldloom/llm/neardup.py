@@ -22,8 +22,8 @@ BANDS, ROWS = 40, 5
 LEAST_AGREE = 0.55
 #: Pairs with both their sets, or sets, that travel to Python at once.
 BATCH_ROWS = 500
-#: Rows that share a key in a join before they are dealt to several tasks.
-SALT_ROWS = 256
+#: Rows that share a key in a join before they are dealt to several tasks, and rows of a block of a large bucket.
+SALT_ROWS, BLOCK_ROWS = 256, 512
 
 
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +182,9 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     with one, the centre: that with the smallest share of shingles that no other candidate class has, the likely
     origin of a group of copies. In buckets that then still hold several components the classes of different
     components are paired, but for those pairs whose overlap cannot reach the threshold: it is at most what both
-    share with the centre, and what both share with any class outside it. The rest is sifted by minima before
-    full sets are compared.
+    share with the centre, and what both share with any class outside it. These bounds are looked at pair by pair, in
+    blocks that many tasks share; only pairs within them are made. The rest is sifted by minima before full sets are
+    compared.
     """
     sketches = staged(shingle_sets(docs), "sketches", 4 * BATCH_ROWS)
     usable = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -216,10 +217,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     rest = staged(rest.select("key", "c", "n", "label", near.alias("near"), F.greatest(F.col("common") - near, F.lit(0)).alias("far")), "unsettled")
     # a pair that shares several buckets is taken in the one with the smallest key
     keys = rest.groupBy("c").agg(F.collect_set("key").alias("keys"))
-    left, right = (rest.join(keys, "c").select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("c", "n", "label", "near", "far", "keys")]) for side in "ab")
+    left, right = _block_sides(rest.join(keys, "c"))
     most = F.least("near_a", "near_b") + F.least("far_a", "far_b")
-    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == left["key"]
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("label_a") < F.col("label_b")) & reaches(most, "n_a", "n_b") & once)
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    other = (F.col("label_a") < F.col("label_b")) | ((F.col("block") < F.col("other")) & (F.col("label_a") > F.col("label_b")))
+    across = left.join(right, ["key", "block", "other"]).where(other & reaches(most, "n_a", "n_b") & once)
     across = staged(across.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), "across")
     # one row for each class and task before the shuffle, so many copies of a set don't meet
     minima = usable.groupBy(F.col("set_hash").alias("node")).agg(F.first("minima").alias("minima"))
@@ -227,8 +229,8 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     likely = staged(_agreeing(across, minima, LEAST_AGREE, BANDS * ROWS), "across-likely")
     more = staged(linked(overlaps(likely, sets)), "across-links", BATCH_ROWS)
     # rows of one doc_id tie their classes; they and the new links join whole components
-    tied = usable.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b"), F.collect_set("set_hash").alias("all")).where("a < b")
-    tied = tied.select("a", F.explode("all").alias("b"))
+    several_sets = usable.groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("last")).where("a < last")
+    tied = usable.join(staged(several_sets.select("doc_id", "a"), "tied"), "doc_id").select("a", F.col("set_hash").alias("b")).distinct()
     first = components(_relabelled(more.unionAll(tied), found)).toDF("label", "joined")
     label = F.coalesce("joined", "label")
     whole = classes.join(found.withColumnRenamed("c", "set_hash"), "set_hash", "left").withColumn("label", F.coalesce("component", "set_hash"))
@@ -240,6 +242,18 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _block_sides(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of each key's rows with one another, on key, block and other: the rows of a key are dealt
+    to blocks of about BLOCK_ROWS, and each pair of blocks, or block with itself, is a join key of its own, so the pairs of
+    a large bucket are looked at in many tasks."""
+    blocks = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    of = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("c", "n", "label", "near", "far", "keys")]
+    left = dealt.select("key", F.col("own").alias("block"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other"), *of("a"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"), F.col("own").alias("other"), *of("b"))
+    return left, right
+
+
 def _relabelled(edges: DataFrame, found: DataFrame) -> DataFrame:
     """The edges between the components (c, component) of their ends; a class in none is its own."""
     a, b = found.toDF("a", "label_a"), found.toDF("b", "label_b")

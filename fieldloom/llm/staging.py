@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Only where the session names no folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
+BATCH_BYTES = "64m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,15 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Writes `df` as a Parquet table of its own in the shared folder and reads it back: later jobs start
     from the files, also when an executor is lost. batch_rows: rows of an Arrow batch while it is written, for
-    wide rows; the session's setting is put back."""
+    wide rows, which then has BATCH_BYTES at most too; the session's settings are put back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if batch_rows:
-        spark.conf.set(key, str(batch_rows))
+    own = {"maxRecordsPerBatch": str(batch_rows), "maxBytesPerBatch": BATCH_BYTES} if batch_rows else {}
+    before = {k: spark.conf.get(f"spark.sql.execution.arrow.{k}") for k in own}
+    for k, v in own.items():
+        spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.execution.arrow.{k}", v)
     return spark.read.schema(df.schema).parquet(path)

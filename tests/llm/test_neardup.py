@@ -2,6 +2,7 @@ import random
 import re
 
 from fieldloom.llm import neardup
+from pyspark.sql import functions as F
 
 
 def shingles(text):
@@ -73,3 +74,18 @@ def test_components_of_random_graphs(spark):
             low, high = sorted((root(a), root(b)))
             parent[high] = low
     assert got == {x: root(x) for x in parent}
+
+
+def test_large_buckets_are_dealt_to_blocks(spark, monkeypatch):
+    n, step = 2500, 100
+    rest = spark.range(n).select(F.lit(7).alias("key"), F.col("id").alias("c"), F.lit(10).alias("n"), (F.col("id") % 3).alias("label"), F.lit(1).alias("near"), F.lit(0).alias("far"), F.array(F.lit(7)).alias("keys"))
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", step)
+    left, right = neardup._block_sides(rest)
+    assert left.groupBy("key", "block", "other").count().agg(F.max("count")).first()[0] < 3 * step
+    pairs = left.join(right, ["key", "block", "other"]).where("c_a < c_b OR block < other").select(F.least("c_a", "c_b").alias("x"), F.greatest("c_a", "c_b").alias("y")).where("x < y")
+    assert pairs.count() == pairs.distinct().count() == n * (n - 1) // 2
+
+
+def test_small_blocks_give_the_same_groups(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 2)
+    test_groups_and_edges(spark)
