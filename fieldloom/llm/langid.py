@@ -20,6 +20,8 @@ BITS, ORDERS = 15, 3
 #: Labelled documents that the classifier is fitted on: at most so many of each language, those with the
 #: smallest hash of doc_id, and about so many in all. Their n-gram counts go to the driver, which fits the model.
 SAMPLE_PER_LANG, SAMPLE_ROWS = 600, 60_000
+#: The number of rows of each language goes to all tasks if there are no more languages than this.
+MOST_BROADCAST = 100_000
 #: One in so many of those is for the temperature only.
 CALIBRATION = 5
 UNKNOWN = "und"
@@ -235,7 +237,7 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     langs = max(1, sizes.count())
     per_lang = max(1, min(per_lang, SAMPLE_ROWS // langs))
     place = F.xxhash64("doc_id")
-    near = learn.select("doc_id", "lang").join(sizes, "lang").where((place / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * per_lang + 20)
+    near = learn.select("doc_id", "lang").join(F.broadcast(sizes) if langs <= MOST_BROADCAST else sizes, "lang").where((place / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * per_lang + 20)
     ranked = near.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id")).alias("k")).where(F.col("k") <= per_lang)
     ids = ranked.select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang")).distinct()
     chosen = learn.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
