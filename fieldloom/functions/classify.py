@@ -39,16 +39,24 @@ def first_match(text: Column, rules: Sequence[Rule], default: str | None = DEFAU
     return out
 
 
-def match_table(df: DataFrame, text: Column, rules: DataFrame, key: Sequence[str], default: str | None = DEFAULT_MATERIAL) -> DataFrame:
-    """`df` with the column result. rules: (rule_idx, match_type, pattern, result), some dozens of rows at most
-    (it is checked), so they go to every task; each row keeps the rule with the smallest index."""
-    if rules.limit(5001).count() > 5000:
-        raise ValueError("too many rules for a broadcast")
-    own = rules.select("rule_idx", F.col("match_type"), F.col("pattern"), F.col("result").alias("__result"))
-    hits = df.withColumn("__text", text).join(F.broadcast(own), _hit(F.col("__text"), F.col("match_type"), F.col("pattern")), "left")
-    others = [c for c in df.columns if c not in key]
-    best = hits.groupBy(*key).agg(*[F.first(c).alias(c) for c in others], F.min_by("__result", "rule_idx").alias("result"))
-    return best.withColumn("result", F.coalesce("result", F.lit(default))).select(*df.columns, "result")
+#: Rules that go to every task at once; more are tried part by part.
+RULES_AT_ONCE = 5000
+
+
+def match_table(df: DataFrame, text: Column, rules: DataFrame, default: str | None = DEFAULT_MATERIAL) -> DataFrame:
+    """`df`, every row, with the column result: that of the matching rule with the smallest index. rules: (rule_idx,
+    match_type, pattern, result). Each different text is tried once and joined back; a null text matches none."""
+    rows = df.withColumn("__text", text)
+    texts = rows.select("__text").where("__text IS NOT NULL").distinct()
+    own = rules.select("rule_idx", "match_type", "pattern", F.col("result").alias("__result"))
+    parts = max(1, -(-own.count() // RULES_AT_ONCE))
+    hits = None
+    for k in range(parts):
+        some = F.broadcast(own.where(F.pmod(F.xxhash64("rule_idx", "match_type", "pattern"), F.lit(parts)) == k))
+        found = texts.join(some, _hit(F.col("__text"), F.col("match_type"), F.col("pattern")))
+        hits = found if hits is None else hits.unionAll(found)
+    best = hits.groupBy("__text").agg(F.min_by("__result", "rule_idx").alias("result"))
+    return rows.join(best, "__text", "left").withColumn("result", F.coalesce("result", F.lit(default))).select(*df.columns, "result")
 
 
 # Words by which objects are named, in the order in which they are looked for.

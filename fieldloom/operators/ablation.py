@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators import classifiers
 from fieldloom.operators.metrics import confusion_metrics, majority_predictions, over_folds
+from fieldloom.operators.quality import not_empty
 
 # The explicit feature sets, by what they add to one another.
 _BASE = ["geom_rx_x", "geom_rx_y", "geom_rx_z", "geom_tx_rx_distance", "geom_all_line_dist_min", "geom_dynamic_line_dist_min", "geom_dynamic_rx_dist_min", "geom_dynamic_count", "geom_dynamic_centroid_count"]
@@ -95,11 +98,25 @@ def logistic_predictions(df: DataFrame, features: Sequence[str], target: str = "
     return copied.groupBy("test_fold").applyInPandas(evaluate, "fold int, y int, y_pred int") if several else df.sparkSession.createDataFrame([], "fold int, y int, y_pred int")
 
 
-def ablation(df: DataFrame, sets: Sequence[str], target: str, fold: str = "fold", rx_filter: Sequence[str] | None = None) -> DataFrame:
-    """A result row for the majority baseline and for each feature set: rows, share of positives, and mean and
-    standard deviation over folds of each metric."""
+LOGISTIC = "balanced_logistic"
+
+
+def without_prefixes(df: DataFrame, kept: Sequence[str], dropped: Sequence[str]) -> DataFrame:
+    """The columns that begin with one of `kept` and with none of `dropped`."""
+    return df.select(*[c for c in df.columns if c.startswith(tuple(kept)) and not c.startswith(tuple(dropped))])
+
+
+def receivers_only(df: DataFrame, rx_filter: Sequence[str]) -> DataFrame:
+    """The rows of the receivers; none is an error."""
+    return not_empty(df.where(F.col("rx_id").isin(*rx_filter)), f"the selection of {', '.join(rx_filter)}")
+
+
+def ablation(df: DataFrame, sets: Sequence[str], target: str, fold: str = "fold", rx_filter: Sequence[str] | None = None, models: Sequence[str] = (LOGISTIC,)) -> DataFrame:
+    """A result row for the majority baseline and for each feature set and model: rows, share of positives, and mean
+    and standard deviation over folds of each metric. models: balanced_logistic and those of `classifiers`. A target
+    with fewer than two values, as that of an empty table, is an error."""
     if rx_filter:
-        df = df.where(F.col("rx_id").isin(*rx_filter))
+        df = receivers_only(df, rx_filter)
     rows = df.where(F.col(target).isNotNull())
     facts = rows.agg(F.count(F.lit(1)).alias("num_rows"), F.avg(F.col(target).cast("double")).alias("positive_ratio"), F.count_distinct(target).alias("n")).first()
     if facts.n < 2:
@@ -107,8 +124,10 @@ def ablation(df: DataFrame, sets: Sequence[str], target: str, fold: str = "fold"
     base = majority_predictions(rows.select(F.col(fold), F.col(target).cast("int").alias("y")), fold)
     parts = [base.select(F.lit("majority_baseline").alias("feature_set"), F.lit("majority").alias("model"), F.col(fold).alias("fold"), "y", "y_pred")]
     for name in sets:
-        guesses = logistic_predictions(rows, columns_of(rows, name), target, fold)
-        parts.append(guesses.select(F.lit(name).alias("feature_set"), F.lit("balanced_logistic").alias("model"), "fold", "y", "y_pred"))
+        for model in models:
+            learn = logistic_predictions if model == LOGISTIC else partial(classifiers.predictions, model=model)
+            guesses = learn(rows, columns_of(rows, name), target=target, fold=fold)
+            parts.append(guesses.select(F.lit(name).alias("feature_set"), F.lit(model).alias("model"), "fold", "y", "y_pred"))
     all_rows = parts[0]
     for p in parts[1:]:
         all_rows = all_rows.unionByName(p)

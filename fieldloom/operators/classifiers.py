@@ -39,8 +39,8 @@ def fourier_features(df: DataFrame, source: str, size: int, n: int = 256, seed:
 
 def predictions(df: DataFrame, features: Sequence[str], model: str, target: str = "y", fold: str = "fold", trees: int = 300, seed: int = 1000) -> DataFrame:
     """(fold, y, y_pred) of every row by a model learned from the other folds' rows, which are weighted by
-    n / (2 n_class). One Spark ML fit for each fold; folds are few."""
-    rows = feature_vectors(df.where(F.col(target).isNotNull()), features, "raw").select(F.col(fold).alias("fold"), F.col(target).cast("double").alias("y"), "raw").cache()
+    n / (2 n_class). One Spark ML fit for each fold; folds are few. No rows give none."""
+    rows = feature_vectors(df.where(F.col(target).isNotNull()), features, "raw").select(F.col(fold).alias("fold"), F.col(target).cast("double").alias("y"), "raw")
     parts = []
     for k in [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]:
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
@@ -65,4 +65,4 @@ def predictions(df: DataFrame, features: Sequence[str], model: str, target: str
         fitted = Pipeline(stages=[learner]).fit(train)
         train.unpersist()
         parts.append(fitted.transform(test).select("fold", F.col("y").cast("int").alias("y"), F.col("prediction").cast("int").alias("y_pred")))
-    return reduce(DataFrame.unionAll, parts)
+    return reduce(DataFrame.unionAll, parts) if parts else df.sparkSession.createDataFrame([], "fold int, y int, y_pred int")

@@ -63,9 +63,9 @@ def widened(long: DataFrame, keys: Sequence[str], subsets: Sequence[str]) -> Dat
 
 def occupancy(vertices: DataFrame, links: DataFrame, frame: str | None, radii: Sequence[float] = (0.25, 0.5, 1.0), ends: float = 0.5) -> DataFrame:
     """For each link, how many vertices lie within each radius of it and of its ends, the least distance and the
-    share within `ends` of it. vertices: x, y, z; links: link_id, tx_*, rx_*; both with `frame` if given. The
-    links of a frame are few, so they go to the vertices."""
-    pairs = vertices.join(F.broadcast(links), frame) if frame else vertices.crossJoin(F.broadcast(links))
+    share within `ends` of it. vertices: x, y, z; links: link_id, tx_*, rx_*; both with `frame` if given. Spark
+    sends the links to the vertices if they are few."""
+    pairs = vertices.join(links, frame) if frame else vertices.crossJoin(links)
     p, tx, rx = ([F.col(f"{e}{a}") for a in "xyz"] for e in ("", "tx_", "rx_"))
     near = pairs.withColumns({"d_link": segment_distance(p, tx, rx), "d_rx": distance(p, rx), "d_tx": distance(p, tx)})
     name = lambda r: f"{r:.2f}m".replace(".", "p")

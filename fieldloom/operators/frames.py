@@ -13,11 +13,11 @@ def assembled(poses: DataFrame, links: DataFrame) -> DataFrame:
 
     A model's log is a row of complete sets of its links: each link's k-th occurrence is in sample k. A log is
     accepted if that is so for every row: all links are expected, the k-th occurrence stands in the k-th stretch
-    of as many rows as the model has links, and nothing is left over. links: (model, link), a few hundred at most.
+    of as many rows as the model has links, and nothing is left over. links: (model, link).
     """
     sizes = links.groupBy("model").agg(F.count(F.lit(1)).alias("__n"))
     expected = links.select("model", "link", F.lit(True).alias("__expected")).join(sizes, "model")
-    rows = poses.join(F.broadcast(expected), ["model", "link"], "left").join(F.broadcast(sizes.select("model", F.col("__n").alias("__links"))), "model", "left")
+    rows = poses.join(expected, ["model", "link"], "left").join(sizes.select("model", F.col("__n").alias("__links")), "model", "left")
     by_link, by_model = Window.partitionBy("model", "link").orderBy("position"), Window.partitionBy("model").orderBy("position")
     rows = rows.withColumns({"sample_index": F.row_number().over(by_link).cast("long") - 1, "__row": F.row_number().over(by_model).cast("long") - 1})
     good = F.coalesce(F.col("__expected"), F.lit(False)) & (F.col("sample_index") == F.floor(F.col("__row") / F.col("__links")))
@@ -48,13 +48,13 @@ def posed_visuals(poses: DataFrame, visuals: DataFrame) -> tuple[DataFrame, Data
 def cross_frames(frames: DataFrame, receivers: DataFrame, max_frames: int | None = None, max_rows: int | None = None) -> DataFrame:
     """Every frame with every receiver; frames are cut before, rows after, both by (frame_id, rx_id)."""
     clipped = frames.orderBy("frame_id").limit(max_frames) if max_frames is not None else frames
-    out = clipped.crossJoin(F.broadcast(receivers))
+    out = clipped.crossJoin(receivers)
     return out.orderBy("frame_id", "rx_id").limit(max_rows) if max_rows is not None else out
 
 
 def composed(static: DataFrame, dynamic: DataFrame, frames: DataFrame) -> DataFrame:
     """The static entries in every frame, and each frame's dynamic ones."""
-    return frames.crossJoin(F.broadcast(static)).withColumn("source", F.lit("static")).unionByName(dynamic.withColumn("source", F.lit("dynamic")), allowMissingColumns=True)
+    return frames.crossJoin(static).withColumn("source", F.lit("static")).unionByName(dynamic.withColumn("source", F.lit("dynamic")), allowMissingColumns=True)
 
 
 def frame_structs(records: DataFrame) -> DataFrame:

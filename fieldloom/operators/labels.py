@@ -19,10 +19,10 @@ LABELS = (
 )
 
 
-def successful(df: DataFrame, flag: str = "sanity_ok") -> tuple[DataFrame, DataFrame]:
-    """Rows whose flag is true, and a preview of five of the others."""
+def successful(df: DataFrame, flag: str = "sanity_ok", order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows whose flag is true, and a preview of the first five of the others by `order` (default: all columns)."""
     good = F.coalesce(F.col(flag), F.lit(False))
-    return df.where(good), df.where(~good).limit(5)
+    return df.where(good), df.where(~good).orderBy(*(order or df.columns)).limit(5)
 
 
 def spread_threshold(df: DataFrame, value: str, factor: float = 0.25) -> DataFrame:

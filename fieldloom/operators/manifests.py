@@ -12,6 +12,7 @@ from fieldloom.functions.classify import SKIP, Rule, first_match
 from fieldloom.functions.geometry import compose, nested, point, pose_affine, scale_affine
 from fieldloom.functions.strings import numeric_list, slugify
 from fieldloom.operators.quality import issues, union_issues
+from fieldloom.operators.rounds import settled
 
 VISUAL = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("visual_name", "visual_pose", "geometry_type", "uri", "scale", "size")] + [T.StructField(n, T.DoubleType()) for n in ("radius", "length")]
@@ -119,17 +120,50 @@ def merge_groups(registry: DataFrame) -> DataFrame:
     return registry.where(F.col("status") == "ready").groupBy("material_class").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("n"))
 
 
-def scoped_paths(df: DataFrame, name: str, parent: str, depth: int = 16) -> DataFrame:
-    """(name, path, level): each model with its scopes joined by `::`, from roots (null parent) down. A chain
-    deeper than `depth`, a loop among them, is left out."""
-    found = level = df.where(F.col(parent).isNull()).select(F.col(name).alias("name"), F.col(name).alias("path"), F.lit(0).alias("level"))
-    rest = df.where(F.col(parent).isNotNull()).select(F.col(name).alias("own"), F.col(parent).alias("above"))
-    for k in range(1, depth + 1):
-        level = level.join(rest, F.col("name") == F.col("above")).select(F.col("own").alias("name"), F.concat_ws("::", "path", "own").alias("path"), F.lit(k).alias("level"))
-        if level.isEmpty():
-            break
-        found = found.unionAll(level)
-    return found
+def scoped_paths(df: DataFrame, name: str, parent: str) -> DataFrame:
+    """(name, path, level): each model with its scopes joined by `::`, from roots (null parent) down, however deep.
+    Every round joins each chain with that of its uppermost scope, so chains double; a chain that is a loop is an error,
+    and models below a scope that isn't there are left out."""
+    found = df.select(F.col(name).alias("name"), F.col(parent).alias("up"), F.col(name).alias("path"), F.lit(0).alias("level"))
+    left = df.count().bit_length() + 1
+    while not found.where("up IS NOT NULL").isEmpty():
+        if not left:
+            raise ValueError("scopes that contain each other")
+        above = found.select(F.col("name").alias("above"), F.col("up").alias("next"), F.col("path").alias("lead"), F.col("level").alias("depth"))
+        longer = found.join(above, F.col("up") == F.col("above")).select("name", F.col("next").alias("up"), F.concat_ws("::", "lead", "path").alias("path"), (F.col("level") + F.col("depth") + 1).alias("level"))
+        found, left = settled(found.where("up IS NULL").unionAll(longer)), left - 1
+    return found.drop("up")
+
+
+def order_kept(values: Column) -> Column:
+    """The different elements of an array, each at its first place."""
+    return F.array_distinct(values)
+
+
+def skip_counts(flat: DataFrame) -> DataFrame:
+    """(skip_reason, n) of `flattened`, usable rows under null."""
+    return flat.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_forced(rows: DataFrame, column: str, forced: Column) -> DataFrame:
+    """`forced` instead of the column where it isn't null; warned: it replaced another value."""
+    return rows.withColumns({"warned": F.coalesce(forced != F.col(column), F.lit(False)), column: F.coalesce(forced, F.col(column))})
+
+
+def split_counts(rows: DataFrame, keys: Sequence[Column | str], skipped: Column) -> DataFrame:
+    """Rows of each key, and how many of them are skipped."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(skipped).alias("n_skipped"))
+
+
+def members_sorted(rows: DataFrame, key: str, order: str, member: str) -> DataFrame:
+    """(key, n, members): each key's members in order, as text joined by commas."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(member)))), lambda x: x[member])
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(listed, ",").alias("members"))
+
+
+def shallowest(rows: DataFrame, key: str, path: str, ties: str) -> DataFrame:
+    """Of each key the row whose path has the fewest folders, ties by path and `ties`."""
+    return rows.groupBy(key).agg(F.min(F.struct(F.size(F.split(path, "/")).alias("depth"), F.col(path), F.col(ties))).alias("m")).select(key, f"m.{ties}", f"m.{path}", "m.depth")
 
 
 def with_group_results(groups: DataFrame, results: DataFrame) -> DataFrame:

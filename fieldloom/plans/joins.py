@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.classify import Rule, first_match, match_table, semantic_class
-from fieldloom.operators import frames, quality
+from fieldloom.operators import frames, manifests, quality
 from fieldloom.plans.registry import Registry
 from fieldloom.plans.tables import table
 
@@ -33,7 +33,7 @@ def rule_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT p_partkey, p_name, {_RULES_SQL} AS result FROM part")
 def rule_table_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(i, r.match, r.pattern, r.result) for i, r in enumerate(RULES)], "rule_idx int, match_type string, pattern string, result string")
-    return match_table(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("p_name"), rules, ["p_partkey"])
+    return match_table(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("p_name"), rules)
 
 
 @query(f"SELECT material, count(*)::BIGINT AS n FROM (SELECT {_RULES_SQL} AS material FROM part) WHERE material <> '__skip__' GROUP BY material")
@@ -66,14 +66,13 @@ def keyword_semantic_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_brand IN ('Brand#11', 'Brand#22') AS is_dynamic, p_type, count(*)::BIGINT AS n, (count(*) FILTER (WHERE p_size <= 0 OR p_size > 40))::BIGINT AS n_skipped FROM part GROUP BY 1, 2")
 def static_dynamic_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     skipped = (F.col("p_size") <= 0) | (F.col("p_size") > 40)
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").isin("Brand#11", "Brand#22").alias("is_dynamic"), "p_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(skipped).alias("n_skipped"))
+    return manifests.split_counts(table(spark, sf_dir, "part"), [F.col("p_brand").isin("Brand#11", "Brand#22").alias("is_dynamic"), "p_type"], skipped)
 
 
 @query("SELECT r_name, count(*)::BIGINT AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def group_collect_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    members = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]), ",")
-    return rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"), members.alias("members"))
+    return manifests.members_sorted(rows, "r_name", "n_nationkey", "n_name")
 
 
 @query(
@@ -83,7 +82,7 @@ def group_collect_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forced_override_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     forced = F.when(F.col("n_regionkey") == 1, F.lit("forced"))
-    return rows.select("s_suppkey", F.coalesce(forced, "n_name").alias("material"), F.coalesce(forced != F.col("n_name"), F.lit(False)).alias("warned"))
+    return manifests.with_forced(rows.withColumn("material", F.col("n_name")), "material", forced).select("s_suppkey", "material", "warned")
 
 
 @query(
@@ -131,7 +130,8 @@ def missing_unexpected_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT md5(text) AS text_md5, count(*)::BIGINT AS n, min(doc_id)::BIGINT AS first_doc FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5"), "doc_id")
-    return docs.groupBy("text_md5").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    twice = quality.duplicates(docs, ["text_md5"])
+    return docs.join(twice, "text_md5").groupBy("text_md5", "n").agg(F.min("doc_id").alias("first_doc")).select("text_md5", "n", "first_doc")
 
 
 _ISSUES = """
@@ -175,7 +175,7 @@ def union_static_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     static = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     moving = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 5).cast("int").alias("frame_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     scenes = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("frame_id"))
-    return F.broadcast(scenes).crossJoin(static).withColumn("source", F.lit("static")).unionByName(moving.withColumn("source", F.lit("dynamic")), allowMissingColumns=True)
+    return frames.composed(static, moving, scenes)
 
 
 @query(
@@ -195,9 +195,8 @@ def in_list_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT host, page_id, url, depth::INT AS depth FROM u QUALIFY row_number() OVER (PARTITION BY host ORDER BY depth, url, page_id) = 1"""
 )
 def shallowest_path_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.size(F.split("url", "/")).alias("depth"))
-    best = pages.groupBy("host").agg(F.min(F.struct("depth", "url", "page_id")).alias("m"))
-    return best.select("host", "m.page_id", "m.url", "m.depth")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    return manifests.shallowest(pages, "host", "url", "page_id")
 
 
 @query(
@@ -210,10 +209,8 @@ def shallowest_path_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     ) SELECT name, path, level FROM t"""
 )
 def recursive_scope_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldloom.operators.manifests import scoped_paths
-
     region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     rows = region.select(F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
     rows = rows.unionAll(nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name"))
     rows = rows.unionAll(supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", "n_name"))
-    return scoped_paths(rows, "name", "parent")
+    return manifests.scoped_paths(rows, "name", "parent")

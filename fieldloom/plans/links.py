@@ -54,7 +54,8 @@ def label_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 5")
 def success_filter_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "user_id", "event_type").orderBy("event_id").limit(5)
+    _, others = labels.successful(table(spark, sf_dir, "events").withColumn("sanity_ok", F.col("event_type") != "error"), order=["event_id"])
+    return others.select("event_id", "user_id", "event_type")
 
 
 @query("SELECT user_id, count(*)::BIGINT AS num_ok, round(sum(value), 4) AS total FROM events WHERE event_type <> 'error' GROUP BY user_id")
@@ -185,11 +186,14 @@ def integer_half_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(200).select(i.alias("i"), half_up(i * 51140, F.lit(2)).alias("third"), half_up(i * 999, F.lit(199)).alias("of_200"), F.floor(i / 25).alias("second"), (i % 25).alias("sub_frame"))
 
 
-@query("SELECT event_type, min(ts) AS first_ts, max(ts) AS last_ts, (count(DISTINCT user_id))::BIGINT AS n_users, string_agg(DISTINCT user_id::VARCHAR, ',' ORDER BY user_id::VARCHAR) AS users FROM events WHERE user_id < 20 GROUP BY event_type")
+@query(
+    """SELECT event_type, user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS n, (count(*) OVER (PARTITION BY event_type))::BIGINT AS n_users
+    FROM events GROUP BY event_type, user_id"""
+)
 def distinct_value_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("user_id < 20")
-    users = F.array_join(F.sort_array(F.collect_set(F.col("user_id").cast("string"))), ",")
-    return events.groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("user_id").alias("n_users"), users.alias("users"))
+    """The users of each event type, a row each, so that no set is one value."""
+    each = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
+    return each.join(each.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_users")), "event_type")
 
 
 @query()

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import xml.etree.ElementTree as ET
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.operators.manifests import LINK, MANIFEST
 from fieldloom.operators.quality import duplicates, not_empty
 
-GEOMETRY_XML = "struct<mesh:struct<uri:string,scale:string>,box:struct<size:string>,cylinder:struct<radius:double,length:double>,sphere:struct<radius:double>>"
-VISUAL_XML = f"struct<_name:string,pose:string,geometry:{GEOMETRY_XML}>"
-LINK_XML = f"struct<_name:string,pose:string,visual:array<{VISUAL_XML}>>"
-MODEL_XML = f"_name string, pose string, static boolean, link array<{LINK_XML}>, model array<struct<_name:string,pose:string,link:array<{LINK_XML}>>>"
-INCLUDE_XML = "name string, uri string, pose string, static boolean"
+MODELS = "file string, place int, model string, model_pose string, static string, links string"
+INCLUDE_XML = "name string, uri string, pose string"
 NO_POSE = "0 0 0 0 0 0"
 
 LINK_ROWS = T.StructType(
@@ -28,48 +30,88 @@ LINK_ROWS = T.StructType(
 )
 
 
-def _visual(v: Column) -> Column:
-    """The first of mesh, box, cylinder and sphere that a visual has; null without any."""
-    g = v["geometry"]
-    kind = F.when(g["mesh"]["uri"].isNotNull(), "mesh").when(g["box"]["size"].isNotNull(), "box").when(g["cylinder"]["radius"].isNotNull(), "cylinder").when(g["sphere"]["radius"].isNotNull(), "sphere")
-    of = lambda k, x: F.when(kind == k, x)
-    return F.when(
-        kind.isNotNull(),
-        F.struct(
-            v["_name"].alias("visual_name"), F.coalesce(F.trim(v["pose"]), F.lit(NO_POSE)).alias("visual_pose"), kind.alias("geometry_type"),
-            of("mesh", g["mesh"]["uri"]).alias("uri"), of("mesh", F.coalesce(g["mesh"]["scale"], F.lit("1 1 1"))).alias("scale"), of("box", g["box"]["size"]).alias("size"),
-            F.when(kind == "cylinder", g["cylinder"]["radius"]).when(kind == "sphere", g["sphere"]["radius"]).alias("radius"), of("cylinder", g["cylinder"]["length"]).alias("length"),
-        ),
-    )
-
-
-def _links(links: Column, scope: Column | None = None) -> Column:
-    name = (lambda x: x) if scope is None else (lambda x: F.concat_ws("::", scope, x))
-    visuals = lambda x: F.array_compact(F.transform(F.coalesce(x["visual"], F.array().cast(f"array<{VISUAL_XML}>")), _visual))
-    each = F.transform(links, lambda x: F.struct(name(x["_name"]).alias("link"), F.coalesce(F.trim(x["pose"]), F.lit(NO_POSE)).alias("link_pose"), visuals(x).alias("visuals")))
-    return F.coalesce(each, F.array()).cast(T.ArrayType(LINK))
+def _text(e: ET.Element, path: str, default: str | None = None) -> str | None:
+    found = e.findtext(path)
+    return default if found is None else found.strip()
+
+
+def _matrix(pose: str) -> np.ndarray:
+    x, y, z, roll, pitch, yaw = map(float, pose.split())
+    (cr, cp, cy), (sr, sp, sy) = np.cos((roll, pitch, yaw)), np.sin((roll, pitch, yaw))
+    turn = np.array([[cy, -sy, 0], [sy, cy, 0], [0, 0, 1]]) @ np.array([[cp, 0, sp], [0, 1, 0], [-sp, 0, cp]]) @ np.array([[1, 0, 0], [0, cr, -sr], [0, sr, cr]])
+    return np.vstack([np.column_stack([turn, (x, y, z)]), (0, 0, 0, 1)])
+
+
+def pose_chain(*poses: str) -> str:
+    """The pose of the last in the frame that the first is in, with 15 digits; where the pitch is a right angle, all
+    turning about one axis counts as roll."""
+    m = reduce(np.matmul, map(_matrix, poses))
+    flat = float(np.hypot(m[0, 0], m[1, 0]))
+    roll, yaw = (np.arctan2(-m[1, 2], m[1, 1]), 0.0) if flat < 1e-9 else (np.arctan2(m[2, 1], m[2, 2]), np.arctan2(m[1, 0], m[0, 0]))
+    return " ".join(f"{v + 0.0:.15g}" for v in (*m[:3, 3], roll, np.arctan2(-m[2, 0], flat), yaw))
+
+
+def _visual(v: ET.Element) -> dict | None:
+    """The first of mesh, box, cylinder and sphere that a visual has; none without any."""
+    out = {"visual_name": v.get("name"), "visual_pose": _text(v, "pose", NO_POSE)}
+    get = lambda path: _text(v, f"geometry/{path}") or None
+    if uri := get("mesh/uri"):
+        return out | {"geometry_type": "mesh", "uri": uri, "scale": get("mesh/scale") or "1 1 1"}
+    if size := get("box/size"):
+        return out | {"geometry_type": "box", "size": size}
+    if (radius := get("cylinder/radius")) and (length := get("cylinder/length")):
+        return out | {"geometry_type": "cylinder", "radius": float(radius), "length": float(length)}
+    if radius := get("sphere/radius"):
+        return out | {"geometry_type": "sphere", "radius": float(radius)}
+    return None
+
+
+def _links(model: ET.Element, scope: tuple[str, ...] = (), poses: tuple[str, ...] = ()) -> list[dict]:
+    """A model's links and those of the models in it, at any depth: named by the scopes inside the outermost model,
+    with their pose in it."""
+    out = []
+    for link in model.findall("link"):
+        pose = _text(link, "pose", NO_POSE)
+        name = "::".join([*scope, link.get("name")]) if link.get("name") is not None else None
+        out.append({"link": name, "link_pose": pose_chain(*poses, pose) if poses else pose, "visuals": [x for v in link.findall("visual") if (x := _visual(v))]})
+    for inner in model.findall("model"):
+        name = inner.get("name")
+        out += _links(inner, (*scope, name) if name else scope, (*poses, _text(inner, "pose", NO_POSE)))
+    return out
+
+
+def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for file, text in zip(batch["file"], batch["value"], strict=True):
+            root = ET.fromstring(text)
+            for place, m in enumerate(root.findall("world/model") + root.findall("model")):
+                rows.append((file, place, m.get("name"), _text(m, "pose", NO_POSE), _text(m, "static"), json.dumps(_links(m))))
+        yield pd.DataFrame(rows, columns=["file", "place", "model", "model_pose", "static", "links"])
 
 
 def read_models(spark: SparkSession, path: str, static_default: bool = False) -> DataFrame:
-    """Manifest rows of the `<model>` elements of XML documents, and file, the document. Links of models inside a
-    model are scoped by its name; their pose in it is in the link's document, so it isn't added."""
-    rows = spark.read.format("xml").option("rowTag", "model").schema(MODEL_XML).load(path)
-    inner = F.flatten(F.transform(F.coalesce("model", F.array().cast("array<struct<_name:string,pose:string,link:array<" + LINK_XML + ">>>")), lambda m: _links(m["link"], m["_name"])))
-    return rows.select(
-        F.col("_name").alias("model"), F.coalesce(F.trim("pose"), F.lit(NO_POSE)).alias("model_pose"), F.coalesce("static", F.lit(static_default)).alias("static"),
-        F.lit("model").alias("source_type"), F.lit(None).cast("string").alias("source_uri"), F.concat(_links(F.col("link")), inner).alias("links"), F.col("_metadata.file_path").alias("file"),
-    )
+    """Manifest rows of the models of world and model documents, in `file` the document and in `place` which of its
+    models it is. Links of models inside a model, however deep, are scoped by the names of those, and their poses are
+    composed with theirs. A document that is no XML is an error."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(_documents, MODELS)
+    static = F.when(F.col("static").isNull(), F.lit(static_default)).otherwise(F.lower("static") == "true")
+    links = F.from_json("links", T.ArrayType(LINK))
+    return rows.select("model", "model_pose", static.alias("static"), F.lit("model").alias("source_type"), F.lit(None).cast("string").alias("source_uri"), links.alias("links"), "file", "place")
 
 
 def read_includes(spark: SparkSession, world: str, models: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The `<include>` elements of a world as manifest rows, by the model that their uri names, and the includes
-    whose uri names none. models: what `read_models` gives for the model documents."""
-    includes = spark.read.format("xml").option("rowTag", "include").schema(INCLUDE_XML).load(world).withColumn("key", F.regexp_extract("uri", "^model://([^/]+)", 1))
-    index = models.select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("key"), "links", F.size(F.split("file", "/")).alias("depth"), "file")
-    index = index.groupBy("key").agg(F.min_by("links", F.struct("depth", "file")).alias("links"))
+    """The named `<include>` elements of a world as manifest rows, by the model that their uri names, and the named
+    ones whose uri names none; includes without a name or uri are left out. models: what `read_models` gives for the
+    model documents, with static_default=True: whether an include is static is said in its model, which is the first
+    of its document."""
+    includes = spark.read.format("xml").option("rowTag", "include").schema(INCLUDE_XML).load(world)
+    includes = includes.where((F.trim("name") != "") & (F.trim("uri") != "")).withColumn("key", F.regexp_extract(F.trim("uri"), "^model://([^/]+)", 1))
+    index = models.where("place = 0").select(F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("key"), "links", "static", F.size(F.split("file", "/")).alias("depth"), "file")
+    index = index.groupBy("key").agg(F.min_by(F.struct("links", "static"), F.struct("depth", "file")).alias("m"))
     found = includes.join(index, "key").select(
-        F.coalesce("name", "key").alias("model"), F.coalesce(F.trim("pose"), F.lit(NO_POSE)).alias("model_pose"), F.coalesce("static", F.lit(True)).alias("static"),
-        F.lit("include").alias("source_type"), F.col("uri").alias("source_uri"), "links",
+        F.trim("name").alias("model"), F.coalesce(F.trim("pose"), F.lit(NO_POSE)).alias("model_pose"), F.col("m.static").alias("static"),
+        F.lit("include").alias("source_type"), F.trim("uri").alias("source_uri"), F.col("m.links").alias("links"),
     )
     return found, includes.join(index, "key", "left_anti").drop("key")
 

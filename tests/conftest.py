@@ -5,6 +5,7 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, f"{ROOT}/tests", f"{ROOT}/tests/llm"]
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get("PYTHONPATH", "")}"
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

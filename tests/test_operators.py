@@ -197,5 +197,41 @@ def test_checks_and_joins(spark):
     assert got == sorted((t, a) for (t,) in times.collect() for (a,) in keyed.collect() if abs(t - a) <= 0.02)
     recs = spark.createDataFrame([(0, "arm", "a", 1.5), (0, "arm", "b", 2.5), (0, "leg", "a", 3.5)], "frame_id int, model string, link string, record double")
     assert frames.frame_structs(recs).first().models["arm"].links == {"a": 1.5, "b": 2.5}
-    paths = manifests.scoped_paths(spark.createDataFrame([("w", None), ("m", "w"), ("l", "m"), ("loop", "loop")], "name string, parent string"), "name", "parent")
+    schema = "name string, parent string"
+    paths = manifests.scoped_paths(spark.createDataFrame([("w", None), ("m", "w"), ("l", "m"), ("orphan", "gone")], schema), "name", "parent")
     assert {tuple(r) for r in paths.collect()} == {("w", "w", 0), ("m", "w::m", 1), ("l", "w::m::l", 2)}
+    deep = manifests.scoped_paths(spark.createDataFrame([("n0", None), *((f"n{i}", f"n{i - 1}") for i in range(1, 41))], schema), "name", "parent")
+    assert {tuple(r) for r in deep.collect()} == {(f"n{i}", "::".join(f"n{k}" for k in range(i + 1)), i) for i in range(41)}
+    with pytest.raises(ValueError):
+        manifests.scoped_paths(spark.createDataFrame([("a", "b"), ("b", "a")], schema), "name", "parent")
+
+
+def test_rules_keep_every_row(spark, monkeypatch):
+    from fieldloom.functions import classify
+
+    rules = spark.createDataFrame([(2, "contains", "a", "wood"), (1, "startswith", "AB", "metal"), (0, "exact", "zz", "glass"), (3, "contains", "b", "other")], "rule_idx int, match_type string, pattern string, result string")
+    df = spark.createDataFrame([(1, "abc"), (1, "xa"), (None, "xa"), (None, "q"), (2, None), (2, "zz"), (3, "b")], "k int, t string")
+    want = sorted([(1, "abc", "metal"), (1, "xa", "wood"), (None, "xa", "wood"), (None, "q", "composite"), (2, None, "composite"), (2, "zz", "glass"), (3, "b", "other")], key=repr)
+    for at_once in (5000, 2):
+        monkeypatch.setattr(classify, "RULES_AT_ONCE", at_once)
+        assert sorted(map(tuple, classify.match_table(df, F.col("t"), rules).collect()), key=repr) == want
+    assert classify.match_table(df, F.col("t"), rules.limit(0)).where("result <> 'composite'").count() == 0
+
+
+def test_ablation_over_models_and_empty_tables(spark):
+    from fieldloom.operators import ablation, classifiers
+
+    rows = spark.createDataFrame([(i % 3, float(i % 2), i % 7 / 7, "r1" if i % 2 else "r2", i % 2) for i in range(60)], "fold int, geom_a double, geom_b double, rx_id string, y int")
+    out = ablation.ablation(rows, ["geometry_only"], "y", models=["balanced_logistic", "random_forest", "rbf_svm", "mlp"]).collect()
+    assert {r.model for r in out} == {"majority", "balanced_logistic", "random_forest", "rbf_svm", "mlp"} and all(r.accuracy_mean > 0.9 for r in out if r.model != "majority")
+    assert classifiers.predictions(rows.limit(0), ["geom_a"], "random_forest").count() == 0
+    for empty in (rows.limit(0), rows):
+        with pytest.raises(ValueError):
+            ablation.ablation(empty, ["geometry_only"], "y", rx_filter=["nobody"])
+
+
+def test_small_helpers(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b", "c", "a"])], "k int, v array<string>")
+    assert df.select(manifests.order_kept(F.col("v"))).first()[0] == ["b", "a", "c"]
+    rows = spark.createDataFrame([("a", None), ("b", "x"), ("x", "x")], "m string, f string")
+    assert [tuple(r) for r in manifests.with_forced(rows, "m", F.col("f")).select("m", "warned").collect()] == [("a", False), ("x", True), ("x", False)]

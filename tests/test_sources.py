@@ -84,7 +84,7 @@ def test_mesh_files(spark, tmp_path):
 WORLD = """<sdf><world name='w'>
 <model name='table'><static>true</static><pose>1 0 0 0 0 0</pose><link name='top'><visual name='v'><geometry><box><size>1 2 3</size></box></geometry></visual><visual name='none'><geometry><plane/></geometry></visual></link>
 <model name='inner'><link name='leg'><visual name='w'><pose>0 0 1 0 0 0</pose><geometry><cylinder><radius>0.1</radius><length>2</length></cylinder></geometry></visual></link></model></model>
-<include><name>cup1</name><uri>model://cup</uri><pose>0 1 0 0 0 0</pose></include><include><uri>model://lost</uri></include>
+<include><name>cup1</name><uri>model://cup</uri><pose>0 1 0 0 0 0</pose></include><include><name>gone</name><uri>model://lost</uri></include><include><uri>model://cup</uri></include>
 </world></sdf>"""
 CUP = "<sdf><model name='cup'><link name='body'><visual name='m'><geometry><mesh><uri>model://cup/meshes/c.dae</uri></mesh></geometry></visual></link></model></sdf>"
 
@@ -94,9 +94,9 @@ def test_world_to_registry(spark, tmp_path):
     (tmp_path / "world.sdf").write_text(WORLD)
     (tmp_path / "models/cup/model.sdf").write_text(CUP)
     models = scenes.read_models(spark, str(tmp_path / "world.sdf"))
-    found, lost = scenes.read_includes(spark, str(tmp_path / "world.sdf"), scenes.read_models(spark, str(tmp_path / "models/*/model.sdf")))
+    found, lost = scenes.read_includes(spark, str(tmp_path / "world.sdf"), scenes.read_models(spark, str(tmp_path / "models/*/model.sdf"), static_default=True))
     assert lost.select("uri").collect()[0][0] == "model://lost"
-    manifest = models.drop("file").unionByName(found)
+    manifest = models.drop("file", "place").unionByName(found)
     assert {(r.model, r.static) for r in manifest.collect()} == {("table", True), ("cup1", True)}
     flat = manifests.flattened(manifest, "static")
     assert {(r.model_name, r.link_name, r.geometry_type, r.skip_reason) for r in flat.collect()} == {("table", "top", "box", None), ("table", "inner::leg", "cylinder", None), ("cup1", "body", "mesh", None)}
@@ -106,6 +106,26 @@ def test_world_to_registry(spark, tmp_path):
     assert manifests.validation_issues(manifest, "static").count() == 0
 
 
+DEEP = """<sdf><world name='w'><model name='a'><link name='own'><pose>9 0 0 0 0 0</pose></link>
+<model name='b'><pose>1 0 0 0 0 1.5707963267948966</pose><link name='x'><pose>0 2 0 0 0 0</pose></link>
+<model name='c'><pose>1 0 0 0 0 0</pose><link name='y'><pose>0 0 3 0 0 0</pose></link></model></model></model>
+<include><name>cart1</name><uri>model://cart</uri></include></world></sdf>"""
+
+
+def test_nested_poses_are_composed_and_the_model_says_whether_it_is_static(spark, tmp_path):
+    (tmp_path / "models/cart").mkdir(parents=True)
+    (tmp_path / "world.sdf").write_text(DEEP)
+    (tmp_path / "models/cart/model.sdf").write_text("<sdf><model name='cart'><static>false</static><link name='l'/></model></sdf>")
+    (row,) = scenes.read_models(spark, str(tmp_path / "world.sdf")).collect()
+    poses = {x.link: [float(v) for v in x.link_pose.split()] for x in row.links}
+    assert set(poses) == {"own", "b::x", "b::c::y"} and poses["own"] == [9, 0, 0, 0, 0, 0]
+    near = lambda a, b: max(abs(x - y) for x, y in zip(a, b, strict=True)) < 1e-12
+    assert near(poses["b::x"], [-1, 0, 0, 0, 0, 1.5707963267948966]) and near(poses["b::c::y"], [1, 1, 3, 0, 0, 1.5707963267948966])
+    found, lost = scenes.read_includes(spark, str(tmp_path / "world.sdf"), scenes.read_models(spark, str(tmp_path / "models/*/model.sdf"), static_default=True))
+    assert [(r.model, r.static) for r in found.collect()] == [("cart1", False)] and lost.count() == 0
+    assert scenes.pose_chain("0 0 0 0 1.5707963267948966 0", "0 0 0 0.5 0 0").split()[3] == "0.5"
+
+
 def test_manifest_defects(spark, tmp_path):
     visual = {"visual_name": "v", "visual_pose": "0 0 0 0 0 0", "geometry_type": "box", "size": "1 1 1"}
     doc = [
