@@ -136,7 +136,7 @@ def test_texts(spark):
     assert f(s.lenient_double(F.lit("nan"))) is None and f(s.lenient_double(F.lit(" 2 "))) == 2.0 and f(s.lenient_double(F.lit("x"))) is None
     with pytest.raises(Exception, match="no finite number"):
         f(s.strict_double(F.lit("x"), "col"))
-    assert f(s.rerooted(F.lit("/old/place/rt_out/a/b.ply"), "/new", "rt_out")) == "/new/rt_out/a/b.ply"
+    assert f(s.rerooted(F.lit("/old/place/scene_out/a/b.ply"), "/new", "scene_out")) == "/new/scene_out/a/b.ply"
 
 
 def test_features(spark):
