@@ -12,6 +12,11 @@ anchor. The sort never looks further than a window reaches around its anchor:
 
 Groups are never expanded into pairs: each keeps its smallest document only. Suffixes travel as packed arrays,
 texts as compressed blocks of documents.
+
+A gram may stand in very many documents. What a task sends is combined first: of equal contexts only the smallest
+document's goes on, as the others are covered by it. A gram that has many contexts nonetheless, as at the ends of
+a common passage, is hot: its windows are dealt out by their own hashes, and of equal ones in a block of documents
+again only the smallest document's goes on.
 """
 
 from __future__ import annotations
@@ -36,8 +41,14 @@ SPAN = BEFORE + BEHIND
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 32 << 20
 #: Bytes of text whose suffixes a task gathers before it sends them.
 SEND_BYTES = 12 << 20
-COVERED, OPEN = 1, 2
-TEXT, SUFFIX, FLAGS, SPANS, CONTEXT = range(5)
+#: A gram is hot with more contexts than the first in what a task sends at once, or the second in its bucket.
+HOT_SENT, HOT_OPEN = 64, 1 << 16
+#: Hot anchors whose windows are hashed at a time.
+HASH_ROWS = 1 << 14
+COVERED, OPEN, HOT = 1, 2, 3
+#: Set in the place of a suffix that stands for its hot gram.
+MARK = 1 << 31
+TEXT, SUFFIX, FLAGS, SPANS, CONTEXT, WINDOWS = range(6)
 PACKED = "key long, kind int, tag long, ids binary, sizes binary, data binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -56,12 +67,13 @@ def _rows(table: pa.Table, kind: int) -> Iterator[tuple[int, bytes, bytes, bytes
                 yield columns[2][i].as_py(), *(c[i].as_py() for c in columns[3:])
 
 
-def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first byte and gram hash of each anchor, in order."""
+def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first byte and gram hash of each anchor, in order, and the first and the last of the windows
+    that choose it."""
     n = len(t.buf)
     none = np.zeros(0, np.int64)
     if n < WINDOW:
-        return none, none, np.zeros(0, U)
+        return none, none, np.zeros(0, U), none, none
     power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, U)
     np.cumsum((t.buf.astype(U) + U(1)) * power[:n], out=sums[1:])
@@ -77,8 +89,9 @@ def anchors(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = (low[starts] & U(0xFFFFFFFF)).astype(np.int64)
     keep = np.ones(len(at), bool)
     keep[1:] = at[1:] != at[:-1]
-    at = at[keep]
-    return text[at], at, gram[at]
+    new = np.flatnonzero(keep)
+    at = at[new]
+    return text[at], at, gram[at], starts[new], starts[np.append(new[1:], len(starts)) - 1] if len(new) else none
 
 
 def contexts(t: Texts, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,18 +116,66 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def _send_suffixes(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _first_digits(doc: np.ndarray, gram: np.ndarray, context: np.ndarray, most: int, marked: np.ndarray | None = None) -> np.ndarray:
+    """Flags of suffixes by their grams and contexts; of a gram with more than `most` contexts, or a marked suffix,
+    those that aren't covered are hot."""
+    flags = np.zeros(len(gram), np.uint8)
+    order = np.argsort(gram, kind="stable")
+    same = gram[order][1:] == gram[order][:-1]
+    order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order
+    order = order[np.lexsort((doc[order], context[order], gram[order]))]
+    if not len(order):
+        return flags
+    own = doc[order]
+    new_gram = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
+    new_context = new_gram | np.concatenate([[True], context[order][1:] != context[order][:-1]])
+    of_gram, of_context = np.cumsum(new_gram) - 1, np.cumsum(new_context) - 1
+    least = own[new_context][of_context]
+    many = np.bincount(of_gram, new_context)
+    at = np.flatnonzero(new_gram)
+    mixed = np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at)
+    hot = mixed & (many > most)
+    if marked is not None:
+        hot |= np.bincount(of_gram, marked[order]) > 0
+    flags[order] = np.where(own > least, COVERED, np.where(hot, HOT, np.where(mixed & (many > 1), OPEN, 0))[of_gram])
+    return flags
+
+
+def _flag_rows(row: np.ndarray, place: np.ndarray, flags: np.ndarray, blocks: int) -> list[tuple]:
+    """Packed flags by block; place: the anchor's number in its document."""
+    block = _block(row, blocks)
+    order = np.lexsort((row, block))
+    block, row, place, flags = block[order], row[order], place[order], flags[order]
+    edge, out = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block)), []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        new = np.flatnonzero(np.concatenate([[True], row[a + 1 : b] != row[a : b - 1]]))
+        out.append((int(block[a]), FLAGS, b - a, row[a:b][new], np.diff(np.append(new, b - a)).astype(np.uint32), place[a:b].astype(np.uint32).tobytes() + flags[a:b].tobytes()))
+    return out
+
+
+def _send_suffixes(parts: int, blocks: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Suffixes by bucket. Spans and flags that are known already go along, with their block as tag."""
+
     def pack(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        row, doc, gram, context = (np.concatenate(x) for x in zip(*held, strict=True))
+        row, doc, gram, context, place, first, end = (np.concatenate(x) for x in zip(*held, strict=True))
+        flags = _first_digits(doc, gram, context, most)
+        gone, hot = flags == COVERED, np.flatnonzero(flags == HOT)
+        known = _spans(row[gone], first[gone], end[gone], blocks) + _flag_rows(row[hot], place[hot], flags[hot], blocks)
+        rows = [(to % parts, kind, to, ids, sizes, np.int64(tag).tobytes() + data) for to, kind, tag, ids, sizes, data in known]
+        sent = ~gone & (flags != HOT)
+        marks = hot[np.unique(gram[hot], return_index=True)[1]]
+        sent[marks] = True
+        place = place.astype(np.uint32)
+        place[marks] |= np.uint32(MARK)
+        row, doc, gram, context, place = (x[sent] for x in (row, doc, gram, context, place))
         bucket = _bucket(gram, parts)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(parts + 1))
-        rows = []
         for b in np.flatnonzero(np.diff(edge)).tolist():
             mine = order[edge[b] : edge[b + 1]]
             new = np.flatnonzero(np.concatenate([[True], (row[mine][1:] != row[mine][:-1]) | (doc[mine][1:] != doc[mine][:-1])]))
             sizes = np.diff(np.append(new, len(mine))).astype(np.uint32)
-            data = (gram[mine] >> U(32)).astype(np.uint32).tobytes() + context[mine].tobytes()
+            data = (gram[mine] >> U(32)).astype(np.uint32).tobytes() + place[mine].tobytes() + context[mine].tobytes()
             rows.append((b, SUFFIX, len(mine), np.stack([row[mine][new], doc[mine][new]]), sizes, data))
         return _packed(rows)
 
@@ -124,8 +185,10 @@ def _send_suffixes(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             doc, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for t in texts(batch.column(2)):
-                text, at, gram = anchors(t)
-                held.append((row[t.first + text], doc[t.first + text], gram, contexts(t, text, at)[2]))
+                text, at, gram, _, _ = anchors(t)
+                first, end, context = contexts(t, text, at)
+                place, base = np.arange(len(text)) - np.searchsorted(text, text), t.off[text]
+                held.append((row[t.first + text], doc[t.first + text], gram, context, place, first - base, end - base))
                 if (size := size + len(t.buf)) >= SEND_BYTES:
                     yield pack(held)
                     held, size = [], 0
@@ -164,39 +227,26 @@ def _send_texts(blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return send
 
 
-def _flag_suffixes(blocks: int) -> Callable[[pa.Table], pa.Table]:
+def _flag_suffixes(blocks: int, most: int) -> Callable[[pa.Table], pa.Table]:
     """First and second digit: flags for the suffixes of one bucket, sent to their documents' blocks."""
 
     def flag(table: pa.Table) -> pa.Table:
-        bucket, parts = table["key"][0].as_py(), ([], [], [], [], [])
+        rows = []
+        for kind, width in ((SPANS, np.int64), (FLAGS, np.uint32)):
+            for to, ids, sizes, data in _rows(table, kind):
+                rows.append((to, kind, int(np.frombuffer(data, np.int64, 1)[0]), np.frombuffer(ids, np.int64), np.frombuffer(sizes, width), data[8:]))
+        parts = ([], [], [], [], [], [])
         for n, ids, sizes, data in _rows(table, SUFFIX):
             row, doc = np.frombuffer(ids, np.int64).reshape(2, -1)
-            for to, x in zip(parts, (row, doc, np.frombuffer(sizes, np.uint32), np.frombuffer(data, np.uint32, n), np.frombuffer(data, U, n, 4 * n)), strict=True):
+            of = (row, doc, np.frombuffer(sizes, np.uint32), np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint32, n, 4 * n), np.frombuffer(data, U, n, 8 * n))
+            for to, x in zip(parts, of, strict=True):
                 to.append(x)
-        row, doc, sizes, gram, context = map(np.concatenate, parts)
-        flags = np.zeros(len(gram), np.uint8)
-        order = np.argsort(gram, kind="stable")
-        same = gram[order][1:] == gram[order][:-1]
-        order = order[np.append(same, False) | np.insert(same, 0, False)]
-        whose = np.repeat(np.arange(len(sizes)), sizes)
-        own = doc[whose[order]]
-        deeper = np.lexsort((own, context[order], gram[order]))
-        order, own = order[deeper], own[deeper]
-        if len(order):
-            new_gram = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
-            new_context = new_gram | np.concatenate([[True], context[order][1:] != context[order][:-1]])
-            of_gram, of_context = np.cumsum(new_gram) - 1, np.cumsum(new_context) - 1
-            least = own[new_context][of_context]
-            several = np.bincount(of_gram, new_context)[of_gram] > 1
-            at = np.flatnonzero(new_gram)
-            mixed = (np.minimum.reduceat(own, at) < np.maximum.reduceat(own, at))[of_gram]
-            flags[order] = np.where(own > least, COVERED, np.where(several & mixed, OPEN, 0))
-        hit = np.zeros(len(sizes), bool)
-        hit[whose[flags > 0]] = True
-        first, block, rows = np.cumsum(sizes) - sizes, _block(row, blocks), []
-        for b in np.unique(block[hit]).tolist():
-            mine = np.flatnonzero(hit & (block == b))
-            rows.append((b, FLAGS, bucket, row[mine], sizes[mine], flags[_ranges(first[mine].astype(np.int64), sizes[mine].astype(np.int64))].tobytes()))
+        if parts[0]:
+            row, doc, sizes, gram, place, context = map(np.concatenate, parts)
+            row, doc = np.repeat(row, sizes), np.repeat(doc, sizes)
+            flags = _first_digits(doc, gram, context, most, place >= MARK)
+            some = flags > 0
+            rows += _flag_rows(row[some], place[some] & np.uint32(MARK - 1), flags[some], blocks)
         return pa.Table.from_batches([_packed(rows)])
 
     return flag
@@ -227,14 +277,41 @@ def _spans(row: np.ndarray, first: np.ndarray, end: np.ndarray, blocks: int) ->
     return [(b, SPANS, 0, row[mine], np.stack([first[mine], end[mine]]), b"") for b in np.unique(block).tolist() for mine in [np.flatnonzero(block == b)]]
 
 
+def _window_hashes(raw: np.ndarray, byte: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the anchors at `byte`, each window that starts `low` to `high` bytes from the anchor: number of the
+    anchor, distance of the start, hash."""
+    power, inverse = powers(SPAN + 1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))]
+    for a in range(0, len(byte), HASH_ROWS):
+        near = raw[np.clip(byte[a : a + HASH_ROWS, None] + np.arange(-BEFORE, BEHIND), 0, len(raw) - 1)].astype(U) + U(1)
+        sums = np.zeros((len(near), SPAN + 1), U)
+        np.cumsum(near * power[:SPAN], axis=1, out=sums[:, 1:])
+        for shift in range(BEFORE + 1):
+            whole = np.flatnonzero((low[a : a + HASH_ROWS] <= shift - BEFORE) & (shift - BEFORE <= high[a : a + HASH_ROWS]))
+            value = mix64((sums[whole, shift + WINDOW] - sums[whole, shift]) * inverse[shift])
+            out.append((whole + a, np.full(len(whole), shift - BEFORE), value))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _later(value: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same value."""
+    order = np.lexsort((doc, value))
+    new = np.concatenate([[True], value[order][1:] != value[order][:-1]])[: len(order)]
+    out = np.zeros(len(value), bool)
+    out[order] = doc[order] > doc[order][new][np.cumsum(new) - 1] if len(order) else False
+    return out
+
+
 def _apply_flags(buckets: int, blocks: int) -> Callable[[pa.Table], pa.Table]:
-    """Spans of the covered contexts of one block, and the contexts that need the third digit."""
+    """Spans of the covered contexts of one block, and what needs the third digit: contexts, by gram, and windows
+    of hot grams, by window."""
 
     def apply(table: pa.Table) -> pa.Table:
         row, doc, text = _block_texts(table)
         row, first_of = np.unique(row, return_index=True)
         doc = doc[first_of]
-        whose, at, first, end, bucket, byte = [], [], [], [], [], []
+        rows = [(table["key"][0].as_py(), SPANS, 0, np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), b"") for _, ids, sizes, _ in _rows(table, SPANS)]
+        whose, at, first, end, low, high, bucket, byte = [], [], [], [], [], [], [], []
         flagged = list(_rows(table, FLAGS))
         wanted = np.zeros(len(row), bool)
         for _, ids, _, _ in flagged:
@@ -243,29 +320,39 @@ def _apply_flags(buckets: int, blocks: int) -> Callable[[pa.Table], pa.Table]:
         column = pa.array([text[first_of[i]] for i in some], pa.large_binary()).view(pa.large_string())
         raw, before = np.frombuffer(b"".join(text[first_of[i]] for i in some), np.uint8), 0
         for t in texts(column):
-            own, p, g = anchors(t)
-            a, b, _ = contexts(t, own, p)
+            own, p, g, a, b = anchors(t)
+            c, e, _ = contexts(t, own, p)
             base = t.off[own]
-            for to, x in zip((whose, at, first, end, bucket, byte), (some[t.first + own], p - base, a - base, b - base, _bucket(g, buckets), before + p), strict=True):
+            for to, x in zip((whose, at, first, end, low, high, bucket, byte), (some[t.first + own], p - base, c - base, e - base, a - p, b - p, _bucket(g, buckets), before + p), strict=True):
                 to.append(x)
             before += len(t.buf)
         if not whose:
-            return pa.Table.from_batches([_packed([])])
-        whose, at, first, end, bucket, byte = map(np.concatenate, (whose, at, first, end, bucket, byte))
+            return pa.Table.from_batches([_packed(rows)])
+        whose, at, first, end, low, high, bucket, byte = map(np.concatenate, (whose, at, first, end, low, high, bucket, byte))
         flags = np.zeros(len(whose), np.uint8)
-        order = np.lexsort((whose, bucket))
-        place = bucket[order] * len(row) + whose[order]
-        for tag, ids, sizes, data in flagged:
-            docs, sizes = np.searchsorted(row, np.frombuffer(ids, np.int64)), np.frombuffer(sizes, np.uint32).astype(np.int64)
-            flags[order[_ranges(np.searchsorted(place, tag * len(row) + docs), sizes)]] = np.frombuffer(data, np.uint8)
+        for n, ids, sizes, data in flagged:
+            docs = np.repeat(np.searchsorted(row, np.frombuffer(ids, np.int64)), np.frombuffer(sizes, np.uint32))
+            flags[np.searchsorted(whose, docs) + np.frombuffer(data, np.uint32, n)] = np.frombuffer(data, np.uint8, n, 4 * n)
         gone = flags == COVERED
-        rows = _spans(row[whose[gone]], first[gone], end[gone], blocks)
+        rows += _spans(row[whose[gone]], first[gone], end[gone], blocks)
         rest = np.flatnonzero(flags == OPEN)
         for b in np.unique(bucket[rest]).tolist():
             mine = rest[bucket[rest] == b]
-            ids = np.stack([row[whose[mine]], doc[whose[mine]], at[mine], first[mine], end[mine]])
+            ids = np.stack([row[whose[mine]], doc[whose[mine]], at[mine], low[mine], high[mine]])
             near = raw[np.clip(byte[mine][:, None] + np.arange(-BEFORE, BEHIND), 0, len(raw) - 1)]
             rows.append((b, CONTEXT, 0, ids, np.zeros(0), near.tobytes()))
+        hot = np.flatnonzero(flags == HOT)
+        of, distance, value = _window_hashes(raw, byte[hot], low[hot], high[hot])
+        whose, start = whose[hot[of]], at[hot[of]] + distance
+        later = _later(value, doc[whose])
+        rows += _spans(row[whose[later]], start[later], start[later] + WINDOW, blocks)
+        whose, start, value = whose[~later], start[~later], value[~later]
+        part = _bucket(value, buckets)
+        order = np.argsort(part, kind="stable")
+        edge = np.searchsorted(part[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            mine = order[edge[b] : edge[b + 1]]
+            rows.append((b, WINDOWS, 0, np.stack([row[whose[mine]], doc[whose[mine]], start[mine]]), np.zeros(0), value[mine].tobytes()))
         return pa.Table.from_batches([_packed(rows)])
 
     return apply
@@ -296,27 +383,27 @@ def msd_groups(strings: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def _match_windows(blocks: int) -> Callable[[pa.Table], pa.Table]:
-    """Third digit: spans of the repeated windows among one bucket's contexts."""
+    """Third digit: spans of the repeated windows among one bucket's contexts, and among its windows of hot grams."""
 
     def match(table: pa.Table) -> pa.Table:
-        ids, near = [], []
-        for _, i, _, data in _rows(table, CONTEXT):
-            ids.append(np.frombuffer(i, np.int64).reshape(5, -1))
-            near.append(np.frombuffer(data, np.uint8).reshape(-1, SPAN))
-        (row, doc, at, first, end), near = np.concatenate(ids, axis=1), np.concatenate(near)
-        found = []
-        for shift in range(BEFORE + 1):
-            start = at - BEFORE + shift
-            whole = np.flatnonzero((start >= first) & (start + WINDOW <= end))
-            number = msd_groups(near[whole, shift : shift + WINDOW], np.zeros(len(whole), np.int64))
-            whole, number = whole[number >= 0], number[number >= 0]
-            if len(whole):
-                least = np.full(number.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, number, doc[whole])
-                bad = whole[doc[whole] > least[number]]
-                found.append((row[bad], start[bad], start[bad] + WINDOW))
-        spans = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.Table.from_batches([_packed(_spans(*spans, blocks))])
+        found = [(np.zeros(0, np.int64),) * 3]
+        held = [(np.frombuffer(i, np.int64).reshape(3, -1), np.frombuffer(data, U)) for _, i, _, data in _rows(table, WINDOWS)]
+        if held:
+            row, doc, start = np.concatenate([i for i, _ in held], axis=1)
+            later = _later(np.concatenate([v for _, v in held]), doc)
+            found.append((row[later], start[later], start[later] + WINDOW))
+        held = [(np.frombuffer(i, np.int64).reshape(5, -1), np.frombuffer(data, np.uint8).reshape(-1, SPAN)) for _, i, _, data in _rows(table, CONTEXT)]
+        if held:
+            row, doc, at, low, high = np.concatenate([i for i, _ in held], axis=1)
+            near = np.concatenate([x for _, x in held])
+            for distance in range(-BEFORE, 1):
+                whole = np.flatnonzero((low <= distance) & (distance <= high))
+                number = msd_groups(near[whole, distance + BEFORE : distance + BEFORE + WINDOW], np.zeros(len(whole), np.int64))
+                whole, number = whole[number >= 0], number[number >= 0]
+                if len(whole):
+                    bad = whole[_later(number, doc[whole])]
+                    found.append((row[bad], at[bad] + distance, at[bad] + distance + WINDOW))
+        return pa.Table.from_batches([_packed(_spans(*(np.concatenate(x) for x in zip(*found, strict=True)), blocks))])
 
     return match
 
@@ -351,9 +438,10 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks, buckets = (max(1, -(-total // size)) for size in (BLOCK_BYTES, BUCKET_BYTES))
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     packed = keyed.mapInArrow(_send_texts(blocks), PACKED)
-    flags = keyed.mapInArrow(_send_suffixes(buckets), PACKED).groupBy("key").applyInArrow(_flag_suffixes(blocks), PACKED)
+    sent = keyed.mapInArrow(_send_suffixes(buckets, blocks, HOT_SENT), PACKED)
+    flags = sent.groupBy("key").applyInArrow(_flag_suffixes(blocks, HOT_OPEN), PACKED)
     marked = staged(packed.unionAll(flags).groupBy("key").applyInArrow(_apply_flags(buckets, blocks), PACKED), "suffix-marks")
-    matched = marked.where(F.col("kind") == CONTEXT).groupBy("key").applyInArrow(_match_windows(blocks), PACKED)
+    matched = marked.where(F.col("kind").isin(CONTEXT, WINDOWS)).groupBy("key").applyInArrow(_match_windows(blocks), PACKED)
     return packed, marked.where(F.col("kind") == SPANS).unionAll(matched)
 
 

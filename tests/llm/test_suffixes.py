@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 from fieldloom.llm import suffixes
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,15 +60,34 @@ def test_planted_repeats_and_edges(spark):
     docs += [docs[3], docs[3], (docs[5][0], docs[6][1]), (docs[5][0], docs[7][1])]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, key int, row string")
     assert got(df) == brute(docs)
-    before = suffixes.BLOCK_BYTES, suffixes.BUCKET_BYTES
+    names = "BLOCK_BYTES", "BUCKET_BYTES", "HOT_SENT", "HOT_OPEN"
+    before = [getattr(suffixes, n) for n in names]
     try:
-        suffixes.BLOCK_BYTES, suffixes.BUCKET_BYTES = 4000, 7000
-        assert got(df) == brute(docs)
+        for values in ((4000, 7000, *before[2:]), (4000, 7000, 3, 5), (4000, 7000, before[2], 2), (before[0], before[1], 2, before[3])):
+            for n, v in zip(names, values, strict=True):
+                setattr(suffixes, n, v)
+            assert got(df) == brute(docs)
     finally:
-        suffixes.BLOCK_BYTES, suffixes.BUCKET_BYTES = before
+        for n, v in zip(names, before, strict=True):
+            setattr(suffixes, n, v)
     assert suffixes.without_repeats(df.limit(0)).count() == 0
 
 
+def test_a_passage_in_every_document(spark):
+    """Its windows are found, and what is sent for one gram doesn't grow with the documents that have it."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = text(130)
+    docs = [(i, text(60) + passage + text(60)) for i in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(df) == brute(docs)
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array([d for d, _ in docs]), "row": pa.array([d for d, _ in docs]), "text": pa.array([t for _, t in docs])})
+    rows = [r for b in suffixes._send_suffixes(1, 1, suffixes.HOT_SENT)(iter([batch])) for r in b.to_pylist()]
+    sent = sum(r["tag"] for r in rows if r["kind"] == suffixes.SUFFIX)
+    grams = np.concatenate([np.frombuffer(r["data"], np.uint32, r["tag"]) for r in rows if r["kind"] == suffixes.SUFFIX])
+    assert 0 < sent and np.unique(grams, return_counts=True)[1].max() <= suffixes.HOT_SENT
+
+
 def test_whole_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
     docs = [tuple(r) for r in df.select("doc_id", "text").collect()]
