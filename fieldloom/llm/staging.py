@@ -12,9 +12,11 @@ BATCH_BYTES = "64m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; set to a fallback where the session has none."""
+    """spark.checkpoint.dir; a local session that has none gets a fallback, any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", found := FALLBACK_DIR)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
