@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import classifiers
 from fieldloom.operators.metrics import confusion_metrics, majority_predictions, over_folds
 from fieldloom.operators.quality import not_empty
+from fieldloom.operators.rounds import settled
 
 # The explicit feature sets, by what they add to one another.
 _BASE = ["geom_rx_x", "geom_rx_y", "geom_rx_z", "geom_tx_rx_distance", "geom_all_line_dist_min", "geom_dynamic_line_dist_min", "geom_dynamic_rx_dist_min", "geom_dynamic_count", "geom_dynamic_centroid_count"]
@@ -46,56 +47,100 @@ def columns_of(df: DataFrame, name: str) -> list[str]:
     return found
 
 
-def balanced_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, most: int = 100, close: float = 1e-6) -> np.ndarray:
-    """Weights (bias last) of a logistic regression with class weights n / (2 n_class) and an L2 penalty that spares
-    the bias, by Newton steps that are halved until the loss falls."""
-    n, d = x.shape
-    weight = np.where(y == 1, n / (2 * max(1, (y == 1).sum())), n / (2 * max(1, (y == 0).sum())))
-    z, penalty = np.hstack([x, np.ones((n, 1))]), np.append(np.full(d, ridge), 0.0)
-    w = np.zeros(d + 1)
-
-    def loss(w: np.ndarray) -> float:
-        s = z @ w
-        return float((weight * (np.logaddexp(0, s) - y * s)).mean() + 0.5 * (penalty * w * w).sum())
-
-    now = loss(w)
+def _newton_sums(rows: DataFrame, folds: Sequence[int], scale: np.ndarray, w: np.ndarray) -> dict[int, np.ndarray]:
+    """For each fold (its place in `folds`) the sums over the other folds' rows that a Newton step needs, one after
+    another: loss, slope and curvature at the weights w[k], unweighted ones of each class apart. Tasks are no more
+    than cores, each adds its rows up, and only the sums, by fold, reach the driver.
+
+    scale: by fold, means and spreads of the features."""
+    d = scale.shape[2]
+    parts = d + 1, (d + 1) ** 2
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(folds), 2, 1 + sum(parts)))
+        for batch in batches:
+            x, y, own = np.array(batch["x"].tolist(), float).reshape(len(batch), d), batch["y"].to_numpy(), batch["fold"].to_numpy()
+            for k, fold in enumerate(folds):
+                for c in (0, 1):
+                    mine = (own != fold) & (y == c)
+                    z = np.hstack([(x[mine] - scale[k, 0]) / scale[k, 1], np.ones((mine.sum(), 1))])
+                    s = z @ w[k]
+                    p = 1 / (1 + np.exp(-np.clip(s, -60, 60)))
+                    sums[k, c, 0] += (np.logaddexp(0, s) - c * s).sum()
+                    sums[k, c, 1 : 1 + parts[0]] += z.T @ (p - c)
+                    sums[k, c, 1 + parts[0] :] += ((z * (p * (1 - p))[:, None]).T @ z).ravel()
+        yield pd.DataFrame({"k": range(len(folds)), "sums": list(sums.reshape(len(folds), -1))})
+
+    few = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(add, "k int, sums array<double>")
+    each = few.select("k", F.posexplode("sums").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
+    out = {k: np.zeros((2, 1 + sum(parts))) for k in range(len(folds))}
+    for r in each.collect():
+        out[r.k].reshape(-1)[r.i] = r.v
+    return out
+
+
+def balanced_logistic(rows: DataFrame, folds: Sequence[int], counts: np.ndarray, scale: np.ndarray, ridge: float = 0.1, most: int = 100, close: float = 1e-6) -> np.ndarray:
+    """For each fold the weights (bias last) of a logistic regression over the other folds' rows, with class weights
+    n / (2 n_class) and an L2 penalty that spares the bias, by Newton steps that are halved until the loss falls.
+    Each round is one pass over the rows for all folds, each of which stops by itself.
+
+    counts: by fold, the training rows of both classes; a class without rows gives weights that always say the other."""
+    d = scale.shape[2]
+    penalty = np.append(np.full(d, ridge), 0.0)
+    w, step, size, now = np.zeros((len(folds), d + 1)), np.zeros((len(folds), d + 1)), np.ones(len(folds)), np.full(len(folds), np.inf)
+    w[:, d] = np.where(counts.min(axis=1) > 0, 0.0, np.where(counts[:, 1] > 0, 60.0, -60.0))
+    left, tried = {k for k in range(len(folds)) if counts[k].min() > 0}, w.copy()
     for _ in range(most):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -60, 60)))
-        slope = z.T @ (weight * (p - y)) / n + penalty * w
-        curve = (z * (weight * p * (1 - p))[:, None]).T @ z / n + np.diag(penalty + 1e-9)
-        step, size = np.linalg.solve(curve, slope), 1.0
-        while size > 1e-6 and loss(w - size * step) > now:
-            size /= 2
-        w = w - size * step
-        before, now = now, loss(w)
-        if np.abs(size * step).max() < close or before - now < 1e-12:
+        if not left:
             break
+        sums = _newton_sums(rows, folds, scale, tried)
+        for k in sorted(left):
+            whole = (sums[k] / (2 * counts[k])[:, None]).sum(axis=0)
+            loss = whole[0] + 0.5 * (penalty * tried[k] ** 2).sum()
+            if loss <= now[k] + 1e-12:
+                done = now[k] - loss < 1e-12 or np.abs(size[k] * step[k]).max() < close
+                done = bool(done and np.isfinite(now[k]))
+                w[k], now[k], size[k] = tried[k], loss, 1.0
+                step[k] = np.linalg.solve(whole[d + 2 :].reshape(d + 1, d + 1) + np.diag(penalty + 1e-9), whole[1 : d + 2] + penalty * w[k])
+            else:
+                size[k] /= 2
+                done = size[k] <= 1e-6
+            tried[k] = w[k] - size[k] * step[k]
+            left -= {k} if done else set()
     return w
 
 
-def logistic_predictions(df: DataFrame, features: Sequence[str], target: str = "y", fold: str = "fold", most_rows: int = 2_000_000) -> DataFrame:
-    """(fold, y, y_pred) of every row, learned from the rows of all other folds. Each fold's training rows must fit
-    one task, so their number is checked first; features are standardised by the training rows."""
-    rows = df.select(fold, F.col(target).cast("int").alias("y"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x")).where("y IS NOT NULL")
-    if (n := rows.count()) > most_rows:
-        raise ValueError(f"{n} rows are too many to learn from in one task")
-    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
-    copied = rows.withColumn("test_fold", F.explode(F.array(*map(F.lit, folds))))
-
-    def evaluate(part: pd.DataFrame) -> pd.DataFrame:
-        test = (part[fold] == part["test_fold"]).to_numpy()
-        x, y = np.array(part["x"].tolist()), part["y"].to_numpy()
-        mean, spread = x[~test].mean(axis=0), x[~test].std(axis=0)
-        x = (x - mean) / np.where(spread < 1e-9, 1.0, spread)
-        if len(np.unique(y[~test])) < 2:
-            guess = np.full(test.sum(), y[~test][0])
-        else:
-            w = balanced_logistic(x[~test], y[~test])
-            guess = (1 / (1 + np.exp(-np.clip(x[test] @ w[:-1] + w[-1], -60, 60))) >= 0.5).astype(int)
-        return pd.DataFrame({"fold": part["test_fold"].to_numpy()[test], "y": y[test], "y_pred": guess})
-
-    several = len(folds) > 1
-    return copied.groupBy("test_fold").applyInPandas(evaluate, "fold int, y int, y_pred int") if several else df.sparkSession.createDataFrame([], "fold int, y int, y_pred int")
+def logistic_predictions(df: DataFrame, features: Sequence[str], target: str = "y", fold: str = "fold") -> DataFrame:
+    """(fold, y, y_pred) of every row, learned from the rows of all other folds, whatever their number; folds are few.
+    Features are standardised by the training rows, missing ones are 0; rows without a target are left out, and one
+    fold alone gives no rows."""
+    rows = df.select(F.col(fold).cast("int").alias("fold"), F.col(target).cast("int").alias("y"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
+    rows = settled(rows.where("y IS NOT NULL AND fold IS NOT NULL"))
+    sizes = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    folds, d = sorted({f for f, _ in sizes}), len(features)
+    if len(folds) < 2:
+        return df.sparkSession.createDataFrame([], "fold int, y int, y_pred int")
+    count, mean, var = np.array([sum(sizes.get((f, c), 0) for c in (0, 1)) for f in folds], float), np.zeros((len(folds), d)), np.zeros((len(folds), d))
+    each = rows.select("fold", F.posexplode("x").alias("i", "v")).groupBy("fold", "i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
+    for r in each.collect():
+        mean[folds.index(r.fold), r.i], var[folds.index(r.fold), r.i] = r.mean, r.var
+    counts, scale = np.zeros((len(folds), 2)), np.zeros((len(folds), 2, d))
+    for k in range(len(folds)):
+        others = np.arange(len(folds)) != k
+        share = (count[others] / count[others].sum())[:, None]
+        middle = (share * mean[others]).sum(axis=0)
+        spread = np.sqrt((share * (var[others] + (mean[others] - middle) ** 2)).sum(axis=0))
+        scale[k] = middle, np.where(spread < 1e-9, 1.0, spread)
+        counts[k] = [sum(n for (f, y), n in sizes.items() if y == c and f != folds[k]) for c in (0, 1)]
+    w = balanced_logistic(rows, folds, counts, scale)
+
+    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            k = np.searchsorted(folds, batch["fold"].to_numpy())
+            x = (np.array(batch["x"].tolist(), float).reshape(len(batch), d) - scale[k, 0]) / scale[k, 1]
+            yield pd.DataFrame({"fold": batch["fold"], "y": batch["y"], "y_pred": ((x * w[k, :d]).sum(axis=1) + w[k, d] >= 0).astype("int32")})
+
+    return rows.mapInPandas(predict, "fold int, y int, y_pred int")
 
 
 LOGISTIC = "balanced_logistic"

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import half_up
+from fieldloom.operators.rounds import settled
 
 
 def uniform_samples(counts: DataFrame, n: int) -> DataFrame:
@@ -28,22 +32,56 @@ def hash_subsample(df: DataFrame, keys: Sequence[str], hashed: Column, ties: Seq
     return df.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
 
 
+def _filled(value: np.ndarray, size: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """How many groups of a size the folds have taken while they were not above a value."""
+    return np.maximum(0, (value[:, None] - load) // size[:, None] + 1).sum(axis=1)
+
+
+def _turns(turn: np.ndarray, size: np.ndarray, load: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fold, its rows so far) of the groups with the given turns among groups of equal size, if each goes to the fold
+    with the fewest rows, the first on ties: folds then take turns in the order of load + j * size, j = 0, 1, ..."""
+    low = load.min(axis=1)
+    high = low + turn * size
+    while (low < high).any():
+        middle = (low + high) // 2
+        enough = _filled(middle, size, load) > turn
+        low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+    rest = turn - _filled(low - 1, size, load)
+    level = (load <= low[:, None]) & ((low[:, None] - load) % size[:, None] == 0)
+    return (np.cumsum(level, axis=1) > rest[:, None]).argmax(axis=1), low
+
+
+def _loads_after(count: int, size: int, load: list[int]) -> list[int]:
+    """The folds' rows when `count` groups of a size are dealt out."""
+    fold, level = (int(v[0]) for v in _turns(np.array([count - 1]), np.array([size]), np.array([load])))
+    return [x + size * max(0, (level - x) // size + (i <= fold or (level - x) % size > 0)) for i, x in enumerate(load)]
+
+
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, n, fold): groups from the largest to the smallest (ties by group), each to the fold with the fewest
-    rows so far (ties to the first). Only the counts of groups, checked to be few, come together."""
+    rows so far (ties to the first). Groups of equal size are dealt out by their place among them, so the driver sees
+    only how many there are of each size in each part of the sorted groups: as many rows as there are parts and
+    different sizes, which are at most the root of twice the rows of `df`."""
+    spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    groups = sizes.count()
+    sizes = settled(sizes.repartitionByRange(F.desc("n"), F.asc_nulls_first(group))).withColumn("__part", F.spark_partition_id())
+    found = sizes.groupBy("n", "__part").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("n"), "__part").collect()
+    groups = sum(r.groups for r in found)
     if not 2 <= k <= groups:
         raise ValueError(f"{k} folds of {groups} groups")
-    if groups > 200_000:
-        raise ValueError("too many groups for a greedy split")
-    ordered = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), F.col(group).alias("g"), "n"))).alias("all"))
-    empty = F.struct(F.array(*[F.lit(0).cast("long")] * k).alias("load"), F.array().cast("array<int>").alias("folds"))
-
-    def assign(state: Column, x: Column) -> Column:
-        fold = F.array_position(state["load"], F.array_min(state["load"])).cast("int") - 1
-        return F.struct(F.transform(state["load"], lambda v, i: F.when(i == fold, v + x["n"]).otherwise(v)).alias("load"), F.concat(state["folds"], F.array(fold)).alias("folds"))
-
-    done = ordered.select("all", F.aggregate("all", empty, assign)["folds"].alias("folds"))
-    rows = done.select(F.inline(F.arrays_zip("all", "folds")))
-    return rows.select(F.col("all.g").alias(group), F.col("all.n").alias("n"), F.col("folds").alias("fold"))
+    load, starts = [0] * k, []
+    for size, parts in groupby(found, lambda r: r.n):
+        before = 0
+        for r in parts:
+            starts.append((size, r["__part"], before, list(load)))
+            before += r.groups
+        load = _loads_after(before, size, load)
+    start = spark.createDataFrame(starts, "n long, __part int, __before long, __load array<long>")
+    place = F.row_number().over(Window.partitionBy("n", "__part").orderBy(F.asc_nulls_first(group))).cast("long") - 1
+
+    @F.pandas_udf("int")
+    def fold(turn: pd.Series, size: pd.Series, load: pd.Series) -> pd.Series:
+        return pd.Series(_turns(turn.to_numpy(), size.to_numpy(), np.stack(load.to_numpy()))[0] if len(turn) else [], dtype="int32")
+
+    turns = sizes.withColumn("__place", place).join(start, ["n", "__part"])
+    return turns.select(group, "n", fold(F.col("__before") + F.col("__place"), "n", "__load").alias("fold"))

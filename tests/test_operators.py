@@ -88,6 +88,19 @@ def test_folds_are_the_greedy_loop(spark, sizes, k):
     assert got == want
 
 
+def test_folds_of_many_equal_groups(spark):
+    """Groups of few sizes over many parts, null among them, against the loop."""
+    sizes = [[7, 3, 1, 1, 1, 2][i % 6] for i in range(3000)]
+    df = spark.createDataFrame([(i or None, n) for i, n in enumerate(sizes)], "g int, c int")
+    df = df.withColumn("x", F.explode(F.array_repeat(F.lit(0), F.col("c"))))
+    got = {r.g: (r.n, r.fold) for r in sampling.group_folds(df, "g", 7).collect()}
+    load, want = [0] * 7, {}
+    for i, n in sorted(enumerate(sizes), key=lambda x: (-x[1], x[0])):
+        f = load.index(min(load))
+        want[i or None], load[f] = (n, f), load[f] + n
+    assert got == want
+
+
 def test_folds_and_samples_refuse(spark):
     df = spark.createDataFrame([(1,), (2,)], "g int")
     for k in (1, 3):
@@ -169,11 +182,14 @@ def test_metrics_and_ablation(spark):
     with pytest.raises(ValueError):
         ablation.columns_of(df, "compact_geometry")
     assert [len(v) for v in ablation.COMPACT_SETS.values()] == [9, 21, 20, 42]
-    w = ablation.balanced_logistic(x, y.astype(float))
+    counts, scale = np.array([[400 - y.sum(), y.sum()]], float), np.array([[[0.0, 0.0], [1.0, 1.0]]])
+    rows = df.select(F.lit(0).alias("fold"), "y", F.array("geom_a", "mat_b").alias("x"))
+    w = ablation.balanced_logistic(rows, [-1], counts, scale)[0]
     z = np.hstack([x, np.ones((400, 1))])
     weight = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
     slope = z.T @ (weight * (1 / (1 + np.exp(-z @ w)) - y)) / 400 + np.array([0.1, 0.1, 0]) * w
     assert np.abs(slope).max() < 1e-5
+    assert (ablation.balanced_logistic(rows, [-1], np.array([[0.0, 400.0]]), scale)[0] == [0, 0, 60]).all()
     c = metrics.confusion_metrics(spark.createDataFrame([("k", 1, 1), ("k", 0, 1), ("k", 1, 0)], "k string, y int, y_pred int"), ["k"]).first()
     assert (c.accuracy, c.precision, c.recall, c.balanced_accuracy) == (1 / 3, 0.5, 0.5, 0.25)
     assert metrics.constant_target(df.withColumn("y", F.lit(1)), "y") and not metrics.constant_target(df, "y")
