@@ -67,3 +67,13 @@ def different_positions(a: DataFrame, b: DataFrame, keys: Sequence[str], positio
     on = [*keys, position]
     both = a.select(*on, F.col(value).alias("left")).join(b.select(*on, F.col(value).alias("right")), on, "full")
     return both.where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def scene_problems(scenes: DataFrame, expected: DataFrame, listing: DataFrame) -> DataFrame:
+    """(frame_id, problem, detail) of scene documents (frame_id, xml): another number of shapes than in `expected`
+    (frame_id, n_expected), and files they name that the listing (path) lacks, each once."""
+    found = scenes.select("frame_id", F.xpath_int("xml", F.lit("count(//shape)")).alias("n"), F.xpath("xml", F.lit("//shape/string[@name='filename']/@value")).alias("files"))
+    counted = found.join(expected, "frame_id").where(F.col("n") != F.col("n_expected"))
+    counted = counted.select("frame_id", F.lit("number of shapes").alias("problem"), F.concat_ws(" instead of ", F.col("n").cast("string"), F.col("n_expected").cast("string")).alias("detail"))
+    files = found.select("frame_id", F.explode("files").alias("path")).distinct().join(listing.select("path").distinct(), "path", "left_anti")
+    return counted.unionAll(files.select("frame_id", F.lit("file is missing"), F.col("path")))

@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans import documents, geometry, joins, links, statistics
+from fieldloom.plans import documents, geometry, joins, links, scenes, statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (links, joins, statistics, geometry, documents)
+PARTS = (links, joins, statistics, geometry, documents, scenes)
 
 QUERIES: dict[str, Query] = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in PARTS for name, sql in part.SQL.items()}
