@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +90,17 @@ def binary_label(text: Column) -> Column:
     return F.when(F.trim(text).isin("0", "0.0"), 0).when(F.trim(text).isin("1", "1.0"), 1)
 
 
+def general_text(value: Column, digits: int = 6) -> Column:
+    """The shortest of fixed and exponent notation with so many significant digits and no zeros at the end; Spark's
+    own format keeps the zeros."""
+
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v + 0.0:.{digits}g}").astype(object)
+
+    return text(value.cast("double"))
+
+
 def rerooted(path: Column, root: str, marker: str) -> Column:
     """`path` from the last `marker` folder on, below `root`; null where it has none."""
     tail = F.regexp_extract(path, rf"(?:^|.*/)({marker}/.*)$", 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -10,25 +10,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators import classifiers
 from fieldloom.operators.metrics import confusion_metrics, majority_predictions, over_folds
 from fieldloom.operators.quality import not_empty
 from fieldloom.operators.rounds import settled
 
-# The explicit feature sets, by what they add to one another.
-_BASE = ["geom_rx_x", "geom_rx_y", "geom_rx_z", "geom_tx_rx_distance", "geom_all_line_dist_min", "geom_dynamic_line_dist_min", "geom_dynamic_rx_dist_min", "geom_dynamic_count", "geom_dynamic_centroid_count"]
-_METAL = [f"mat_metal_{s}" for s in ("line_dist_min", "rx_dist_min", "count", "dynamic_count")]
-_BOTH_ENDS = [f"mat_{m}_{s}" for m in ("glass", "wood", "plastic") for s in ("line_dist_min", "rx_dist_min")]
-_MATERIAL = [*_METAL, *_BOTH_ENDS, "mat_textile_line_dist_min", "mat_cardboard_line_dist_min"]
-_ARM = [f"sem_robot_arm_{s}" for s in ("line_dist_min", "rx_dist_min", "count", "dynamic_count")]
-_SEMANTIC = [*_ARM, *(f"sem_{c}_line_dist_min" for c in ("shelf", "window", "desk", "door", "robot", "drone", "laptop"))]
-_MODELS = [f"obj_{m}_{s}" for m in ("panda", "ur5_rg2") for s in ("line_dist_min", "rx_dist_min", "centroid_x_mean", "centroid_y_mean", "centroid_z_mean")]
+# The explicit feature sets.
 COMPACT_SETS = {
-    "compact_geometry": _BASE,
-    "compact_geometry_material": [*_BASE, *_MATERIAL],
-    "compact_geometry_semantic": [*_BASE, *_SEMANTIC],
-    "compact_full_object_aware": [*_BASE, *_MATERIAL, *_SEMANTIC, *_MODELS],
-}
+    "compact_geometry": [
+        "geom_rx_x", "geom_rx_y", "geom_rx_z", "geom_tx_rx_distance", "geom_all_line_dist_min",
+        "geom_dynamic_line_dist_min", "geom_dynamic_rx_dist_min", "geom_dynamic_count", "geom_dynamic_centroid_count",
+    ],
+    "compact_geometry_material": [
+        "geom_rx_x", "geom_rx_y", "geom_rx_z", "geom_tx_rx_distance", "geom_all_line_dist_min",
+        "geom_dynamic_line_dist_min", "geom_dynamic_rx_dist_min", "geom_dynamic_count", "geom_dynamic_centroid_count", "mat_metal_line_dist_min",
+        "mat_metal_rx_dist_min", "mat_metal_count", "mat_metal_dynamic_count", "mat_glass_line_dist_min", "mat_glass_rx_dist_min",
+        "mat_wood_line_dist_min", "mat_wood_rx_dist_min", "mat_plastic_line_dist_min", "mat_plastic_rx_dist_min", "mat_textile_line_dist_min",
+        "mat_cardboard_line_dist_min",
+    ],
+    "compact_geometry_semantic": [
+        "geom_rx_x", "geom_rx_y", "geom_rx_z", "geom_tx_rx_distance", "geom_all_line_dist_min",
+        "geom_dynamic_line_dist_min", "geom_dynamic_rx_dist_min", "geom_dynamic_count", "geom_dynamic_centroid_count", "sem_robot_arm_line_dist_min",
+        "sem_robot_arm_rx_dist_min", "sem_robot_arm_count", "sem_robot_arm_dynamic_count", "sem_shelf_line_dist_min", "sem_window_line_dist_min",
+        "sem_desk_line_dist_min", "sem_door_line_dist_min", "sem_robot_line_dist_min", "sem_drone_line_dist_min", "sem_laptop_line_dist_min",
+    ],
+    "compact_full_object_aware": [
+        "geom_rx_x", "geom_rx_y", "geom_rx_z", "geom_tx_rx_distance", "geom_all_line_dist_min",
+        "geom_dynamic_line_dist_min", "geom_dynamic_rx_dist_min", "geom_dynamic_count", "geom_dynamic_centroid_count", "mat_metal_line_dist_min",
+        "mat_metal_rx_dist_min", "mat_metal_count", "mat_metal_dynamic_count", "mat_glass_line_dist_min", "mat_glass_rx_dist_min",
+        "mat_wood_line_dist_min", "mat_wood_rx_dist_min", "mat_plastic_line_dist_min", "mat_plastic_rx_dist_min", "mat_textile_line_dist_min",
+        "mat_cardboard_line_dist_min", "sem_robot_arm_line_dist_min", "sem_robot_arm_rx_dist_min", "sem_robot_arm_count", "sem_robot_arm_dynamic_count",
+        "sem_shelf_line_dist_min", "sem_window_line_dist_min", "sem_desk_line_dist_min", "sem_door_line_dist_min", "sem_robot_line_dist_min",
+        "sem_drone_line_dist_min", "sem_laptop_line_dist_min", "obj_panda_line_dist_min", "obj_panda_rx_dist_min", "obj_panda_centroid_x_mean",
+        "obj_panda_centroid_y_mean", "obj_panda_centroid_z_mean", "obj_ur5_rg2_line_dist_min", "obj_ur5_rg2_rx_dist_min", "obj_ur5_rg2_centroid_x_mean",
+        "obj_ur5_rg2_centroid_y_mean", "obj_ur5_rg2_centroid_z_mean",
+    ],
+}
 #: The wide sets are all columns with these beginnings.
 WIDE_SETS = {"geometry_only": ("geom_",), "geometry_material": ("geom_", "mat_"), "geometry_semantic": ("geom_", "sem_"), "full_object_aware": ("geom_", "mat_", "sem_", "obj_")}
 RAW_SETS = {"raw_occupancy": ("raw_",)}
@@ -156,6 +172,15 @@ def receivers_only(df: DataFrame, rx_filter: Sequence[str]) -> DataFrame:
     return not_empty(df.where(F.col("rx_id").isin(*rx_filter)), f"the selection of {', '.join(rx_filter)}")
 
 
+def _spark_ml() -> Callable[..., DataFrame]:
+    """Imported only where one of its models is asked for."""
+    try:
+        from fieldloom.operators.classifiers import predictions
+    except ImportError as e:
+        raise RuntimeError("models other than balanced_logistic need Spark ML") from e
+    return predictions
+
+
 def ablation(df: DataFrame, sets: Sequence[str], target: str, fold: str = "fold", rx_filter: Sequence[str] | None = None, models: Sequence[str] = (LOGISTIC,)) -> DataFrame:
     """A result row for the majority baseline and for each feature set and model: rows, share of positives, and mean
     and standard deviation over folds of each metric. models: balanced_logistic and those of `classifiers`. A target
@@ -170,7 +195,7 @@ def ablation(df: DataFrame, sets: Sequence[str], target: str, fold: str = "fold"
     parts = [base.select(F.lit("majority_baseline").alias("feature_set"), F.lit("majority").alias("model"), F.col(fold).alias("fold"), "y", "y_pred")]
     for name in sets:
         for model in models:
-            learn = logistic_predictions if model == LOGISTIC else partial(classifiers.predictions, model=model)
+            learn = logistic_predictions if model == LOGISTIC else partial(_spark_ml(), model=model)
             guesses = learn(rows, columns_of(rows, name), target=target, fold=fold)
             parts.append(guesses.select(F.lit(name).alias("feature_set"), F.lit(model).alias("model"), "fold", "y", "y_pred"))
     all_rows = parts[0]

@@ -26,6 +26,12 @@ def assembled(poses: DataFrame, links: DataFrame) -> DataFrame:
     return rows.drop("__expected", "__n", "__links", "__row").join(accepted, "model")
 
 
+def selected(samples: DataFrame, frames: DataFrame) -> DataFrame:
+    """The rows of the samples that are frames, with frame_id; a sample may be several. frames: (frame_id,
+    source_sample_index)."""
+    return samples.join(frames.withColumnRenamed("source_sample_index", "sample_index"), "sample_index")
+
+
 def inconsistent_samples(samples: DataFrame, stamps: Sequence[str]) -> DataFrame:
     """(model, sample_index, n_stamps) of samples whose rows have different time stamps."""
     return samples.groupBy("model", "sample_index").agg(F.count_distinct(F.struct(*stamps)).alias("n_stamps")).where("n_stamps > 1")

@@ -69,6 +69,15 @@ def nonrenderable_links(manifest: DataFrame) -> DataFrame:
     return links.groupBy("model_name").agg(F.array_sort(F.collect_list("l.link")).alias("links"))
 
 
+def model_summary(manifest: DataFrame) -> DataFrame:
+    """(model_name, n_links, n_renderable_links, n_visuals, non_renderable_links): links by name; a model without links
+    is in no row."""
+    n = F.greatest(F.coalesce(F.size("l.visuals"), F.lit(0)), F.lit(0))
+    links = manifest.select(F.col("model").alias("model_name"), F.explode("links").alias("l")).select("model_name", "l.link", n.alias("n"))
+    bare = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.col("link"))))
+    return links.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(F.col("n") > 0).alias("n_renderable_links"), F.sum("n").alias("n_visuals"), bare.alias("non_renderable_links"))
+
+
 def validation_issues(manifest: DataFrame, name: str, model_index: DataFrame | None = None) -> DataFrame:
     """(severity, manifest, location, message) of everything that is wrong in a manifest. model_index: the model
     names that `model://` uris may have."""
@@ -120,6 +129,14 @@ def merge_groups(registry: DataFrame) -> DataFrame:
     return registry.where(F.col("status") == "ready").groupBy("material_class").agg(F.array_sort(F.collect_list("id")).alias("members"), F.count(F.lit(1)).alias("n"))
 
 
+def provenance(entries: DataFrame) -> DataFrame:
+    """What is kept of each member of a merged mesh: its names, state and place, and of its geometry what its type has."""
+    kind = F.col("geometry_type")
+    of = {"mesh_path": ("mesh",), "size": ("box",), "radius": ("sphere", "cylinder"), "length": ("cylinder",)}
+    names = ("id", "model_name", "link_name", "visual_name", "geometry_type", "material_class", "status", "to_world")
+    return entries.select(*names, *[F.when(kind.isin(*kinds), F.col(c)).alias(c) for c, kinds in of.items()])
+
+
 def scoped_paths(df: DataFrame, name: str, parent: str) -> DataFrame:
     """(name, path, level): each model with its scopes joined by `::`, from roots (null parent) down, however deep.
     Every round joins each chain with that of its uppermost scope, so chains double; a chain that is a loop is an error,

@@ -42,6 +42,7 @@ def rule_skip_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.where("material <> '__skip__'").groupBy("material").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The words of the classes, as in functions/classify.py.
 @query(
     """WITH t AS (SELECT p_partkey, p_brand, lower(p_brand || ' | ' || p_name || ' | ' || p_type) AS text FROM part),
     c AS (SELECT p_partkey, CASE

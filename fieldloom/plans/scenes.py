@@ -90,6 +90,43 @@ def links_without_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.nonrenderable_links(_manifest(spark, sf_dir)).select("model_name", F.array_join("links", ",").alias("links"))
 
 
+@query(
+    _MANIFEST
+    + """ SELECT l_orderkey::VARCHAR AS model_name, count(*)::BIGINT AS n_links, (count(*) FILTER (WHERE NOT bare))::BIGINT AS n_renderable_links, (count(*) FILTER (WHERE NOT bare))::BIGINT AS n_visuals,
+        coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) FILTER (WHERE bare), '') AS non_renderable_links FROM m GROUP BY l_orderkey"""
+)
+def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.model_summary(_manifest(spark, sf_dir)).withColumn("non_renderable_links", F.array_join("non_renderable_links", ","))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, ['mesh', 'box', 'sphere', 'cylinder'][p_partkey % 4 + 1] AS geometry_type, p_brand, p_name, p_type, p_size, p_retailprice FROM part)
+    SELECT p_partkey::VARCHAR AS id, geometry_type, CASE WHEN geometry_type = 'mesh' THEN p_name END AS mesh_path, CASE WHEN geometry_type = 'box' THEN p_size END AS size,
+        CASE WHEN geometry_type IN ('sphere', 'cylinder') THEN p_retailprice END AS radius, CASE WHEN geometry_type = 'cylinder' THEN p_retailprice / 2 END AS length FROM p"""
+)
+def member_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("mesh", "box", "sphere", "cylinder"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    names = {"model_name": "p_brand", "link_name": "p_name", "visual_name": "p_type", "material_class": "p_type", "status": "p_brand", "to_world": "p_size", "mesh_path": "p_name", "size": "p_size", "radius": "p_retailprice"}
+    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), kind.alias("geometry_type"), *[F.col(c).alias(n) for n, c in names.items()], (F.col("p_retailprice") / 2).alias("length"))
+    return manifests.provenance(entries).select("id", "geometry_type", "mesh_path", "size", "radius", "length")
+
+
+@query("SELECT c_custkey, printf('%g', c_acctbal / 7) AS short, printf('%.15g', c_acctbal / 1000) AS long FROM customer")
+def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", s.general_text(F.col("c_acctbal") / 7).alias("short"), s.general_text(F.col("c_acctbal") / 1000, 15).alias("long"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample_index FROM events)
+    SELECT n_nationkey AS frame_id, user_id, event_id, sample_index FROM e JOIN nation ON n_nationkey // 2 * 3 = sample_index"""
+)
+def selected_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    samples = table(spark, sf_dir, "events").select("user_id", "event_id", place.alias("sample_index"))
+    chosen = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("frame_id"), (F.floor(F.col("n_nationkey") / 2) * 3).alias("source_sample_index"))
+    return frames.selected(samples, chosen).select("frame_id", "user_id", "event_id", "sample_index")
+
+
 _KINDS = (Rule("contains", "| 1", "metal"), Rule("contains", "| 2", "__skip__"))
 
 

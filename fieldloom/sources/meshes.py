@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.functions.strings import strict_double
+
 VERTICES = "mesh_path string, vertex_idx long, x double, y double, z double"
 # The scalar types of the PLY format.
 PLY_TYPES = {
@@ -63,6 +65,8 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for mesh, content in zip(batch["path"], batch["content"], strict=True):
                 xyz = ply_vertices(bytes(content))
+                if not len(xyz):
+                    raise ValueError(f"no vertices in {mesh}")
                 yield pd.DataFrame({"mesh_path": mesh, "vertex_idx": np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ply").option("recursiveFileLookup", "true").load(path)
@@ -70,13 +74,25 @@ def read_ply(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
-    """A row per vertex line with three numbers; vertex_idx only orders the rows of a mesh."""
-    lines = spark.read.option("pathGlobFilter", "*.obj").option("recursiveFileLookup", "true").text(path)
-    rows = lines.select(F.col("_metadata.file_path").alias("mesh_path"), F.monotonically_increasing_id().alias("vertex_idx"), F.split(F.trim("value"), r"\s+").alias("w"))
-    values = [F.get("w", F.lit(k)).try_cast("double").alias(a) for k, a in enumerate("xyz", 1)]
-    found = rows.where(F.get("w", F.lit(0)) == "v").select("mesh_path", "vertex_idx", *values)
-    return found.where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    """A row per vertex line of three numbers or more, numbered from 0; shorter lines are left out, a vertex that isn't
+    a number is an error, and so is a file without vertices."""
+    files = spark.read.option("pathGlobFilter", "*.obj").option("recursiveFileLookup", "true").text(path, wholetext=True)
+    words = F.transform(F.filter(F.split("value", r"\r?\n"), lambda line: line.startswith("v ")), lambda line: F.split(F.trim(line), r"\s+"))
+    points = F.filter(words, lambda w: F.size(w) > 3)
+    rows = files.select(F.col("_metadata.file_path").alias("mesh_path"), points.alias("points"))
+    some = F.when(F.size("points") > 0, F.col("points")).otherwise(F.raise_error(F.concat(F.lit("no vertices in "), F.col("mesh_path"))).cast("array<array<string>>"))
+    rows = rows.select("mesh_path", F.posexplode(some).alias("vertex_idx", "w"))
+    return rows.select("mesh_path", F.col("vertex_idx").cast("long").alias("vertex_idx"), *[strict_double(F.get("w", F.lit(k)), a).alias(a) for k, a in enumerate("xyz", 1)])
 
 
 def read_meshes(spark: SparkSession, path: str) -> DataFrame:
     return read_ply(spark, path).unionByName(read_obj(spark, path))
+
+
+def entry_vertices(entries: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Each entry (mesh_path and others) with all vertices of its mesh, which was read once for however many entries.
+    A path of another kind than PLY and OBJ, and one that has no vertices, is an error."""
+    kind = F.lower(F.regexp_extract("mesh_path", r"\.([^./]+)$", 1))
+    wrong = F.when(~kind.isin("ply", "obj"), F.lit("unsupported mesh ")).when(F.col("vertex_idx").isNull(), F.lit("no vertices in "))
+    path = F.when(wrong.isNull(), F.col("mesh_path")).otherwise(F.raise_error(F.concat(wrong, "mesh_path")).cast("string"))
+    return entries.join(vertices, "mesh_path", "left").withColumn("mesh_path", path)

@@ -22,6 +22,7 @@ def test_settings(spark, tmp_path):
     (tmp_path / "bad.json").write_text("[1]")
     with pytest.raises(config.SettingsError):
         config.read_settings(spark, str(tmp_path / "bad.json"))
+    # Permittivity of skin.
     skin = {"model": "custom", "thickness": 0.003, "relative_permittivity": 16.73, "conductivity": 20.1, "frequency_hz": 28e9}
     doc = {"metadata": {"carrier_frequency_hz": 28e9}, "materials": {"glass": {"model": "itu", "itu_type": "glass", "thickness": 0.1}, "skin": skin}}
     assert config.RadioMaterials.of(doc).table(spark).count() == 2

@@ -78,7 +78,16 @@ def test_mesh_files(spark, tmp_path):
     (tmp_path / "a.ply").write_bytes(ply("ascii", ROWS))
     (tmp_path / "b.obj").write_text("# c\nv 1 2 3 9\nvn 0 0 1\nvt 0 0\nv 1 2\nv 4 5 6\nf 1 2 3\n")
     rows = meshes.read_meshes(spark, str(tmp_path)).orderBy("mesh_path", "vertex_idx").collect()
-    assert [(r.x, r.y, r.z) for r in rows] == [*ROWS, (1, 2, 3), (4, 5, 6)]
+    assert [(r.x, r.y, r.z) for r in rows] == [*ROWS, (1, 2, 3), (4, 5, 6)] and [r.vertex_idx for r in rows if r.mesh_path.endswith("obj")] == [0, 1]
+    path = next(r.mesh_path for r in rows if r.mesh_path.endswith("obj"))
+    placed = lambda *paths: meshes.entry_vertices(spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "frame_id int, mesh_path string"), meshes.read_meshes(spark, str(tmp_path)))
+    assert sorted((r.frame_id, r.x) for r in placed(path, path).collect()) == [(0, 1.0), (0, 4.0), (1, 1.0), (1, 4.0)]
+    for bad, why in (("a.stl", "unsupported mesh a.stl"), ("b.ply", "no vertices in b.ply")):
+        with pytest.raises(Exception, match=why):
+            placed(path, bad).collect()
+    (tmp_path / "c.obj").write_text("v 1 2\n")
+    with pytest.raises(Exception, match="no vertices in"):
+        meshes.read_obj(spark, str(tmp_path)).collect()
 
 
 WORLD = """<sdf><world name='w'>
@@ -160,6 +169,7 @@ def test_tables_and_output(spark, tmp_path):
 
 def test_scene_xml_and_wall(spark, tmp_path):
     entries = spark.createDataFrame([(0, "B", "m/b.ply", "glass"), (0, "a", "m/a.obj", "skin"), (1, "c", "m/c.ply", "glass")], "frame_id int, id string, mesh_path string, material_class string")
+    # Permittivity and conductivity of skin.
     materials = spark.createDataFrame([("glass", "glass", None, None, 0.1, 0.0, 0.0), ("skin", None, 16.73, 20.1043, 0.003, 0.0, 0.0)], "material_class string, itu_type string, relative_permittivity double, conductivity double, thickness double, scattering_coefficient double, xpd_coefficient double")
     out = {r.frame_id: r for r in sinks.scene_xml(entries, materials).collect()}
     assert out[0].n_shapes == 2 and out[0].xml.count("<bsdf") == 2 and 'value="20.1043"' in out[0].xml and out[1].xml.count("<bsdf") == 1
