@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import chat, decontam, langid, lines, lmscore, neardup, packing, pii, sketches, suffixes
+from fieldloom.llm import chat, codebooks, collocations, decontam, langid, licences, lines, lmscore, neardup, packing, pii, sketches, suffixes
 from fieldloom.plans.tables import table
 
 
@@ -53,6 +53,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_lines": op2_lines,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_repeated_bytes": op9_repeated_bytes,
     "op10_packing": op10_packing,
+    "op11_licences": op11_licences,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +86,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_lines": lines.REPORT_SQL,
     "op4_chat": chat.DIGESTS_SQL,
     "op9_repeated_bytes": suffixes.RESULT_SQL,
+    "op12_vector_codes": codebooks.RESULT_SQL,
+    "op13_collocations": collocations.RESULT_SQL,
 }
