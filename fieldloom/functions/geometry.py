@@ -116,4 +116,4 @@ def decibels(gain: Column) -> Column:
 
 def half_up(numerator: Column, denominator: Column) -> Column:
     """Integer quotient of numbers that aren't negative, rounded half up, without leaving integers."""
-    return F.floor((2 * numerator + denominator) / (2 * denominator)).cast("long")
+    return F.call_function("div", 2 * numerator + denominator, 2 * denominator)

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.scans import numbered
+
 
 def assembled(poses: DataFrame, links: DataFrame) -> DataFrame:
     """Adds sample_index and accepted to pose rows (model, link, position).
 
     A model's log is a row of complete sets of its links: each link's k-th occurrence is in sample k. A log is
     accepted if that is so for every row: all links are expected, the k-th occurrence stands in the k-th stretch
-    of as many rows as the model has links, and nothing is left over. links: (model, link).
+    of as many rows as the model has links, and nothing is left over. links: (model, link). A log is many parts.
     """
     sizes = links.groupBy("model").agg(F.count(F.lit(1)).alias("__n"))
     expected = links.select("model", "link", F.lit(True).alias("__expected")).join(sizes, "model")
     rows = poses.join(expected, ["model", "link"], "left").join(sizes.select("model", F.col("__n").alias("__links")), "model", "left")
-    by_link, by_model = Window.partitionBy("model", "link").orderBy("position"), Window.partitionBy("model").orderBy("position")
-    rows = rows.withColumns({"sample_index": F.row_number().over(by_link).cast("long") - 1, "__row": F.row_number().over(by_model).cast("long") - 1})
+    rows = numbered(numbered(rows, ["model", "link"], ["position"], "sample_index"), ["model"], ["position"], "__row")
     good = F.coalesce(F.col("__expected"), F.lit(False)) & (F.col("sample_index") == F.floor(F.col("__row") / F.col("__links")))
     state = rows.withColumn("__good", F.coalesce(good, F.lit(False))).groupBy("model").agg(F.bool_and("__good").alias("__all"), (F.count(F.lit(1)) % F.max("__links") == 0).alias("__whole"))
     accepted = state.select("model", F.coalesce(F.col("__all") & F.col("__whole"), F.lit(False)).alias("accepted"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.scans import numbered
+
 LABELS = (
     "y_path_change",
     "y_path_drop",
@@ -31,10 +33,8 @@ def spread_threshold(df: DataFrame, value: str, factor: float = 0.25) -> DataFra
 
 
 def with_deltas(df: DataFrame, receiver: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Adds prev_ and delta_ columns; the first row of each receiver goes."""
-    w = Window.partitionBy(receiver).orderBy(*order)
-    out = df.withColumn("__seen", F.lag(F.lit(1)).over(w)).withColumns({f"prev_{v}": F.lag(v).over(w) for v in values})
-    out = out.where(F.col("__seen").isNotNull()).drop("__seen")
+    """Adds prev_ and delta_ columns; the first row of each receiver goes. A receiver's log is many parts."""
+    out = numbered(df, [receiver], order, "__seen", {f"prev_{v}": v for v in values}).where("__seen > 0").drop("__seen")
     return out.withColumns({f"delta_{v}": F.col(v) - F.col(f"prev_{v}") for v in values})
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.scans import numbered
+
 METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1")
 
 
@@ -50,4 +52,5 @@ def constant_target(df: DataFrame, label: str) -> Column | bool:
 def ranked_folds(df: DataFrame, group: str) -> DataFrame:
     """Rows per group with their place from the largest group to the smallest."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(group))))
+    out = numbered(sizes.withColumn("__less", -F.col("n")), [], ["__less", group], "place")
+    return out.select(group, "n", (F.col("place") + 1).cast("int").alias("place"))

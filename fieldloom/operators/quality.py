@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.scans import numbered
+
 ISSUE = "severity string, manifest string, location string, message string"
 
 
@@ -46,8 +48,8 @@ def wrong_counts(df: DataFrame, keys: Sequence[str], expected: int) -> DataFrame
 
 def not_increasing(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The rows whose value isn't larger than that of the row before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("previous", F.lag(value).over(w)).where(F.col("previous").isNotNull() & (F.col(value) <= F.col("previous")))
+    out = numbered(df, keys, order, "__seen", {"previous": value}).drop("__seen")
+    return out.where(F.col("previous").isNotNull() & (F.col(value) <= F.col("previous")))
 
 
 def required(df: DataFrame, columns: Sequence[str]) -> None:

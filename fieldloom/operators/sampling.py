@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import half_up
-from fieldloom.operators.rounds import settled
+from fieldloom.operators.scans import numbered
 
 
 def uniform_samples(counts: DataFrame, n: int) -> DataFrame:
@@ -60,28 +59,21 @@ def _loads_after(count: int, size: int, load: list[int]) -> list[int]:
 def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, n, fold): groups from the largest to the smallest (ties by group), each to the fold with the fewest
     rows so far (ties to the first). Groups of equal size are dealt out by their place among them, so the driver sees
-    only how many there are of each size in each part of the sorted groups: as many rows as there are parts and
-    different sizes, which are at most the root of twice the rows of `df`."""
+    only how many there are of each size: at most the root of twice the rows of `df`."""
     spark = df.sparkSession
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    sizes = settled(sizes.repartitionByRange(F.desc("n"), F.asc_nulls_first(group))).withColumn("__part", F.spark_partition_id())
-    found = sizes.groupBy("n", "__part").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("n"), "__part").collect()
-    groups = sum(r.groups for r in found)
+    sizes = numbered(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), ["n"], [group], "__place")
+    found = sorted(map(tuple, sizes.groupBy("n").count().collect()), reverse=True)
+    groups = sum(n for _, n in found)
     if not 2 <= k <= groups:
         raise ValueError(f"{k} folds of {groups} groups")
     load, starts = [0] * k, []
-    for size, parts in groupby(found, lambda r: r.n):
-        before = 0
-        for r in parts:
-            starts.append((size, r["__part"], before, list(load)))
-            before += r.groups
-        load = _loads_after(before, size, load)
-    start = spark.createDataFrame(starts, "n long, __part int, __before long, __load array<long>")
-    place = F.row_number().over(Window.partitionBy("n", "__part").orderBy(F.asc_nulls_first(group))).cast("long") - 1
+    for size, n in found:
+        starts.append((size, list(load)))
+        load = _loads_after(n, size, load)
+    start = spark.createDataFrame(starts, "n long, __load array<long>")
 
     @F.pandas_udf("int")
     def fold(turn: pd.Series, size: pd.Series, load: pd.Series) -> pd.Series:
         return pd.Series(_turns(turn.to_numpy(), size.to_numpy(), np.stack(load.to_numpy()))[0] if len(turn) else [], dtype="int32")
 
-    turns = sizes.withColumn("__place", place).join(start, ["n", "__part"])
-    return turns.select(group, "n", fold(F.col("__before") + F.col("__place"), "n", "__load").alias("fold"))
+    return sizes.join(start, "n").select(group, "n", fold("__place", "n", "__load").alias("fold"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import half_up
 from fieldloom.operators import frames, labels, metrics, quality, sampling
+from fieldloom.operators.scans import numbered
 from fieldloom.plans.registry import Registry
 from fieldloom.plans.tables import table
 
@@ -159,11 +160,8 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM s a JOIN s b USING (sample_index) WHERE a.event_type = 'click' AND b.event_type = 'view'"""
 )
 def aligned_ordinal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     events = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
-    ordinal = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long") - 1
-    rows = events.select("event_type", "event_id", "ts", ordinal.alias("sample_index"))
+    rows = numbered(events.select("event_type", "event_id", "ts"), ["event_type"], ["ts", "event_id"], "sample_index")
     one = lambda kind: rows.where(F.col("event_type") == kind).drop("event_type")
     return frames.aligned(one("click"), one("view"), "sample_index", ["ts"]).select("sample_index", "event_id_a", "event_id_b", "same_stamp")
 
@@ -179,11 +177,13 @@ def tolerance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT i::BIGINT AS i, ((2 * i * 51140 + 2) // (2 * 2))::BIGINT AS third, ((2 * i * 999 + 199) // (2 * 199))::BIGINT AS of_200, i // 25 AS second, i % 25 AS sub_frame FROM range(200) t(i)"""
+    """SELECT o_orderkey AS i, ((2 * o_orderkey * 51140 + 2) // (2 * 2))::BIGINT AS third, ((2 * o_orderkey * 999 + 199) // (2 * 199))::BIGINT AS of_200,
+        (9007199254740993 + o_orderkey)::BIGINT AS large, o_orderkey // 25 AS second, o_orderkey % 25 AS sub_frame FROM orders"""
 )
 def integer_half_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    return spark.range(200).select(i.alias("i"), half_up(i * 51140, F.lit(2)).alias("third"), half_up(i * 999, F.lit(199)).alias("of_200"), F.floor(i / 25).alias("second"), (i % 25).alias("sub_frame"))
+    i = F.col("o_orderkey")
+    large = half_up(F.lit(9007199254740993) + i, F.lit(1))
+    return table(spark, sf_dir, "orders").select(i.alias("i"), half_up(i * 51140, F.lit(2)).alias("third"), half_up(i * 999, F.lit(199)).alias("of_200"), large.alias("large"), F.floor(i / 25).alias("second"), (i % 25).alias("sub_frame"))
 
 
 @query(

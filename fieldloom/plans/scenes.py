@@ -5,13 +5,14 @@ number."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import strings as s
 from fieldloom.functions.classify import Rule
 from fieldloom.functions.geometry import translation
 from fieldloom.operators import frames, manifests, quality, radio
+from fieldloom.operators.scans import numbered
 from fieldloom.plans.registry import Registry
 from fieldloom.plans.tables import table
 from fieldloom.sources import actors, sinks
@@ -121,8 +122,7 @@ def general_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT n_nationkey AS frame_id, user_id, event_id, sample_index FROM e JOIN nation ON n_nationkey // 2 * 3 = sample_index"""
 )
 def selected_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
-    samples = table(spark, sf_dir, "events").select("user_id", "event_id", place.alias("sample_index"))
+    samples = numbered(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"], "sample_index").drop("ts")
     chosen = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("frame_id"), (F.floor(F.col("n_nationkey") / 2) * 3).alias("source_sample_index"))
     return frames.selected(samples, chosen).select("frame_id", "user_id", "event_id", "sample_index")
 
@@ -143,8 +143,8 @@ def static_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(events: DataFrame, kind: str) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return events.where(F.col("event_type") == kind).select("user_id", place.alias("place"), F.date_trunc("day", "ts").alias("day"))
+    rows = numbered(events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "place")
+    return rows.where(F.col("event_type") == kind).select("user_id", (F.col("place") + 1).alias("place"), F.date_trunc("day", "ts").alias("day"))
 
 
 @query(
