@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SKIP, DEFAULT_MATERIAL = "__skip__", "composite"
@@ -20,15 +20,9 @@ class Rule:
     result: str
 
 
-def _hit(text: Column, match: Column | str, pattern: Column) -> Column:
+def _hit(text: Column, match: str, pattern: Column) -> Column:
     low, sought = F.lower(text), F.lower(pattern)
-    kinds = {"exact": text == pattern, "contains": F.contains(low, sought), "startswith": F.startswith(low, sought)}
-    if isinstance(match, str):
-        return kinds[match]
-    found = F.lit(False)
-    for kind, test in kinds.items():
-        found = F.when(match == kind, test).otherwise(found)
-    return found
+    return {"exact": text == pattern, "contains": F.contains(low, sought), "startswith": F.startswith(low, sought)}[match]
 
 
 def first_match(text: Column, rules: Sequence[Rule], default: str | None = DEFAULT_MATERIAL) -> Column:
@@ -39,26 +33,6 @@ def first_match(text: Column, rules: Sequence[Rule], default: str | None = DEFAU
     return out
 
 
-#: Rules that go to every task at once; more are tried part by part.
-RULES_AT_ONCE = 5000
-
-
-def match_table(df: DataFrame, text: Column, rules: DataFrame, default: str | None = DEFAULT_MATERIAL) -> DataFrame:
-    """`df`, every row, with the column result: that of the matching rule with the smallest index. rules: (rule_idx,
-    match_type, pattern, result). Each different text is tried once and joined back; a null text matches none."""
-    rows = df.withColumn("__text", text)
-    texts = rows.select("__text").where("__text IS NOT NULL").distinct()
-    own = rules.select("rule_idx", "match_type", "pattern", F.col("result").alias("__result"))
-    parts = max(1, -(-own.count() // RULES_AT_ONCE))
-    hits = None
-    for k in range(parts):
-        some = F.broadcast(own.where(F.pmod(F.xxhash64("rule_idx", "match_type", "pattern"), F.lit(parts)) == k))
-        found = texts.join(some, _hit(F.col("__text"), F.col("match_type"), F.col("pattern")))
-        hits = found if hits is None else hits.unionAll(found)
-    best = hits.groupBy("__text").agg(F.min_by("__result", "rule_idx").alias("result"))
-    return rows.join(best, "__text", "left").withColumn("result", F.coalesce("result", F.lit(default))).select(*df.columns, "result")
-
-
 # Words by which objects are named, in the order in which they are looked for.
 ROBOT_ARM, WINDOW_MATERIAL = "robot_arm", "glass"
 #: (class, names of whole models, parts of the text, parts of the text between blanks)

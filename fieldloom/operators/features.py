@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions.geometry import Point, distance, segment_distance
+from fieldloom.operators import grid
+from fieldloom.operators.rounds import settled
 
 #: Suffixes of the statistics of a subset.
 DISTANCES = ("rx_dist", "tx_dist", "line_dist")
@@ -63,16 +65,28 @@ def widened(long: DataFrame, keys: Sequence[str], subsets: Sequence[str]) -> Dat
 
 def occupancy(vertices: DataFrame, links: DataFrame, frame: str | None, radii: Sequence[float] = (0.25, 0.5, 1.0), ends: float = 0.5) -> DataFrame:
     """For each link, how many vertices lie within each radius of it and of its ends, the least distance and the
-    share within `ends` of it. vertices: x, y, z; links: link_id, tx_*, rx_*; both with `frame` if given. Spark
-    sends the links to the vertices if they are few."""
-    pairs = vertices.join(links, frame) if frame else vertices.crossJoin(links)
-    p, tx, rx = ([F.col(f"{e}{a}") for a in "xyz"] for e in ("", "tx_", "rx_"))
-    near = pairs.withColumns({"d_link": segment_distance(p, tx, rx), "d_rx": distance(p, rx), "d_tx": distance(p, tx)})
+    share within `ends` of it. vertices: x, y, z; links: link_id, tx_*, rx_*; both with `frame` if given, in which
+    link_id is unique. A link meets the vertices in the cells of a grid that its corridor crosses; if none is within the
+    largest radius, the least distance is found by going down the grid from its coarsest cells. A vertex without
+    coordinates counts in the share only; a link without has no distance."""
+    keys = [frame] if frame else []
+    reach = max(*radii, ends)
+    dots = vertices.select(*keys, "x", "y", "z")
+    near = grid.near_links(dots, links, keys, reach).withColumns({"d_rx": distance(grid.xyz(), grid.xyz("rx_")), "d_tx": distance(grid.xyz(), grid.xyz("tx_"))})
     name = lambda r: f"{r:.2f}m".replace(".", "p")
-    counts = [F.count_if(F.col("d_link") <= r).alias(f"near_link_{name(r)}") for r in radii]
-    counts += [F.count_if(F.col(f"d_{e}") <= ends).alias(f"near_{e}_{name(ends)}") for e in ("rx", "tx")]
-    share = F.count_if(F.col("d_link") <= ends) / F.count(F.lit(1))
-    return near.groupBy(*([frame] if frame else []), "link_id").agg(*counts, F.min("d_link").alias("min_link_distance"), share.alias(f"corridor_ratio_{name(ends)}"))
+    counts = {f"near_link_{name(r)}": F.count_if(F.col("d_link") <= r) for r in radii}
+    counts |= {f"near_{e}_{name(ends)}": F.count_if(F.col(f"d_{e}") <= ends) for e in ("rx", "tx")}
+    share = f"corridor_ratio_{name(ends)}"
+    found = settled(near.groupBy(*keys, "link_id").agg(*[c.alias(n) for n, c in counts.items()], F.min("d_link").alias("near"), F.count_if(F.col("d_link") <= ends).alias("inside")), "near-links")
+    far = links.join(found.where(F.col("near") <= reach), [*keys, "link_id"], "left_anti")
+    least = grid.least_distances(dots, far, keys, reach)
+    total = vertices.groupBy(*keys).agg(F.count(F.lit(1)).alias("vertices_in_all"))
+    total = total.where("vertices_in_all > 0")
+    rows = links.select(*keys, "link_id")
+    rows = rows.join(total, frame) if frame else rows.crossJoin(F.broadcast(total))
+    rows = rows.join(found, [*keys, "link_id"], "left").join(least, [*keys, "link_id"], "left")
+    minimum = F.when(F.col("near") <= reach, F.col("near")).otherwise(F.col("least"))
+    return rows.select(*keys, "link_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in counts], minimum.alias("min_link_distance"), (F.coalesce("inside", F.lit(0)) / F.col("vertices_in_all")).alias(share))
 
 
 def smallest_mean(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], k: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions.classify import Rule, first_match, match_table, semantic_class
+from fieldloom.functions.classify import Rule, first_match, semantic_class
+from fieldloom.operators.rules import match_table
 from fieldloom.operators import frames, manifests, quality
 from fieldloom.plans.registry import Registry
 from fieldloom.plans.tables import table

@@ -222,16 +222,15 @@ def test_checks_and_joins(spark):
         manifests.scoped_paths(spark.createDataFrame([("a", "b"), ("b", "a")], schema), "name", "parent")
 
 
-def test_rules_keep_every_row(spark, monkeypatch):
-    from fieldloom.functions import classify
+def test_rules_keep_every_row(spark):
+    from fieldloom.operators import rules as tables
 
     rules = spark.createDataFrame([(2, "contains", "a", "wood"), (1, "startswith", "AB", "metal"), (0, "exact", "zz", "glass"), (3, "contains", "b", "other")], "rule_idx int, match_type string, pattern string, result string")
     df = spark.createDataFrame([(1, "abc"), (1, "xa"), (None, "xa"), (None, "q"), (2, None), (2, "zz"), (3, "b")], "k int, t string")
     want = sorted([(1, "abc", "metal"), (1, "xa", "wood"), (None, "xa", "wood"), (None, "q", "composite"), (2, None, "composite"), (2, "zz", "glass"), (3, "b", "other")], key=repr)
-    for at_once in (5000, 2):
-        monkeypatch.setattr(classify, "RULES_AT_ONCE", at_once)
-        assert sorted(map(tuple, classify.match_table(df, F.col("t"), rules).collect()), key=repr) == want
-    assert classify.match_table(df, F.col("t"), rules.limit(0)).where("result <> 'composite'").count() == 0
+    for most in (tables.MOST_CHARS, 20):
+        assert sorted(map(tuple, tables.match_table(df, F.col("t"), rules, most_chars=most).collect()), key=repr) == want
+    assert tables.match_table(df, F.col("t"), rules.limit(0)).where("result <> 'composite'").count() == 0
 
 
 def test_ablation_over_models_and_empty_tables(spark):
