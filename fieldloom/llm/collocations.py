@@ -25,6 +25,8 @@ DEPTH, BYTES_A_CELL, LEAST_BITS, MOST_BITS = 2, 48, 12, 30
 #: Cells of a piece, in which sketches are merged; runs of words that a task counts before it sends their cells;
 #: such sends that are merged at once.
 PIECE_BITS, PENDING, FAN = 20, 1 << 22, 256
+#: In place of a size: words of pairs that may be frequent. Others are in no phrase, so they needn't be counted one by one.
+IN_PAIR = 1 << 20
 #: Text that is looked at together.
 SLICE = 4 << 20
 #: The first ranking of a language's phrases is dealt out to so many tasks.
@@ -64,8 +66,9 @@ class Runs:
         return cls(w, ends[np.searchsorted(ends, np.arange(n), "right")] - np.arange(n), lang[text], code[text])
 
     def hashes(self, size: int, at: np.ndarray) -> np.ndarray:
-        """Of the runs of `size` words that begin with the words `at`."""
+        """Of the runs of `size` words that begin with the words `at`; IN_PAIR: of words that are in a pair."""
         total = self.lang[at] + U(size)
+        size = 1 if size == IN_PAIR else size
         for k in range(size):
             total += self.words.hash[at + k] * U(_Q[k])
         return mix64(total)
@@ -119,8 +122,8 @@ def _batch_langs(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray, np.ndarr
 
 
 def sketched(docs: DataFrame, sizes: Sequence[int], bits: int, least: int, known: Frequent | None = None) -> DataFrame:
-    """(piece, send, data): the cells, with counts that stop at `least`, of all runs of so many words; of more
-    than two words, only of those whose pairs of words are all `known`. A task sends them again and again."""
+    """(piece, send, data): the cells, with counts that stop at `least`, of all runs of so many words; if pairs of
+    words are `known`, only of the words in them and of runs all of whose pairs are. A task sends them again and again."""
     sent = docs.sparkSession.sparkContext.broadcast(known) if known else None
     piece_bits, top = min(PIECE_BITS, bits), min(least, 0xFFFF)
 
@@ -150,8 +153,8 @@ def sketched(docs: DataFrame, sizes: Sequence[int], bits: int, least: int, known
                     at = np.flatnonzero(runs.left >= 2)
                     pairs[at] = sent.value.has(runs.hashes(2, at))
                 for size in sizes:
-                    at = np.flatnonzero(runs.left >= size)
-                    for k in range(size - 1 if sent is not None else 0):
+                    at = np.flatnonzero(runs.left >= size if size != IN_PAIR else pairs | np.append(False, pairs[:-1])[: len(pairs)])
+                    for k in range(size - 1 if sent is not None and size != IN_PAIR else 0):
                         at = at[pairs[at + k]]
                     pending.append(runs.hashes(size, at))
                     fresh += len(at)
@@ -196,16 +199,14 @@ def merged(cells: DataFrame, bits: int, least: int, sends: int) -> Frequent:
 
 
 def likely_frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> Frequent:
-    """Runs of at most `longest` words that may stand in `docs` `least` times or more, and some others: first of words
-    and pairs, then of longer runs all of whose pairs are among those."""
+    """Runs of two to `longest` words that may stand in `docs` `least` times or more, the words in them, and some others:
+    first of pairs, then of longer runs all of whose pairs are among those."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_A_CELL).bit_length()))
     sends = size // PENDING + 1
-    found = merged(sketched(docs, [k for k in (1, 2) if k <= longest], bits, least), bits, least, sends)
-    if longest > 2:
-        more = merged(sketched(docs, range(3, longest + 1), bits, least, found), bits, least, sends)
-        found = Frequent(bits, found.rows | more.rows)
-    return found
+    pairs = merged(sketched(docs, [2], bits, least), bits, least, sends)
+    more = merged(sketched(docs, [IN_PAIR, *range(3, longest + 1)], bits, least, pairs), bits, least, sends)
+    return Frequent(bits, pairs.rows | more.rows)
 
 
 def _spelled(t: Texts, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -226,8 +227,8 @@ def _phrases(spelled: np.ndarray, begin: np.ndarray, at: np.ndarray, size: int)
 
 
 def exact_counts(docs: DataFrame, found: Frequent, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """(lang, size, phrase, n) of every run of at most `longest` words that stands in its language `least` times or
-    more; and with size 0 and an empty phrase each language's words. Only `found` runs leave a task."""
+    """(lang, size, phrase, n) of every run of two to `longest` words that stands in its language `least` times or
+    more, and of the words in them; with size 0 and an empty phrase each language's words. Only `found` runs leave a task."""
     sent = docs.sparkSession.sparkContext.broadcast(found)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +244,7 @@ def exact_counts(docs: DataFrame, found: Frequent, longest: int = LONGEST, least
                 shorter = np.ones(len(runs.left) + 1, bool)
                 for size in range(1, longest + 1):
                     at = np.flatnonzero((runs.left >= size) & shorter[:-1] & (shorter[1:] if size > 1 else True))
-                    h = runs.hashes(size, at)
+                    h = runs.hashes(size if size > 1 else IN_PAIR, at)
                     full = sent.value.has(h)
                     at, h = at[full], h[full]
                     shorter = np.zeros(len(runs.left) + 1, bool)
