@@ -13,20 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.batches import Texts, texts
+from fieldloom.llm.staging import staged
 from fieldloom.llm.sums import BLOB, gathered, pieces
 
 #: Hashed n-gram features (2^BITS) of one to three characters.
 BITS, ORDERS = 15, 3
 #: Labelled documents that the classifier is fitted on: at most so many of each language, those with the
-#: smallest hash of doc_id, and about so many in all. Their n-gram counts go to the driver, which fits the model.
+#: smallest hash of doc_id and text, and about so many in all. Their n-gram counts go to the driver, which fits the model.
 SAMPLE_PER_LANG, SAMPLE_ROWS = 600, 60_000
-#: The number of rows of each language goes to all tasks if there are no more languages than this.
-MOST_BROADCAST = 100_000
+#: At most so many languages are learned; the model has 2^BITS weights for each.
+MOST_LANGS = 512
 #: One in so many of those is for the temperature only.
 CALIBRATION = 5
 UNKNOWN = "und"
 PREDICTED = "doc_id long, lang_pred string, score double"
-#: Bytes of text whose n-grams are taken at once; a longer text is taken in parts, without the n-grams across them.
+#: Bytes of text whose n-grams are taken at once; a longer text is taken in parts.
 CHARS = 1 << 18
 #: A text is of no learned language if its n-grams are less likely in the best one by so many deviations. They count
 #: n-grams as independent, which those of one text aren't, and texts may mix languages, so it is far out.
@@ -52,9 +53,9 @@ def _classes() -> np.ndarray:
     return out
 
 
-def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers at each position and order, where each text's characters begin, and which texts have a
-    letter. Letters are lower-cased, everything else is one space; runs of spaces count once."""
+def _letters(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, the text of each, and which texts have a letter. Letters are lower-cased, everything else is one
+    space (0); runs of spaces count once."""
     lead = (t.buf & 0xC0) != 0x80
     starts = np.concatenate([[0], np.cumsum(lead)])[t.off]
     raw = np.frombuffer(t.buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -64,8 +65,11 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] = (c[1:] != 0) | (c[:-1] != 0) | (text[1:] != text[:-1])
     has = np.zeros(len(t), bool)
     has[np.unique(text[c != 0])] = True
-    c, text = c[keep], text[keep]
-    first = np.searchsorted(text, np.arange(len(t) + 1))
+    return c[keep], text[keep], has
+
+
+def _hashed(c: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Feature numbers at each position and order; beyond a text's end are spaces."""
     f = np.zeros((len(c), ORDERS), np.int64)
     h = np.zeros(len(c), np.uint32)
     for n in range(ORDERS):
@@ -78,37 +82,51 @@ def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = (h + shifted + np.uint32(n + 1)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         f[:, n] = (h * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)
-    return f, first, has
+    return f
 
 
-def _parts(t: Texts) -> Iterator[tuple[int, Texts]]:
-    """The texts, or parts of about CHARS bytes of a long one; the number of the first of them."""
-    if len(t) > 1 or len(t.buf) <= 2 * CHARS:
-        yield 0, t
-        return
-    a = 0
+def features(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers at each position and order, where each text's characters begin, and which texts have a
+    letter."""
+    c, text, has = _letters(t)
+    return _hashed(c, text), np.searchsorted(text, np.arange(len(t) + 1)), has
+
+
+def _is_long(t: Texts) -> bool:
+    return len(t) == 1 and len(t.buf) > 2 * CHARS
+
+
+def _long_counts(t: Texts) -> tuple[np.ndarray, int, bool]:
+    """How often each feature occurs in one long text, its characters, and whether it has a letter. It is taken in
+    parts; a part begins with the last characters of the one before, so the n-grams across cuts are counted too."""
+    total, n, letters = np.zeros(1 << BITS, np.int64), 0, False
+    carry, a = np.zeros(0, np.uint32), 0
     while a < len(t.buf):
         b = min(a + CHARS, len(t.buf))
         while b < len(t.buf) and t.buf[b] & 0xC0 == 0x80:
             b += 1
-        yield 0, Texts(t.first, t.buf[a:b], np.array([0, b - a]))
-        a = b
+        c, _, has = _letters(Texts(t.first, t.buf[a:b], np.array([0, b - a])))
+        if len(carry) and len(c) and carry[-1] == 0 == c[0]:
+            c = c[1:]
+        x = np.concatenate([carry, c])
+        end = np.arange(len(x))[:, None] + np.arange(ORDERS)
+        new = (end >= len(carry)) & ((b == len(t.buf)) | (end < len(x)))
+        total += np.bincount(_hashed(x, np.zeros(len(x), np.int64))[new], minlength=1 << BITS)
+        n, letters = n + len(c), letters | bool(has[0])
+        carry, a = x[max(0, len(x) - ORDERS + 1) :], b
+    return total, n, letters
 
 
 def _counted(t: Texts) -> Iterator[tuple[int, np.ndarray]]:
     """Number of a text with a letter, and how often each feature occurs in it."""
-    if len(t) > 1 or len(t.buf) <= 2 * CHARS:
-        f, first, has = features(t)
-        for i in np.flatnonzero(has).tolist():
-            yield i, np.bincount(f[first[i] : first[i + 1]].ravel(), minlength=1 << BITS)
+    if _is_long(t):
+        total, _, letters = _long_counts(t)
+        if letters:
+            yield 0, total
         return
-    total, letters = np.zeros(1 << BITS, np.int64), False
-    for _, part in _parts(t):
-        f, _, has = features(part)
-        total += np.bincount(f.ravel(), minlength=1 << BITS)
-        letters |= bool(has[0])
-    if letters:
-        yield 0, total
+    f, first, has = features(t)
+    for i in np.flatnonzero(has).tolist():
+        yield i, np.bincount(f[first[i] : first[i + 1]].ravel(), minlength=1 << BITS)
 
 
 def _document_counts(docs: DataFrame) -> np.ndarray:
@@ -148,17 +166,20 @@ class Model:
         of it is on average. Of languages with equal probabilities the first by name is taken."""
         sums, n, known = np.zeros((len(t), len(self.langs))), np.zeros(len(t), np.int64), np.zeros(len(t), bool)
         likely = np.zeros((len(t), len(self.langs)))
-        for _, part in _parts(t):
-            f, first, has = features(part)
-            known |= has
-            n += np.diff(first)
-            full = np.flatnonzero(np.diff(first))
-            for table, to in [(self.table, sums), *([(self.log_p, likely)] if judged else [])]:
-                if len(full):
-                    each = table[f[:, 0]]
-                    for k in range(1, ORDERS):
-                        each += table[f[:, k]]
-                    to[full] += np.add.reduceat(each.astype(np.float64), first[full], axis=0)
+        tables = [(self.table, sums), *([(self.log_p, likely)] if judged else [])]
+        if _is_long(t):
+            total, n[0], known[0] = _long_counts(t)
+            for table, to in tables:
+                to[0] = total.astype(np.float64) @ table
+        else:
+            f, first, known = features(t)
+            n = np.diff(first)
+            full = np.flatnonzero(n)
+            for table, to in tables if len(full) else []:
+                each = table[f[:, 0]]
+                for k in range(1, ORDERS):
+                    each += table[f[:, k]]
+                to[full] += np.add.reduceat(each.astype(np.float64), first[full], axis=0)
         grams = (ORDERS * np.maximum(n, 1))[:, None]
         p = _softmax((sums / grams + self.bias) / self.temperature)
         best = p.argmax(axis=1) if self.langs else np.zeros(len(t), int)
@@ -226,21 +247,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes:
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Learns from text and non-null lang of the rows of `docs` that aren't held out.
 
-    Document frequencies count every such row. The classifier and its temperature are fitted on a bounded
-    sample, at most `per_lang` rows of each language, those with the smallest hash of doc_id.
+    Document frequencies count every such row. The classifier and its temperature are fitted on a bounded sample, at
+    most `per_lang` different rows of each language, those with the smallest hash of doc_id and text; a null doc_id is one
+    like others, and rows that are repeated are learned from once. Of more than MOST_LANGS languages those with the most
+    rows are learned.
     """
-    learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    learn = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("place"))
     counts = _document_counts(learn)
     idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1
-    # of a language with many rows only those with small hashes come to its sort
-    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = max(1, sizes.count())
-    per_lang = max(1, min(per_lang, SAMPLE_ROWS // langs))
-    place = F.xxhash64("doc_id")
-    near = learn.select("doc_id", "lang").join(F.broadcast(sizes) if langs <= MOST_BROADCAST else sizes, "lang").where((place / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * per_lang + 20)
-    ranked = near.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id")).alias("k")).where(F.col("k") <= per_lang)
-    ids = ranked.select(F.col("doc_id").alias("chosen"), F.col("lang").alias("chosen_lang")).distinct()
-    chosen = learn.join(F.broadcast(ids), (F.col("doc_id") == F.col("chosen")) & (F.col("lang") == F.col("chosen_lang")))
+    # of a language with many rows only those with small hashes come to its sort, whichever are repeated
+    sizes = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("place", 0.02).alias("n"))
+    sizes = staged(sizes.orderBy(F.desc("rows"), "lang").limit(MOST_LANGS).select("lang", "n"), "langs")
+    per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, sizes.count())))
+    near = learn.join(F.broadcast(sizes), "lang").where((F.col("place") / F.lit(2.0**64) + 0.5) * F.col("n") < 2 * per_lang + 20)
+    near = near.groupBy("lang", "place").agg(F.min("text").alias("text"))
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("k") <= per_lang)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,14 +269,14 @@ def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
                 out: list[list] = [[], [], [], [], []]
                 for i, n in _counted(t):
                     own = np.flatnonzero(n)
-                    row = (batch.column("doc_id")[t.first + i].as_py(), batch.column("lang")[t.first + i].as_py(), own.astype("<i4").tobytes(), (n[own] / n.sum()).astype("<f4").tobytes(), int(n.sum()))
+                    row = (batch.column("place")[t.first + i].as_py(), batch.column("lang")[t.first + i].as_py(), own.astype("<i4").tobytes(), (n[own] / n.sum()).astype("<f4").tobytes(), int(n.sum()))
                     for to, value in zip(out, row, strict=True):
                         to.append(value)
                 kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "lang", "at", "tf", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["place", "lang", "at", "tf", "n"])
 
-    rows = chosen.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(extract, "doc_id long, lang string, at binary, tf binary, n long").collect()
-    rows.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, r.at, r.tf))
+    rows = chosen.select("place", "lang", "text").mapInArrow(extract, "place long, lang string, at binary, tf binary, n long").collect()
+    rows.sort(key=lambda r: (r.place, r.lang))
     langs = sorted({r.lang for r in rows})
     none = np.zeros(0)
     if not langs:
