@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.batches import PUNCTUATION, U, mix64, texts, words
 
-#: Fixed masks, 1: the token counts. Each has six. Together they fit any passage of which one word in every three,
-#: four, five or more is replaced, and of passages of 20 words and more of which as many agree as must, at any places,
-#: nine in ten at a share of 0.6 and more at higher shares (the test measures it).
-MASKS = ("111111", "1111011", "1110111", "11011011", "10101011010", "1101010011", "10010110101", "1100100110001", "1010001100101")
-#: Words of the stretch that must agree, and the share of them.
-WINDOW, SHARE = 20, 0.6
-#: Items of fewer words are found where all their words follow each other exactly.
-SHORT_WORDS = 11
+#: Fixed masks, 1: the token counts. Those of LONG are for items of WINDOW words and more, those of SHORT for shorter ones
+#: of more than LEAST words; still shorter ones are one mask of ones. Of passages in which as many words agree as must, at any places, nine in ten
+#: and more are found at every length and share (the test measures each).
+LONG = ("111111", "1111011", "1110111", "11011011", "10101011010", "1101010011", "10010110101", "1100100110001", "1010001100101", "111000101", "1011101", "1100100011")
+SHORT = ("10111", "1100101", "10100011", "111001", "1101001")
+#: Words of the stretch that must agree (of a shorter item: all its words), the share of them, and how many at least
+#: (of a shorter item: all).
+WINDOW, SHARE, LEAST = 20, 0.6, 8
 #: Hits that are looked at together.
 HITS_AT_ONCE = 1 << 20
+#: Words of diagonals that are compared together.
+WORDS_AT_ONCE = 1 << 22
 #: Characters of benchmark text that go to the tasks at once; a larger benchmark is searched part by part.
 PART_CHARS = 8_000_000
 
@@ -55,15 +57,15 @@ class SeedIndex:
         (t,) = texts(pa.array([x[1] for x in items], pa.large_string()), 1 << 40)
         w = words(t, PUNCTUATION)
         size = np.diff(w.first)
-        short = sorted({int(n) for n in size if 0 < n < SHORT_WORDS})
-        masks = [*MASKS, *("1" * n for n in short)]
+        whole = sorted({int(n) for n in size if 0 < n <= LEAST})
+        masks = [*LONG, *SHORT, *("1" * n for n in whole)]
+        fit = [size >= WINDOW] * len(LONG) + [(size > LEAST) & (size < WINDOW)] * len(SHORT) + [size == n for n in whole]
         item_of = np.repeat(np.arange(len(size)), size)
         tables = []
-        for m, mask in enumerate(masks):
+        for mask, fits in zip(masks, fit, strict=True):
             s = _seeds(w.hash, mask)
             at = np.arange(len(s))
-            inside = at + len(mask) <= w.first[item_of[: len(s)] + 1]
-            inside &= (size >= SHORT_WORDS)[item_of[: len(s)]] if m < len(MASKS) else (size == len(mask))[item_of[: len(s)]]
+            inside = (at + len(mask) <= w.first[item_of[: len(s)] + 1]) & fits[item_of[: len(s)]]
             s, at = s[inside], at[inside]
             order = np.argsort(s, kind="stable")
             bits = max(16, int(len(s) * 16).bit_length())
@@ -76,7 +78,9 @@ class SeedIndex:
         """Distinct rows (text, item number, offset of the item's first token in the hashes) of all hits, of at most
         HITS_AT_ONCE hits at a time and each diagonal once: what is kept grows with the diagonals, not with the hits."""
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        seen = np.zeros((0, 3), np.int64)
+        items, low = len(self.first) - 1, len(self.hash)
+        span = len(h) + low + 1
+        seen = np.zeros(0, np.int64)
         for mask, (seeds, at, table) in zip(self.masks, self.tables, strict=True):
             s = _seeds(h, mask)
             if not len(s) or not len(seeds):
@@ -84,42 +88,55 @@ class SeedIndex:
             bits = len(table).bit_length() - 1
             pos = np.flatnonzero(table[(s >> U(64 - bits)).astype(np.int64)])
             pos = pos[pos + len(mask) <= first[text[pos] + 1]]
-            low, n = np.searchsorted(seeds, s[pos], "left"), np.searchsorted(seeds, s[pos], "right")
-            n -= low
+            left, n = np.searchsorted(seeds, s[pos], "left"), np.searchsorted(seeds, s[pos], "right")
+            n -= left
             ends = np.cumsum(n)
             for a in range(0, int(ends[-1]) if len(ends) else 0, HITS_AT_ONCE):
                 k = np.arange(a, min(a + HITS_AT_ONCE, ends[-1]))
                 of = np.searchsorted(ends, k, "right")
-                which = at[low[of] + k - (ends - n)[of]]
+                which = at[left[of] + k - (ends - n)[of]]
                 item = np.searchsorted(self.first, which, "right") - 1
-                found = np.unique(np.stack([text[pos[of]], item, pos[of] - (which - self.first[item])], 1), axis=0)
-                both, index = np.unique(np.concatenate([seen, found]), axis=0, return_index=True)
-                yield found[index[index >= len(seen)] - len(seen)]
-                seen = both
+                found = np.unique((text[pos[of]] * items + item) * span + pos[of] - (which - self.first[item]) + low)
+                found = found[~np.isin(found, seen, assume_unique=True)]
+                seen = np.concatenate([seen, found])
+                pair = found // span
+                yield np.stack([pair // items, pair % items, found % span - low], 1)
 
     def verified(self, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
         """(text, item number, first word, end word, share that agrees) of each diagonal with a stretch of
-        WINDOW words (a shorter item: all its words) of which SHARE agree (an item of fewer than SHORT_WORDS: all)."""
-        for text, item, offset in (row for part in self.diagonals(h, first) for row in part.tolist()):
-            low, high, own = first[text], first[text + 1], self.hash[self.first[item] : self.first[item + 1]]
-            a, b = max(offset, low), min(offset + len(own), high)
-            same = h[a:b] == own[a - offset : b - offset]
-            width = min(WINDOW, len(own))
-            if len(same) < width:
-                continue
-            sums = np.concatenate([[0], np.cumsum(same)])
-            counts = sums[width:] - sums[:-width]
-            need = width if len(own) < SHORT_WORDS else SHARE * width
-            good = np.flatnonzero(counts >= need)
-            if len(good):
-                yield text, item, int(a - low + good[0]), int(a - low + good[-1] + width), float(counts.max() / width)
+        WINDOW words (a shorter item: all its words) of which SHARE agree, and LEAST words (a shorter item: all)."""
+        for found in self.diagonals(h, first):
+            text, item, offset = found.T
+            own = self.first[item + 1] - self.first[item]
+            begin, end = np.maximum(offset, first[text]), np.minimum(offset + own, first[text + 1])
+            full = end - begin >= np.minimum(WINDOW, own)
+            for rows in np.array_split(np.flatnonzero(full), 1 + int((end - begin)[full].sum()) // WORDS_AT_ONCE):
+                yield from self._agreeing(h, first, *(x[rows] for x in (text, item, offset, begin, end)))
+
+    def _agreeing(self, h: np.ndarray, first: np.ndarray, text: np.ndarray, item: np.ndarray, offset: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, int, int, float]]:
+        size = end - begin
+        ends = np.cumsum(size)
+        each = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(each)) - (ends - size)[each] + begin[each]
+        sums = np.concatenate([[0], np.cumsum(h[at] == self.hash[at - offset[each] + self.first[item[each]]])])
+        width = np.minimum(WINDOW, self.first[item + 1] - self.first[item])
+        k = np.flatnonzero(np.arange(len(each)) + width[each] <= ends[each])
+        own = each[k]
+        agree = sums[k + width[own]] - sums[k]
+        good = agree >= np.maximum(SHARE * width, np.minimum(width, LEAST))[own]
+        k, own, agree = k[good], own[good], agree[good]
+        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        last = np.append(start[1:], len(own)) - 1
+        most = np.maximum.reduceat(agree, start) if len(start) else agree
+        for i, a, b, n in zip(own[start].tolist(), at[k[start]].tolist(), at[k[last]].tolist() if len(start) else [], most.tolist(), strict=True):
+            yield int(text[i]), int(item[i]), int(a - first[text[i]]), int(b - first[text[i]] + width[i]), float(n / width[i])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """(doc_id, item_id, start, end, agree): each stretch of words of a document that a benchmark item covers.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null and empty texts, and items
-    without words, match nothing; an item of few words is found wherever all of them follow each other. Repeated documents give repeated rows, a null doc_id or
+    without words, match nothing; of an item of LEAST words or fewer all must follow each other. Repeated documents give repeated rows, a null doc_id or
     item_id stays null in the result (null item_ids count as -1), other columns are not looked at. The benchmark
     goes to the tasks in parts whose size is measured first; a larger one takes more passes over the documents.
     """
