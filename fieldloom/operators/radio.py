@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.functions.geometry import decibels
+from fieldloom.operators.rounds import settled
 
 LINK = "frame_id int, rx_id string, tx_power_dbm double, num_paths int, tau_min double, tau_max double, delay_spread double, path_gain_sum double, path_gain_db double, rx_power_dbm double"
 
@@ -55,6 +57,54 @@ def solved(links: DataFrame, solve: Callable[[Mapping[str, Any]], Mapping[str, A
     return dealt.mapInPandas(run, whole)
 
 
+class UnsolvedLinks(RuntimeError):
+    """Some links of a part couldn't be solved; what was solved is kept."""
+
+
+def _committed(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def solved_rows(spark: SparkSession, folder: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """The rows that `solve_in_parts` has kept in `folder`: of each link the one that is solved, or the last error."""
+    rows = _committed(spark, folder, schema)
+    best = F.max_by(F.struct(*[c for c in schema.names if c not in (*keys, "attempt")]), F.struct("sanity_ok", "attempt"))
+    return rows.groupBy(*keys).agg(best.alias("__best")).select(*keys, "__best.*")
+
+
+def solve_in_parts(
+    links: DataFrame, solve: Callable[[Mapping[str, Any]], Mapping[str, Any]], schema: str, folder: str, keys: Sequence[str] = ("frame_id", "rx_id"), parts: int = 16, partitions: int | None = None, go_on: bool = False
+) -> DataFrame:
+    """`solved`, part by part: the rows of a part are committed to `folder` before the next one begins, so a run that stops
+    or fails keeps all parts before, and another run with the same folder solves only what is left, errors too. After a part in
+    which a link couldn't be solved UnsolvedLinks is raised, its rows being kept, unless told to `go_on`. Gives the rows of all
+    runs, one for each link. keys: what names a link; none may be null.
+    """
+    spark = links.sparkSession
+    whole = solved(links.limit(0), solve, schema).schema
+    kept = T.StructType([*whole.fields, T.StructField("attempt", T.IntegerType())])
+    before = _committed(spark, folder, kept)
+    attempt = (before.agg(F.max("attempt")).first()[0] or 0) + 1
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts))
+    left = settled(links.join(before.where("sanity_ok").select(*keys), list(keys), "left_anti").withColumn("__part", part), "unsolved")
+    for k in range(parts):
+        some = left.where(F.col("__part") == k).drop("__part")
+        if some.isEmpty():
+            continue
+        solved(some, solve, schema, partitions).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(folder)
+        if not go_on:
+            bad = _committed(spark, folder, kept).where((F.col("attempt") == attempt) & ~F.col("sanity_ok"))
+            first = bad.select(*keys, "error_message").orderBy(*keys).limit(3).collect()
+            if first:
+                raise UnsolvedLinks("; ".join(f"{tuple(r)[:-1]}: {r.error_message}" for r in first))
+    return solved_rows(spark, folder, kept, keys)
+
+
 def recorded(links: DataFrame, rows: DataFrame) -> DataFrame:
     """The default solver: rows that were solved before, by frame and receiver; links without one aren't ok."""
     found = rows.drop("sanity_ok", "error_message").withColumn("__found", F.lit(True))

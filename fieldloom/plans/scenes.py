@@ -5,6 +5,10 @@ number."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +16,11 @@ from fieldloom.functions import strings as s
 from fieldloom.functions.classify import Rule
 from fieldloom.functions.geometry import translation
 from fieldloom.operators import frames, manifests, quality, radio
+from fieldloom.operators.rounds import shared_dir
 from fieldloom.operators.scans import numbered
 from fieldloom.plans.registry import Registry
 from fieldloom.plans.tables import table
-from fieldloom.sources import actors, sinks
+from fieldloom.sources import actors, mesh_parts, pose_source, sinks
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -288,3 +293,72 @@ def merged_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = part.select(F.col("p_type").alias("material_class"), F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") > 10, "ready").otherwise("skipped").alias("status"))
     results = part.groupBy(F.col("p_type").alias("material_class")).agg(F.sum("p_size").alias("vertices"))
     return manifests.with_group_results(manifests.merge_groups(entries), results).select("material_class", "n", F.size("members").alias("n_members"), "vertices")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+@query("SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings")
+def mesh_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first components of all vectors, written as binary meshes and read again in ranges of a few rows."""
+    at = [F.get("embedding", F.lit(k)).cast("double").alias(a) for k, a in enumerate("xyz")]
+    files = mesh_parts.write_ply_parts(table(spark, sf_dir, "embeddings").select("vec_id", *at), _folder(spark, "meshes"))
+    paths = [r.mesh_path for r in files.collect()]  # one for each task
+    rows = mesh_parts.read_ply_parts(spark, paths, ["x", "vec_id", "z", "y"], part_bytes=1 << 16)
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), "x", "y", "z")
+
+
+def _pose_log(spark: SparkSession, sf_dir: str) -> str:
+    """The events as a motion log, each a block with nested ones."""
+    block = (
+        'pose {\n  name: "%s::%d"\n  header {\n    stamp {\n      sec: %d\n      nsec: %d\n    }\n    data {\n      key: "child_frame_id"\n      value: "%s::%d"\n    }\n'
+        '    data {\n      key: "note"\n      value: "} pose {"\n    }\n  }\n  position {\n    x: %s\n    z: -1.5e0\n  }\n  orientation {\n    w: 1\n  }\n}'
+    )
+    e = table(spark, sf_dir, "events")
+    folder = _folder(spark, "poses")
+    e.select(F.format_string(block, "event_type", "user_id", "event_id", F.lit(7), "event_type", "user_id", F.col("value").cast("string"))).write.text(folder)
+    return folder
+
+
+_POSES = "SELECT event_type AS model, user_id::VARCHAR AS link, event_id AS sec, 7::INT AS nsec, '} pose {' AS note, value AS x, 0.0::DOUBLE AS y, -1.5::DOUBLE AS z, NULL::VARCHAR AS error FROM events"
+
+
+def _poses(rows: DataFrame) -> DataFrame:
+    return rows.select("model", "link", "sec", "nsec", F.col("header")["note"].alias("note"), *[F.get("at", F.lit(k)).alias(a) for k, a in enumerate("xyz")], "error")
+
+
+@query(_POSES)
+def pose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log's blocks, each file read in ranges that cut blocks."""
+    return _poses(pose_source.read_pose_blocks(spark, pose_source.files_below(_pose_log(spark, sf_dir)), part_bytes=1 << 18))
+
+
+@query(_POSES)
+def stream_pose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream with offsets in the files."""
+    from fieldloom.streaming.stateful import run_available
+
+    return run_available(_poses(pose_source.stream_pose_blocks(spark, _pose_log(spark, sf_dir), part_bytes=1 << 18)), _folder(spark, "pose-rows"))
+
+
+@query(
+    """SELECT o_orderkey AS frame_id, o_custkey AS rx_id, CASE WHEN o_orderkey % 11 <> 0 THEN round(o_totalprice / 8, 6) END AS gain, (o_orderkey % 11 <> 0) AS sanity_ok,
+        CASE WHEN o_orderkey % 11 = 0 THEN 'ValueError: no path' END AS error_message FROM orders"""
+)
+def resumed_solver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that are solved in parts: a first run stops at a link that can't be, a second goes on with what is left."""
+    links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), F.col("o_custkey").alias("rx_id"), F.col("o_totalprice").cast("double").alias("price"))
+    folder = _folder(spark, "solved")
+
+    def solve(link: Mapping[str, Any]) -> Mapping[str, Any]:
+        if link["frame_id"] % 11 == 0:
+            raise ValueError("no path")
+        return {"gain": link["price"] / 8}
+
+    try:
+        radio.solve_in_parts(links, solve, "gain double", folder, parts=4)
+    except radio.UnsolvedLinks:
+        pass
+    out = radio.solve_in_parts(links, solve, "gain double", folder, parts=4, go_on=True)
+    return out.select("frame_id", "rx_id", F.round("gain", 6).alias("gain"), "sanity_ok", "error_message")
