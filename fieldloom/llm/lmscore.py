@@ -14,11 +14,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.batches import LOWER, Texts, U, mix64, texts, words
+from fieldloom.llm.batches import LOWER, SLICE_BYTES, Texts, U, mix64, texts, words
 from fieldloom.llm.staging import staged
 from fieldloom.llm.sums import BLOB, gathered, pieces
 
@@ -29,14 +30,22 @@ KNOWN = 1 << 18
 SIDE, HIDDEN = 2, 32
 #: Each round learns from every ROUNDS-th word of every document, each time others: from every word once.
 ROUNDS = 2
-#: The corpus gives about so many steps, if those then have no more than so many words each; the rate of learning.
-STEPS, BATCH, RATE = 2000, 2048, 0.05
+#: The corpus gives about so many steps, if those then have no more than so many words each; the rate of learning for
+#: steps of 2048 words and fewer.
+STEPS, BATCH, RATE = 2000, 8192, 0.05
+#: Words of a learner.
+LEARNER_WORDS = 1 << 21
 #: A task's distinct words are sent on when there are more.
 PENDING = 1 << 20
 COUNTS = "word long, ending long, n long"
 JUDGED = "row long, doc_id long, n_tokens long, part double, once long, rest array<struct<word:long,twig:int>>"
 
 
+def _sorted(numbers: np.ndarray, most: int) -> np.ndarray:
+    """The order of numbers below `most`; sorts of 16 bits are faster."""
+    return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
+
+
 def word_numbers(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each word's 64-bit hash, its last three bytes, and where each text's words begin."""
     w = words(t)
@@ -156,7 +165,7 @@ class Network:
 
     def log_probs(self, rows: np.ndarray, twig: np.ndarray) -> np.ndarray:
         """Of each word's branch and twig together."""
-        order = np.argsort(twig, kind="stable")
+        order = _sorted(twig, self.groups)
         h, own = self.hidden(rows[order]), twig[order]
         branch, leaf, each = own // self.twigs, own % self.twigs, np.arange(len(own))
         ones = np.ones((len(own), 1), np.float32)
@@ -167,7 +176,7 @@ class Network:
 
     def gradient(self, rows: np.ndarray, twig: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Of the mean negative logarithm: the named rows of `near`, their gradient, and those of the other layers."""
-        order = np.argsort(twig, kind="stable")
+        order = _sorted(twig, self.groups)
         rows, own = rows[order], twig[order]
         n, branch, leaf, each = np.float32(len(own)), own // self.twigs, own % self.twigs, np.arange(len(own))
         h, runs = self.hidden(rows), self._runs(branch)
@@ -185,7 +194,7 @@ class Network:
         rest = [h.T @ p, p.sum(axis=0), inner]
         back *= 1 - h * h
         flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = _sorted(flat, len(self.near))
         flat = flat[order]
         start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
         near = np.add.reduceat(back[order // rows.shape[1]], start, axis=0)
@@ -269,31 +278,67 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(known, twig, n, twigs, single, sums, total, counts.select("word", "n") if len(known) < distinct else None)
 
 
-def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS) -> Network:
-    """Every task learns from its own documents, from every word in one of the rounds; after each round the weights
-    are averaged, by how many words each task learned from. So the weights depend on which documents a task has:
-    dealt out otherwise, the mean score of a word changes by 3 % at most in the tests."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts | None]]:
+    """Of rows (learner, text) that are sorted: each learner's texts in slices that depend on nothing but those texts, and
+    after the last one (learner, None)."""
+    learner, waiting, size = -1, [], 0
+    for batch in batches:
+        own, lengths = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        a = 0
+        for i in range(batch.num_rows + 1):
+            ended = i == batch.num_rows or own[i] != learner
+            if i and (ended or size >= SLICE_BYTES) and i > a:
+                waiting.append(batch.column(1).slice(a, i - a))
+                a = i
+            if waiting and (size >= SLICE_BYTES or (ended and i < batch.num_rows)):
+                yield learner, next(texts(pa.concat_arrays(waiting), 1 << 62))
+                waiting, size = [], 0
+            if i < batch.num_rows:
+                if own[i] != learner:
+                    if learner >= 0:
+                        yield learner, None
+                    learner = int(own[i])
+                size += int(lengths[i])
+    if waiting:
+        yield learner, next(texts(pa.concat_arrays(waiting), 1 << 62))
+    if learner >= 0:
+        yield learner, None
+
+
+def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, learner_words: int = LEARNER_WORDS) -> Network:
+    """Learners of about `learner_words` words each learn from every word of their documents in one of the rounds; after
+    each round their weights are averaged, by how many words each learned from. Which documents a learner has, and in which order,
+    is told by a hash of doc_id and text: how rows are dealt to tasks changes nothing, and more documents are more learners, not
+    smaller ones."""
     spark, net = docs.sparkSession, Network.of(known)
     sent = spark.sparkContext.broadcast(known.sent())
+    learners = max(1, round(known.total / learner_words))
+    place = F.xxhash64("doc_id", "text")
+    dealt = docs.where(F.length("text") > 0).select(F.pmod(place, F.lit(learners)).cast("long").alias("learner"), place.alias("place"), "text")
+    dealt = dealt.repartitionByRange(learners, "learner").sortWithinPartitions("learner", "place", "text").select("learner", "text")
+    size = min(BATCH, max(32, known.total // STEPS))
+    rate = RATE * max(1.0, (size / 2048) ** 0.5)
     for k in range(rounds):
         start = spark.sparkContext.broadcast(net.flat)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
-            own, seen = Network(start.value.copy(), sent.value.twigs), 0
-            size = min(BATCH, max(32, sent.value.total // STEPS))
-            for batch in batches:
-                for t in texts(batch.column(0)):
-                    number, ending, first = word_numbers(t)
-                    twig = sent.value.of(number, ending)[0]
-                    at = learned_places(first, k, rounds)
-                    at = at[np.random.default_rng(len(at)).permutation(len(at))]
-                    for a in range(0, len(at), size):
-                        some = at[a : a + size]
-                        own.learn(own.neighbours(twig, first, some), twig[some], RATE)
-                    seen += len(at)
-            yield pieces(own.flat, seen)
-
-        flat = gathered(docs.select("text").mapInArrow(learn, BLOB), np.float32, mean=True)
+            own, seen = None, 0
+            for learner, t in _slices(batches):
+                if t is None:
+                    yield pieces(own.flat, seen, learner)
+                    own, seen = None, 0
+                    continue
+                own = own or Network(start.value.copy(), sent.value.twigs)
+                number, ending, first = word_numbers(t)
+                twig = sent.value.of(number, ending)[0]
+                at = learned_places(first, k, rounds)
+                at = at[np.random.default_rng(len(at)).permutation(len(at))]
+                for a in range(0, len(at), size):
+                    some = at[a : a + size]
+                    own.learn(own.neighbours(twig, first, some), twig[some], rate)
+                seen += len(at)
+
+        flat = gathered(dealt.mapInArrow(learn, BLOB), np.float32, mean=True)
         net = Network(flat, known.twigs) if len(flat) == len(net.flat) else net
     return net
 

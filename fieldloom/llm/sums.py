@@ -13,9 +13,9 @@ PIECES, FAN = 64, 512
 BLOB = "piece long, task long, weight double, data binary"
 
 
-def pieces(data: np.ndarray, weight: float) -> pa.RecordBatch:
-    """A task's array in PIECES rows."""
-    task = TaskContext.get().partitionId()
+def pieces(data: np.ndarray, weight: float, task: int | None = None) -> pa.RecordBatch:
+    """An array in PIECES rows: a task's, or that of another number."""
+    task = TaskContext.get().partitionId() if task is None else task
     parts = [x.tobytes() for x in np.array_split(data, PIECES)]
     return pa.RecordBatch.from_arrays([pa.array(range(PIECES)), pa.array([task] * PIECES, pa.int64()), pa.array([float(weight)] * PIECES), pa.array(parts, pa.binary())], names=["piece", "task", "weight", "data"])
 

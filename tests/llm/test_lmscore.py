@@ -54,6 +54,7 @@ def test_one_partition_is_the_plain_loop(spark):
     known = lmscore.vocabulary(docs)
     net = lmscore.train(docs, known, 1)
     own = lmscore.Network.of(known)
+    texts_ = [r.text for r in docs.orderBy(F.xxhash64("doc_id", "text")).collect()]
     number, ending, first = (np.concatenate(x) for x in zip(*[numbers(x) for x in texts_], strict=True))
     first = np.cumsum([0, *[len(x.split()) for x in texts_]])
     twig = known.of(number, ending)[0]
@@ -128,11 +129,14 @@ def test_held_out_words_are_better_predicted_than_by_their_counts(spark, sf_dir,
         r = lmscore.score(test, known, net).agg(F.sum("log_likelihood").alias("s"), F.sum("n_tokens").alias("n")).first()
         return r.s / r.n
 
-    counts, whole = mean(lmscore.Network.of(known)), mean(lmscore.train(rest.coalesce(1) if sf == "sf0.001" else rest, known))
-    assert whole > counts + 0.4
-    if sf == "sf0.001":
-        dealt = mean(lmscore.train(rest.repartition(7, "doc_id"), known))
-        assert dealt > counts + 0.25 and abs(dealt / whole - 1) < 0.03
+    counts, net = mean(lmscore.Network.of(known)), lmscore.train(rest, known)
+    assert mean(net) > counts + 0.4
+    if sf == "sf0.01":
+        for tasks in (1, 7, 40, 200):
+            assert (lmscore.train(rest.repartition(tasks, "doc_id"), known).flat == net.flat).all()
+        # also where there are several learners, which know less the fewer words each has
+        few = [lmscore.train(rest.repartition(tasks), known, learner_words=known.total // 4) for tasks in (3, 40)]
+        assert (few[0].flat == few[1].flat).all() and mean(few[0]) > counts + 0.2
 
 
 def test_untaught_is_the_unigram(spark):
@@ -160,3 +164,21 @@ def test_counts_and_shares_are_of_words(spark, monkeypatch):
     assert len(part.words) == 16000 and part.counts.count() == 40000 and np.isclose(part.sums.sum(), whole.sums.sum())
     a, b = ({r.doc_id: r for r in lmscore.score(docs, k, lmscore.Network.of(k)).collect()} for k in (whole, part))
     assert len(a) == len(b) == 8 and all(np.isclose(a[d].log_likelihood, b[d].log_likelihood, rtol=1e-4) and a[d].n_tokens == b[d].n_tokens and a[d].n_once == b[d].n_once for d in a)
+
+
+def test_slices_depend_on_the_learners_texts_alone(monkeypatch):
+    monkeypatch.setattr(lmscore, "SLICE_BYTES", 20)
+    rng = np.random.default_rng(5)
+    rows = [(k, "w" * int(rng.integers(0, 30))) for k in (0, 3, 4) for _ in range(40)]
+
+    def found(cuts, rows):
+        edges = [0, *cuts, len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[a:b]], pa.int64()), pa.array([r[1] for r in rows[a:b]], pa.string())], names=["learner", "text"]) for a, b in zip(edges, edges[1:], strict=False)]
+        return [(k, None if t is None else (t.buf.tobytes(), tuple(t.off))) for k, t in lmscore._slices(batches)]
+
+    whole = found([], rows)
+    assert [k for k, t in whole if t is None] == [0, 3, 4] and sum(len(t[1]) - 1 for _, t in whole if t) == len(rows)
+    for cuts in ([1], [39, 40, 41], list(range(1, len(rows))), [50, 50, 90]):
+        assert found(cuts, rows) == whole
+    assert found([5], [r for r in rows if r[0] == 3]) == [x for x in whole if x[0] == 3]
+    assert found([], []) == []
