@@ -148,8 +148,8 @@ def static_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(events: DataFrame, kind: str) -> DataFrame:
-    rows = numbered(events.select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], "place")
-    return rows.where(F.col("event_type") == kind).select("user_id", (F.col("place") + 1).alias("place"), F.date_trunc("day", "ts").alias("day"))
+    rows = numbered(events.where(F.col("event_type") == kind).select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "place")
+    return rows.select("user_id", (F.col("place") + 1).alias("place"), F.date_trunc("day", "ts").alias("day"))
 
 
 @query(
