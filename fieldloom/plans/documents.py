@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import strings as s
+from fieldloom.operators import presence
 from fieldloom.plans.registry import Registry
 from fieldloom.plans.tables import table
 
@@ -111,3 +112,41 @@ def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(k % 4 == 0, " True").when(k % 4 == 1, "FALSE").when(k % 4 == 2, "yes")
     label = F.when(k % 5 == 0, "0").when(k % 5 == 1, "1.0").when(k % 5 == 2, "2")
     return table(spark, sf_dir, "events").select("event_id", s.bool_text(flag).alias("flag"), s.binary_label(label).alias("label"))
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of each customer: by its number whole, with a null, without a key, with a wrong type, with a key more, cut
+    off, or a list."""
+    head = lambda size: F.concat(F.lit('{"id": '), "c_custkey", F.lit(f', "size": {size}, "links": []'))
+    name = F.concat(F.lit(', "name": "'), "c_name", F.lit('"'))
+    kinds = [
+        F.concat(head("1.5"), name, F.lit("}")),
+        F.concat(head("2"), F.lit(', "name": null}')),
+        F.concat(head("2.5"), F.lit("}")),
+        F.concat(head('"wide"'), name, F.lit("}")),
+        F.concat(head("1"), name, F.lit(', "colour": 1}')),
+        F.concat(head("1"), F.lit(',\n "name" ')),
+        F.lit("[]"),
+    ]
+    value = F.get(F.array(*kinds), (F.col("c_custkey") % len(kinds)).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", value.alias("value"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, c_custkey % 7 AS k FROM customer WHERE c_custkey % 7 < 5)
+    SELECT c_custkey, 'id' AS key, 'present' AS state FROM c
+    UNION ALL SELECT c_custkey, 'links', 'present' FROM c
+    UNION ALL SELECT c_custkey, 'size', CASE WHEN k = 3 THEN 'is string' ELSE 'present' END FROM c
+    UNION ALL SELECT c_custkey, 'name', CASE k WHEN 1 THEN 'null' WHEN 2 THEN 'absent' ELSE 'present' END FROM c
+    UNION ALL SELECT c_custkey, 'colour', 'unknown' FROM c WHERE k = 4"""
+)
+def key_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence.key_states(_manifests(spark, sf_dir), "value", {"id": "integer", "size": "number", "links": "array", "name": "string"})
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN 'not an object' ELSE 'Expecting '':'' delimiter' END AS error,
+        CASE WHEN c_custkey % 7 = 5 THEN 2 END::INT AS line, CASE WHEN c_custkey % 7 = 5 THEN 9 END::INT AS place FROM customer WHERE c_custkey % 7 > 4"""
+)
+def broken_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence.broken_documents(_manifests(spark, sf_dir), "value")
