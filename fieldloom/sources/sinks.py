@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,9 +52,33 @@ def scene_xml(entries: DataFrame, materials: DataFrame) -> DataFrame:
     return out.select("frame_id", F.concat(F.lit('<scene version="3.0.0">\n'), text("used", "bsdf"), text("shapes", "shape"), F.lit("</scene>\n")).alias("xml"), F.size("shapes").alias("n_shapes"))
 
 
+def relative_path(path: Column, folder: Column) -> Column:
+    """`path` as seen from `folder`, both absolute or both relative, without `.`, `..` and double slashes in them; else
+    as it is."""
+    a, b = F.split(path, "/"), F.split(F.rtrim(folder, F.lit("/")), "/")
+    least = F.least(F.size(a), F.size(b))
+    same = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), least - 1), lambda i: F.get(a, i) != F.get(b, i))), least)
+    parts = F.concat(F.array_repeat(F.lit(".."), F.size(b) - same), F.slice(a, same + 1, F.greatest(F.size(a) - same, F.lit(0))))
+    found = F.when(F.size(parts) == 0, F.lit(".")).otherwise(F.array_join(parts, "/"))
+    return F.when(F.startswith(path, F.lit("/")) == F.startswith(folder, F.lit("/")), found).otherwise(path)
+
+
+def relative_entries(entries: DataFrame, folder: str, mesh: str = "mesh_path") -> DataFrame:
+    """The entries with mesh paths as seen from each frame's document, which `write_scenes` puts in
+    `folder`/frame_id=..., so that the folder can be moved with its meshes."""
+    own = F.concat(F.lit(folder.rstrip("/") + "/frame_id="), F.col("frame_id").cast("string"))
+    return entries.withColumn(mesh, relative_path(F.col(mesh), own))
+
+
 def write_scenes(scenes: DataFrame, folder: str) -> None:
-    """One text file per frame, in folders frame_id=..."""
+    """One text file per frame, in folders frame_id=...; read again, each must have as many shapes as its row says."""
     scenes.select("frame_id", "xml").repartition("frame_id").write.partitionBy("frame_id").option("lineSep", "\n").text(folder)
+    shapes = (F.length("value") - F.length(F.replace("value", F.lit("<shape "), F.lit("")))) / len("<shape ")
+    back = scenes.sparkSession.read.text(folder, wholetext=True).groupBy(F.col("frame_id").cast("string").alias("frame_id")).agg(F.sum(shapes).cast("long").alias("__found"))
+    wanted = scenes.select(F.col("frame_id").cast("string").alias("frame_id"), "n_shapes")
+    wrong = wanted.join(back, "frame_id", "left").where(~F.col("n_shapes").eqNullSafe(F.col("__found"))).limit(3).collect()
+    if wrong:
+        raise ValueError("; ".join(f"frame {r.frame_id} has {r['__found']} of {r.n_shapes} shapes" for r in wrong))
 
 
 def wall_obj(walls: DataFrame) -> DataFrame:
@@ -98,18 +123,31 @@ def wall_mtl(walls: DataFrame) -> DataFrame:
 
 #: Colours by which materials are told apart in a picture, in turn.
 PALETTE = ("0.8 0.2 0.2", "0.2 0.6 0.2", "0.2 0.3 0.8", "0.8 0.7 0.2", "0.6 0.3 0.7", "0.3 0.7 0.7", "0.5 0.5 0.5")
-CAMERA = """    <integrator type="path" />
+@dataclass(frozen=True)
+class Camera:
+    """From where a scene is looked at, and how its picture is made."""
+
+    origin: str = "8, 8, 6"
+    target: str = "0, 0, 1"
+    up: str = "0, 0, 1"
+    fov: float = 60
+    width: int = 1280
+    height: int = 720
+    samples: int = 64
+
+    def xml(self) -> str:
+        return f"""    <integrator type="path" />
     <sensor type="perspective">
-        <float name="fov" value="60" />
-        <transform name="to_world"><lookat origin="8, 8, 6" target="0, 0, 1" up="0, 0, 1" /></transform>
-        <sampler type="independent"><integer name="sample_count" value="64" /></sampler>
-        <film type="hdrfilm"><integer name="width" value="1280" /><integer name="height" value="720" /></film>
+        <float name="fov" value="{self.fov:g}" />
+        <transform name="to_world"><lookat origin="{self.origin}" target="{self.target}" up="{self.up}" /></transform>
+        <sampler type="independent"><integer name="sample_count" value="{self.samples}" /></sampler>
+        <film type="hdrfilm"><integer name="width" value="{self.width}" /><integer name="height" value="{self.height}" /></film>
     </sensor>
     <emitter type="constant" />
 """
 
 
-def visual_scene_xml(entries: DataFrame, geometry_only: bool = False) -> DataFrame:
+def visual_scene_xml(entries: DataFrame, geometry_only: bool = False, camera: Camera | None = None) -> DataFrame:
     """(frame_id, xml, n_shapes): a scene to look at. Materials have colours in turn, by name, glass is dielectric;
     unless `geometry_only` there are a camera and a light. entries as for `scene_xml`."""
     rows = entries.select("frame_id", "id", "material_class", shape_xml(slugify(F.col("id")), F.col("mesh_path"), F.concat(F.lit("mat-"), slugify(F.col("material_class")))).alias("shape"))
@@ -122,5 +160,5 @@ def visual_scene_xml(entries: DataFrame, geometry_only: bool = False) -> DataFra
         plain = F.concat(F.lit('    <bsdf type="diffuse'), head, F.lit('<rgb name="reflectance" value="'), F.get(colours, i % len(PALETTE)), F.lit('" /></bsdf>\n'))
         return F.when(name == "glass", glass).otherwise(plain)
 
-    parts = [F.lit('<scene version="3.0.0">\n'), F.lit("" if geometry_only else CAMERA), F.array_join(F.transform("used", bsdf), ""), F.array_join(F.transform("shapes", lambda x: x["shape"]), ""), F.lit("</scene>\n")]
+    parts = [F.lit('<scene version="3.0.0">\n'), F.lit("" if geometry_only else (camera or Camera()).xml()), F.array_join(F.transform("used", bsdf), ""), F.array_join(F.transform("shapes", lambda x: x["shape"]), ""), F.lit("</scene>\n")]
     return out.select("frame_id", F.concat(*parts).alias("xml"), F.size("shapes").alias("n_shapes"))
