@@ -26,6 +26,8 @@ from fieldloom.llm.sums import BLOB, gathered, pieces
 BRANCHES, TWIGS = 128, 2
 #: At most so many words' counts go to every task; those of the others, none of which is frequent, are joined.
 KNOWN = 1 << 18
+#: Slots of their hashes.
+SLOTS = 1 << 20
 #: Words on each side, and the width of the hidden layer.
 SIDE, HIDDEN = 2, 32
 #: Each round learns from every ROUNDS-th word of every document, each time others: from every word once.
@@ -33,6 +35,8 @@ ROUNDS = 2
 #: The corpus gives about so many steps, if those then have no more than so many words each; the rate of learning for
 #: steps of 2048 words and fewer.
 STEPS, BATCH, RATE = 2000, 8192, 0.05
+#: The scores of all branches are held for so many words at once, which a core's cache has room for.
+CACHED = 1024
 #: Words of a learner.
 LEARNER_WORDS = 1 << 21
 #: A task's distinct words are sent on when there are more.
@@ -80,17 +84,27 @@ class Vocabulary:
     total: int
     counts: DataFrame | None = None
 
+    slots: np.ndarray | None = None
+
     def sent(self) -> Vocabulary:
         """What tasks need."""
-        return replace(self, counts=None)
+        return replace(self, counts=None, slots=None)
 
     def of(self, number: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's twig, and its count, -1 if that isn't known here."""
-        twig, n = _shared_twig(ending, self.single, self.twigs), np.full(len(number), -1)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, number), len(self.words) - 1)
-            hit = self.words[at] == number
-            twig[hit], n[hit] = self.twig[at[hit]], self.n[at[hit]]
+        """Each word's twig, and its count, -1 if that isn't known here. Most are found by the slot of their hash, which
+        the most frequent of its words has; the others are searched for."""
+        if not len(self.words):
+            return _shared_twig(ending, self.single, self.twigs), np.full(len(number), -1)
+        if self.slots is None:
+            self.slots = np.zeros(SLOTS, np.int32)
+            order = np.argsort(self.n, kind="stable")
+            self.slots[self.words[order] & (SLOTS - 1)] = order
+        at = self.slots[number & (SLOTS - 1)].astype(np.int64)
+        left = np.flatnonzero(self.words[at] != number)
+        at[left] = np.minimum(np.searchsorted(self.words, number[left]), len(self.words) - 1)
+        twig, n = self.twig[at], self.n[at]
+        left = left[self.words[at[left]] != number[left]]
+        twig[left], n[left] = _shared_twig(ending[left], self.single, self.twigs), -1
         return twig, n
 
 
@@ -104,6 +118,9 @@ class Network:
         shapes = self.shapes(twigs)
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
         self.near, self.bias, self.out, self.prior, self.inner = (x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), shapes, strict=True))
+        #: The branches' scores and, as its last row, their constants.
+        at = self.near.size + HIDDEN
+        self.layer = self.flat[at : at + (HIDDEN + 1) * BRANCHES].reshape(HIDDEN + 1, BRANCHES)
         self.steps = None
 
     @staticmethod
@@ -127,35 +144,46 @@ class Network:
         out = np.empty((len(at), 2 * SIDE), np.int64)
         for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             place = at + shift
-            inside = (place >= low) & (place < high)
-            out[:, k] = np.where(inside, twig[np.clip(place, 0, len(twig) - 1)], self.groups) + k * (self.groups + 1)
+            near = np.take(twig, place, mode="clip")
+            near[(place < low) | (place >= high)] = self.groups
+            np.add(near, k * (self.groups + 1), out=out[:, k])
         return out
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
-        total = self.near[rows[:, 0]]
+        """With a last column of ones, for the layers' constants."""
+        total = np.empty((len(rows), HIDDEN + 1), np.float32)
+        x = np.take(self.near, rows[:, 0], axis=0, mode="clip")
         for k in range(1, rows.shape[1]):
-            total += self.near[rows[:, k]]
-        total += self.bias
-        return np.tanh(total, out=total)
-
-    def _branches(self, h: np.ndarray) -> np.ndarray:
-        """Probabilities of the branches."""
-        p = h @ self.out
-        p += self.prior
-        p -= p.max(axis=1, keepdims=True)
+            x += np.take(self.near, rows[:, k], axis=0, mode="clip")
+        x += self.bias
+        np.tanh(x, out=total[:, :HIDDEN])
+        total[:, HIDDEN] = 1
+        return total
+
+    def _within_reach(self) -> bool:
+        """Whether no score of a branch can leave the range of exponentials, nor all of a word's: what is hidden is
+        between -1 and 1. Then a word's largest score need not be taken off."""
+        reach = np.abs(self.out).sum(axis=0)
+        return bool((self.prior + reach).max() < 80 and (self.prior - reach).max() > -80)
+
+    def _branches(self, h: np.ndarray, branch: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The exponentials of all branches' scores, the score of each word's own, and the sums of the exponentials."""
+        p = h @ self.layer
+        if not near:
+            p -= p.max(axis=1, keepdims=True)
+        own = p[np.arange(len(p)), branch]
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        return p
+        return p, own, p @ np.ones(BRANCHES, np.float32)
 
-    def _twigs(self, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
-        """Probabilities of the twigs of each word's branch; `h` ends with a column of ones."""
-        q = np.empty((len(h), self.twigs), np.float32)
+    def _twigs(self, h: np.ndarray, runs: list[tuple[int, int, int]], leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of the twigs of each word's branch, a row for each twig."""
+        q = np.empty((self.twigs, len(h)), np.float32)
         for b, first, end in runs:
-            np.matmul(h[first:end], self.inner[b].T, out=q[first:end])
-        q -= q.max(axis=1, keepdims=True)
+            np.matmul(self.inner[b], h[first:end].T, out=q[:, first:end])
+        q -= q.max(axis=0)
+        own = q[leaf, np.arange(len(h))]
         np.exp(q, out=q)
-        q /= q.sum(axis=1, keepdims=True)
-        return q
+        return q, own, q.sum(axis=0)
 
     @staticmethod
     def _runs(branch: np.ndarray) -> list[tuple[int, int, int]]:
@@ -166,12 +194,14 @@ class Network:
     def log_probs(self, rows: np.ndarray, twig: np.ndarray) -> np.ndarray:
         """Of each word's branch and twig together."""
         order = _sorted(twig, self.groups)
-        h, own = self.hidden(rows[order]), twig[order]
-        branch, leaf, each = own // self.twigs, own % self.twigs, np.arange(len(own))
-        ones = np.ones((len(own), 1), np.float32)
-        p = self._branches(h)[each, branch] * self._twigs(np.hstack([h, ones]), self._runs(branch))[each, leaf]
-        total = np.empty(len(own))
-        total[order] = np.log(np.maximum(p, 1e-37))
+        h, own, near = self.hidden(rows[order]), twig[order], self._within_reach()
+        branch, total = own // self.twigs, np.empty(len(own))
+        _, score, whole = self._twigs(h, self._runs(branch), own % self.twigs)
+        found = score - np.log(whole)
+        for a in range(0, len(own), CACHED):
+            _, score, whole = self._branches(h[a : a + CACHED], branch[a : a + CACHED], near)
+            found[a : a + CACHED] += score - np.log(whole)
+        total[order] = found
         return total
 
     def gradient(self, rows: np.ndarray, twig: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -179,26 +209,33 @@ class Network:
         order = _sorted(twig, self.groups)
         rows, own = rows[order], twig[order]
         n, branch, leaf, each = np.float32(len(own)), own // self.twigs, own % self.twigs, np.arange(len(own))
-        h, runs = self.hidden(rows), self._runs(branch)
-        p, h1 = self._branches(h), np.hstack([h, np.ones((len(own), 1), np.float32)])
-        p[each, branch] -= 1
-        p /= n
-        q = self._twigs(h1, runs)
-        q[each, leaf] -= 1
-        q /= n
-        back, inner = p @ self.out.T, np.zeros_like(self.inner)
+        h, runs, reach = self.hidden(rows), self._runs(branch), self._within_reach()
+        back, layer, inner = np.empty((len(own), HIDDEN), np.float32), np.zeros_like(self.layer), np.zeros_like(self.inner)
+        out = np.ascontiguousarray(self.out.T)
+        for a in range(0, len(own), CACHED):
+            some, mine = h[a : a + CACHED], branch[a : a + CACHED]
+            p, _, whole = self._branches(some, mine, reach)
+            p[each[: len(mine)], mine] -= whole
+            whole *= n
+            layer += (p.T @ (some / whole[:, None])).T
+            np.divide(p @ out, whole[:, None], out=back[a : a + CACHED])
+        q, _, whole = self._twigs(h, runs, leaf)
+        q[leaf, each] -= whole
+        q /= whole * n
         for b, first, end in runs:
-            some = q[first:end]
-            np.matmul(some.T, h1[first:end], out=inner[b])
-            back[first:end] += some @ self.inner[b, :, :HIDDEN]
-        rest = [h.T @ p, p.sum(axis=0), inner]
-        back *= 1 - h * h
+            some = q[:, first:end]
+            np.matmul(some, h[first:end], out=inner[b])
+            back[first:end] += some.T @ self.inner[b, :, :HIDDEN]
+        back *= 1 - h[:, :HIDDEN] ** 2
         flat = rows.ravel()
         order = _sorted(flat, len(self.near))
         flat = flat[order]
         start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        near = np.add.reduceat(back[order // rows.shape[1]], start, axis=0)
-        return flat[start], near, [back.sum(axis=0), *rest]
+        # each hidden place by itself: sums that run along memory
+        near, order, some = np.empty((HIDDEN, len(start)), np.float32), order // rows.shape[1], np.empty(len(flat), np.float32)
+        for x, total in zip(np.ascontiguousarray(back.T), near, strict=True):
+            np.add.reduceat(np.take(x, order, mode="clip", out=some), start, out=total)
+        return flat[start], np.ascontiguousarray(near.T), [back.sum(axis=0), layer[:HIDDEN], layer[HIDDEN], inner]
 
     def learn(self, rows: np.ndarray, twig: np.ndarray, rate: float) -> None:
         """A step down the gradient, each weight at a rate by the sum of its squared gradients so far (Adagrad)."""
