@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -126,37 +127,60 @@ def balanced_logistic(rows: DataFrame, folds: Sequence[int], counts: np.ndarray,
     return w
 
 
-def logistic_predictions(df: DataFrame, features: Sequence[str], target: str = "y", fold: str = "fold") -> DataFrame:
-    """(fold, y, y_pred) of every row, learned from the rows of all other folds, whatever their number; folds are few.
-    Features are standardised by the training rows, missing ones are 0; rows without a target are left out, and one
-    fold alone gives no rows."""
+@dataclass
+class Folds:
+    """Rows (fold, y, x) as a written table; the folds, ascending; by fold, how many rows of both classes the others have,
+    and the means and spreads of their features."""
+
+    rows: DataFrame
+    names: list[int]
+    counts: np.ndarray
+    scale: np.ndarray
+
+    def scaled(self, batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the place of its fold, and its features as that fold's model takes them."""
+        k = np.searchsorted(self.names, batch["fold"].to_numpy())
+        x = np.array(batch["x"].tolist(), float).reshape(len(batch), self.scale.shape[2])
+        return k, (x - self.scale[k, 0]) / self.scale[k, 1]
+
+
+def by_folds(df: DataFrame, features: Sequence[str], target: str, fold: str) -> Folds:
+    """What a learner needs of each fold's training rows, from two passes over the table. Missing features are 0; rows
+    without a target or fold are left out."""
     rows = df.select(F.col(fold).cast("int").alias("fold"), F.col(target).cast("int").alias("y"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
     rows = settled(rows.where("y IS NOT NULL AND fold IS NOT NULL"))
     sizes = {(r.fold, r.y): r.n for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
     folds, d = sorted({f for f, _ in sizes}), len(features)
-    if len(folds) < 2:
-        return df.sparkSession.createDataFrame([], "fold int, y int, y_pred int")
     count, mean, var = np.array([sum(sizes.get((f, c), 0) for c in (0, 1)) for f in folds], float), np.zeros((len(folds), d)), np.zeros((len(folds), d))
     each = rows.select("fold", F.posexplode("x").alias("i", "v")).groupBy("fold", "i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
-    for r in each.collect():
+    for r in each.collect() if len(folds) > 1 else []:
         mean[folds.index(r.fold), r.i], var[folds.index(r.fold), r.i] = r.mean, r.var
     counts, scale = np.zeros((len(folds), 2)), np.zeros((len(folds), 2, d))
-    for k in range(len(folds)):
+    for k in range(len(folds) if len(folds) > 1 else 0):
         others = np.arange(len(folds)) != k
         share = (count[others] / count[others].sum())[:, None]
         middle = (share * mean[others]).sum(axis=0)
         spread = np.sqrt((share * (var[others] + (mean[others] - middle) ** 2)).sum(axis=0))
         scale[k] = middle, np.where(spread < 1e-9, 1.0, spread)
         counts[k] = [sum(n for (f, y), n in sizes.items() if y == c and f != folds[k]) for c in (0, 1)]
-    w = balanced_logistic(rows, folds, counts, scale)
+    return Folds(rows, folds, counts, scale)
+
+
+def logistic_predictions(df: DataFrame, features: Sequence[str], target: str = "y", fold: str = "fold") -> DataFrame:
+    """(fold, y, y_pred) of every row, learned from the rows of all other folds, whatever their number; folds are few.
+    Features are standardised by the training rows, missing ones are 0; rows without a target are left out, and one
+    fold alone gives no rows."""
+    given, d = by_folds(df, features, target, fold), len(features)
+    if len(given.names) < 2:
+        return df.sparkSession.createDataFrame([], "fold int, y int, y_pred int")
+    w, whole = balanced_logistic(given.rows, given.names, given.counts, given.scale), replace(given, rows=None)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            k = np.searchsorted(folds, batch["fold"].to_numpy())
-            x = (np.array(batch["x"].tolist(), float).reshape(len(batch), d) - scale[k, 0]) / scale[k, 1]
+            k, x = whole.scaled(batch)
             yield pd.DataFrame({"fold": batch["fold"], "y": batch["y"], "y_pred": ((x * w[k, :d]).sum(axis=1) + w[k, d] >= 0).astype("int32")})
 
-    return rows.mapInPandas(predict, "fold int, y int, y_pred int")
+    return given.rows.mapInPandas(predict, "fold int, y int, y_pred int")
 
 
 LOGISTIC = "balanced_logistic"

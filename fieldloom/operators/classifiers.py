@@ -1,4 +1,4 @@
-"""Spark ML classifiers for the ablation's folds."""
+"""Classifiers for the ablation's folds, those of Spark ML and the perceptron."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.perceptron import perceptron_predictions
+
 MODELS = ("random_forest", "rbf_svm", "mlp")
 
 
@@ -39,7 +41,12 @@ def fourier_features(df: DataFrame, source: str, size: int, n: int = 256, seed:
 
 def predictions(df: DataFrame, features: Sequence[str], model: str, target: str = "y", fold: str = "fold", trees: int = 300, seed: int = 1000) -> DataFrame:
     """(fold, y, y_pred) of every row by a model learned from the other folds' rows, which are weighted by
-    n / (2 n_class). One Spark ML fit for each fold; folds are few. No rows give none."""
+    n / (2 n_class). One Spark ML fit for each fold, but for `mlp`, whose folds learn together; folds are few. No rows
+    give none."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model}")
+    if model == "mlp":
+        return perceptron_predictions(df, features, target, fold, seed)
     rows = feature_vectors(df.where(F.col(target).isNotNull()), features, "raw").select(F.col(fold).alias("fold"), F.col(target).cast("double").alias("y"), "raw")
     parts = []
     for k in [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]:
@@ -54,13 +61,9 @@ def predictions(df: DataFrame, features: Sequence[str], model: str, target: str
         train, test = scaler.transform(train).withColumn("w", weight), scaler.transform(test)
         if model == "random_forest":
             learner = RandomForestClassifier(labelCol="y", weightCol="w", numTrees=trees, minInstancesPerNode=3, seed=seed + int(k))
-        elif model == "rbf_svm":
+        else:
             train, test = (fourier_features(d, "features", len(features)) for d in (train, test))
             learner = LinearSVC(labelCol="y", weightCol="w", featuresCol="fourier", regParam=1.0 / total)
-        elif model == "mlp":
-            learner = MultilayerPerceptronClassifier(labelCol="y", layers=[len(features), 16, 2], seed=seed + int(k))
-        else:
-            raise ValueError(f"unknown model {model}")
         train = train.select("y", "w", learner.getFeaturesCol()).cache()
         fitted = Pipeline(stages=[learner]).fit(train)
         train.unpersist()

@@ -207,6 +207,16 @@ def balanced_logistic_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@query()
+def perceptron_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents from their length, lines and language by a perceptron, against the majority baseline."""
+    from fieldloom.operators.ablation import ablation
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("geom_chars"), F.size(F.split("text", "\n")).alias("geom_lines"), (F.col("lang") == "en").cast("int").alias("sem_en"))
+    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("fold", (F.col("doc_id") % 5).cast("int"))
+    return ablation(rows, ["geometry_semantic"], "quality", models=["mlp"])
+
+
 _ROLES = ("user", "assistant")
 
 

@@ -21,7 +21,7 @@ def duck(sf_dir):
 
 def test_every_query_has_sql_or_says_why():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) <= {"balanced_logistic_cv"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) <= {"balanced_logistic_cv", "perceptron_cv"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
