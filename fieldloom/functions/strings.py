@@ -92,13 +92,13 @@ def binary_label(text: Column) -> Column:
 
 def general_text(value: Column, digits: int = 6) -> Column:
     """The shortest of fixed and exponent notation with so many significant digits and no zeros at the end; Spark's
-    own format keeps the zeros."""
+    own format keeps the zeros. Zero keeps its sign; what isn't a number is `nan`, and only null is null."""
 
     @F.pandas_udf("string")
     def text(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if pd.isna(v) else f"{v + 0.0:.{digits}g}").astype(object)
+        return values.map(lambda v: f"{v:.{digits}g}").astype(object)
 
-    return text(value.cast("double"))
+    return F.when(value.isNotNull(), text(value.cast("double")))
 
 
 def rerooted(path: Column, root: str, marker: str) -> Column:

@@ -152,6 +152,15 @@ def test_texts(spark):
     assert f(s.rerooted(F.lit("/old/place/scene_out/a/b.ply"), "/new", "scene_out")) == "/new/scene_out/a/b.ply"
 
 
+def test_general_numbers_keep_the_sign_of_zero(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [0.0, -0.0, -0.25, 1 / 3, 1e15, nan, inf, -inf, None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").coalesce(1)
+    told = [r.t for r in rows.select("i", s.general_text(F.col("v")).alias("t")).orderBy("i").collect()]
+    assert told == ["0", "-0", "-0.25", "0.333333", "1e+15", "nan", "inf", "-inf", None]
+    assert [r.t for r in rows.where("i = 8 OR i = 1").select(s.general_text(F.col("v") / 1000, 15).alias("t")).collect()] == ["-0", None]
+
+
 def test_features(spark):
     rows = [("f", 1.0, 0.0, 0.0, 2.0, 3, 4, True, "metal"), ("f", 0.0, 1.0, 0.0, None, None, None, False, None)]
     df = spark.createDataFrame(rows, "frame string, x double, y double, z double, volume double, vertex_count long, face_count long, moving boolean, material string")
