@@ -48,8 +48,9 @@ def frame_name(frame: Column, prefix: str = "frame_") -> Column:
 
 def numeric_list(text: Column, size: int, separator: str = r"\s+") -> Column:
     """array<double> of exactly `size` numbers; null where one isn't a number or the count differs."""
-    values = F.transform(F.split(F.trim(text), separator), lambda x: F.trim(x).try_cast("double"))
-    return F.when((F.size(values) == size) & ~F.exists(values, lambda v: v.isNull()), values)
+    values = F.split(F.trim(text), separator).try_cast("array<double>")
+    # sorted, a null comes first
+    return F.when((F.size(values) == size) & F.get(F.sort_array(values), F.lit(0)).isNotNull(), values)
 
 
 def short_key(text: Column, length: int = 12) -> Column:

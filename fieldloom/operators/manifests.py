@@ -84,31 +84,41 @@ def validation_issues(manifest: DataFrame, name: str, model_index: DataFrame | N
     bad_pose = lambda c: F.col(c).isNotNull() & numeric_list(F.col(c), 6).isNull()
     missing = lambda c: ("error", F.col(c).isNull(), f"Missing required field '{c}'")
     entry = F.concat(F.lit("entries["), F.coalesce("model", F.lit("?")), F.lit("]"))
-    models = issues(manifest, name, entry, [missing("model"), missing("model_pose"), missing("static"), missing("links"), ("error", bad_pose("model_pose"), "model_pose has not six numbers")])
-    twice = manifest.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
-    twice = issues(twice, name, entry, [("error", (F.col("n") > 1) & F.col("model").isNotNull(), F.concat(F.lit("Duplicate model '"), F.col("model"), F.lit("'")))])
-    links = manifest.select(entry.alias("at"), F.posexplode("links").alias("i", "l")).select(F.concat("at", F.lit(".links["), F.col("i").cast("string"), F.lit("]")).alias("at"), "l.*")
-    of_links = issues(links, name, F.col("at"), [missing("link"), missing("link_pose"), missing("visuals"), ("error", bad_pose("link_pose"), "link_pose has not six numbers"), ("info", F.size("visuals") == 0, "Link has no visuals")])
-    visuals = links.select("at", F.posexplode("visuals").alias("i", "v")).select(F.concat("at", F.lit(".visuals["), F.col("i").cast("string"), F.lit("]")).alias("at"), "v.*")
+    # a row for each visual, and one for a link without visuals and a model without links; numbers are read once for each
+    models = manifest.select("model", "model_pose", "static", F.col("links").isNull().alias("no_links"), bad_pose("model_pose").alias("bad_model_pose"), F.posexplode_outer("links").alias("link_at", "l"))
+    links = models.select("*", "l.link", "l.link_pose", F.size("l.visuals").alias("n_visuals"), bad_pose("l.link_pose").alias("bad_link_pose"), F.posexplode_outer("l.visuals").alias("visual_at", "v"))
+    first = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    of = {"of_model": first("link_at") & first("visual_at"), "of_link": F.col("link_at").isNotNull() & first("visual_at"), "of_visual": F.col("visual_at").isNotNull()}
+    visuals = links.select("*", "v.*", *[c.alias(n) for n, c in of.items()])
+    visuals = visuals.withColumns({"bad_visual_pose": bad_pose("visual_pose"), "bad_scale": F.col("scale").isNotNull() & numeric_list(F.col("scale"), 3).isNull(), "sized": numeric_list(F.col("size"), 3)})
     kind = F.col("geometry_type")
-    sized = numeric_list(F.col("size"), 3)
+    of_models = [missing("model"), missing("model_pose"), missing("static"), ("error", F.col("no_links"), "Missing required field 'links'"), ("error", F.col("bad_model_pose"), "model_pose has not six numbers")]
+    of_links = [missing("link"), missing("link_pose"), ("error", F.col("n_visuals").isNull(), "Missing required field 'visuals'"), ("error", F.col("bad_link_pose"), "link_pose has not six numbers"), ("info", F.col("n_visuals") == 0, "Link has no visuals")]
     of_visuals = [
         missing("visual_name"), missing("visual_pose"), missing("geometry_type"),
-        ("error", bad_pose("visual_pose"), "visual_pose has not six numbers"),
+        ("error", F.col("bad_visual_pose"), "visual_pose has not six numbers"),
         ("warning", kind.isNotNull() & ~kind.isin(*GEOMETRIES), F.concat(F.lit("Unsupported geometry_type '"), kind, F.lit("'"))),
         ("error", (kind == "mesh") & F.col("uri").isNull(), "mesh visual has no uri"),
         ("warning", (kind == "mesh") & F.col("uri").isNotNull() & F.col("scale").isNull(), "scale is missing; 1 1 1 is assumed"),
-        ("warning", (kind == "mesh") & F.col("scale").isNotNull() & numeric_list(F.col("scale"), 3).isNull(), "scale has not three numbers"),
+        ("warning", (kind == "mesh") & F.col("bad_scale"), "scale has not three numbers"),
         ("error", (kind == "box") & F.col("size").isNull(), "box visual has no size"),
-        ("error", (kind == "box") & F.col("size").isNotNull() & sized.isNull(), "size has not three numbers"),
-        ("error", (kind == "box") & F.exists(sized, lambda v: v <= 0), "size values must be positive"),
+        ("error", (kind == "box") & F.col("size").isNotNull() & F.col("sized").isNull(), "size has not three numbers"),
+        ("error", (kind == "box") & (F.array_min("sized") <= 0), "size values must be positive"),
         ("error", kind.isin("cylinder", "sphere") & ~_positive("radius"), "radius must be positive"),
         ("error", (kind == "cylinder") & ~_positive("length"), "length must be positive"),
     ]
-    parts = [models, twice, of_links, issues(visuals, name, F.col("at"), of_visuals)]
+    rules = [(severity, F.col(level) & bad, text) for level, some in zip(of, (of_models, of_links, of_visuals), strict=True) for severity, bad, text in some]
+    number = lambda c: F.col(c).cast("string")
+    of_link = F.concat(entry, F.lit(".links["), number("link_at"), F.lit("]"))
+    of_visual = F.concat(of_link, F.lit(".visuals["), number("visual_at"), F.lit("]"))
+    rule = F.col("__rule")
+    place = F.when(rule < len(of_models), entry).when(rule < len(of_models) + len(of_links), of_link).otherwise(of_visual)
+    twice = manifest.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    twice = issues(twice, name, entry, [("error", (F.col("n") > 1) & F.col("model").isNotNull(), F.concat(F.lit("Duplicate model '"), F.col("model"), F.lit("'")))])
+    parts = [issues(visuals, name, place, rules), twice]
     if model_index is not None:
         named = visuals.where((kind == "mesh") & F.col("uri").startswith("model://")).withColumn("name", F.regexp_extract("uri", "^model://([^/]+)", 1))
-        parts.append(issues(named.join(model_index.select("name").distinct(), "name", "left_anti"), name, F.col("at"), [("error", F.lit(True), F.concat(F.lit("Unknown model in "), F.col("uri")))]))
+        parts.append(issues(named.join(model_index.select("name").distinct(), "name", "left_anti"), name, of_visual, [("error", F.lit(True), F.concat(F.lit("Unknown model in "), F.col("uri")))]))
     return union_issues(*parts)
 
 

@@ -14,10 +14,15 @@ ISSUE = "severity string, manifest string, location string, message string"
 
 
 def issues(df: DataFrame, manifest: str, location: Column, rules: Sequence[tuple[str, Column, Column | str]]) -> DataFrame:
-    """A row for each rule (severity, condition, message) that a row of `df` breaks, in one pass."""
-    told = [F.when(bad, F.struct(F.lit(severity).alias("severity"), (F.lit(text) if isinstance(text, str) else text).alias("message"))) for severity, bad, text in rules]
-    found = df.select(location.alias("location"), F.explode(F.array_compact(F.array(*told))).alias("i"))
-    return found.select("i.severity", F.lit(manifest).alias("manifest"), "location", "i.message")
+    """A row for each rule (severity, condition, message) that a row of `df` breaks, in one pass. Conditions give a rule's
+    number only, so that texts are made for what is broken, and the code of many rules stays small enough to be compiled."""
+    broken = F.explode(F.array(*[F.when(bad, F.lit(k)) for k, (_, bad, _) in enumerate(rules)]))
+    found = df.select("*", broken.alias("__rule")).where(F.col("__rule").isNotNull())
+    rule = F.col("__rule")
+    severity = F.get(F.array(*[F.lit(severity) for severity, _, _ in rules]), rule)
+    fixed = F.get(F.array(*[F.lit(text if isinstance(text, str) else None).cast("string") for _, _, text in rules]), rule)
+    message = F.coalesce(*[F.when(rule == k, text) for k, (_, _, text) in enumerate(rules) if not isinstance(text, str)], fixed)
+    return found.select(severity.alias("severity"), F.lit(manifest).alias("manifest"), location.alias("location"), message.alias("message"))
 
 
 def union_issues(*parts: DataFrame) -> DataFrame:

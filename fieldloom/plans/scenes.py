@@ -41,19 +41,24 @@ def link_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, text = F.col("l_linenumber"), lambda c: F.col(c).cast("string")
-    kind = F.element_at(F.array(*map(F.lit, ("mesh", "box", "sphere", "cylinder"))), (n % 4 + 1).cast("int"))
-    none = F.lit(None).cast("string")
-    visual = F.struct(
-        F.when(n != 6, F.lit("v")).alias("visual_name"), F.lit("0 0 3 0 0 0").alias("visual_pose"), F.when(n != 7, kind).otherwise("cone").alias("geometry_type"),
-        F.when((n % 4 == 0) & (F.col("l_suppkey") % 2 == 1), F.concat(F.lit("model://m/"), text("l_suppkey"), F.lit(".dae"))).alias("uri"), none.alias("scale"),
-        F.when(n % 4 == 1, F.concat((F.col("l_suppkey") % 5).cast("string"), F.lit(" 1 1"))).alias("size"), F.col("l_discount").cast("double").alias("radius"), F.col("l_tax").cast("double").alias("length"),
-    )
-    visuals = F.when((n == 2) & (F.col("l_returnflag") == "R"), F.array().cast(f"array<{manifests.VISUAL.simpleString()}>")).otherwise(F.array(visual))
-    pose = F.when(n != 3, "1 0 0 0 0 0").otherwise("1 0 0")
-    link = F.struct(n, F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity"), F.struct(text("l_partkey").alias("link"), pose.alias("link_pose"), visuals.alias("visuals")).alias("l"))
-    models = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(link)), lambda x: x["l"]).alias("links"))
-    return models.select(text("l_orderkey").alias("model"), F.concat(text("l_orderkey"), F.lit(" 2 3 0 0 0")).alias("model_pose"), (F.col("l_orderkey") % 2 == 0).alias("static"), "links")
+    """Only what links are made of is gathered, and they are made of an order's sorted rows."""
+    kinds, none = F.array(*map(F.lit, ("mesh", "box", "sphere", "cylinder"))), F.lit(None).cast("string")
+
+    def link(x: Column) -> Column:
+        n, supp, part = x["l_linenumber"], x["l_suppkey"], x["l_partkey"].cast("string")
+        kind = F.element_at(kinds, (n % 4 + 1).cast("int"))
+        visual = F.struct(
+            F.when(n != 6, F.lit("v")).alias("visual_name"), F.lit("0 0 3 0 0 0").alias("visual_pose"), F.when(n != 7, kind).otherwise("cone").alias("geometry_type"),
+            F.when((n % 4 == 0) & (supp % 2 == 1), F.concat(F.lit("model://m/"), supp.cast("string"), F.lit(".dae"))).alias("uri"), none.alias("scale"),
+            F.when(n % 4 == 1, F.concat((supp % 5).cast("string"), F.lit(" 1 1"))).alias("size"), x["l_discount"].cast("double").alias("radius"), x["l_tax"].cast("double").alias("length"),
+        )
+        visuals = F.when((n == 2) & (x["l_returnflag"] == "R"), F.array().cast(f"array<{manifests.VISUAL.simpleString()}>")).otherwise(F.array(visual))
+        return F.struct(part.alias("link"), F.when(n != 3, "1 0 0 0 0 0").otherwise("1 0 0").alias("link_pose"), visuals.alias("visuals"))
+
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount", "l_tax")))
+    models = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines.alias("lines"))
+    key = F.col("l_orderkey").cast("string")
+    return models.select(key.alias("model"), F.concat(key, F.lit(" 2 3 0 0 0")).alias("model_pose"), (F.col("l_orderkey") % 2 == 0).alias("static"), F.transform("lines", link).alias("links"))
 
 
 _MANIFEST = """WITH m AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1)::INT AS link_index, l_linenumber AS n,

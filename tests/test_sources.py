@@ -1,4 +1,5 @@
 import json
+import re
 import struct
 
 import pytest
@@ -188,3 +189,31 @@ def test_scene_xml_and_wall(spark, tmp_path):
         u, v = (bx - ax, by - ay, bz - az), (cx - ax, cy - ay, cz - az)
         normal = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
         assert sum(n * p for n, p in zip(normal, (ax + bx + cx, ay + by + cy, az + bz + cz), strict=True)) > 0
+
+
+def test_a_manifest_is_validated_in_one_pass_of_compiled_code(spark):
+    kinds = dict.fromkeys(manifests.VISUAL.names)
+    visual = {**kinds, "visual_name": "v", "visual_pose": "0 0 0 0 0 0", "geometry_type": "box", "size": "1 NaN 2"}
+    links = [("l", "0 0 0 0 0 0", [visual, {**visual, "size": "1 0 2"}, None]), ("bare", "0 0", []), ("none", None, None), None]
+    rows = [("m", "0 0 0 0 0", True, None, None, links), ("m", "0 0 0 0 0 0", None, None, None, []), (None, None, True, None, None, None)]
+    found = manifests.validation_issues(spark.createDataFrame(rows, manifests.MANIFEST), "x")
+    assert sorted((r.location, r.severity, r.message) for r in found.collect()) == sorted(
+        [("entries[m]", "error", "model_pose has not six numbers"), ("entries[m]", "error", "Missing required field 'static'"), ("entries[m]", "error", "Duplicate model 'm'")]
+        + [("entries[?]", "error", f"Missing required field '{c}'") for c in ("model", "model_pose", "links")]
+        + [("entries[m].links[0].visuals[1]", "error", "size values must be positive")]
+        + [("entries[m].links[0].visuals[2]", "error", f"Missing required field '{c}'") for c in ("visual_name", "visual_pose", "geometry_type")]
+        + [("entries[m].links[1]", "error", "link_pose has not six numbers"), ("entries[m].links[1]", "info", "Link has no visuals")]
+        + [("entries[m].links[2]", "error", f"Missing required field '{c}'") for c in ("link_pose", "visuals")]
+        + [("entries[m].links[3]", "error", f"Missing required field '{c}'") for c in ("link", "link_pose", "visuals")]
+    )
+    lines = spark.range(9).groupBy(F.col("id").cast("string").alias("model")).agg(F.collect_list(F.struct(F.lit("l").alias("link"), F.lit("0").alias("link_pose"), F.array().cast(f"array<{manifests.VISUAL.simpleString()}>").alias("visuals"))).alias("links"))
+    found = manifests.validation_issues(lines.select("model", F.lit("0").alias("model_pose"), F.lit(True).alias("static"), "links"), "x")
+    assert len(re.findall(r"functions=\[collect_list", found._jdf.queryExecution().toString().partition("Physical Plan")[2])) == 1
+    # the JVM compiles no method of over 8000 bytes
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = manifests.validation_issues(lines.select("model", F.lit("0").alias("model_pose"), F.lit(True).alias("static"), "links"), "x")
+        code = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000
