@@ -7,8 +7,11 @@ import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
@@ -16,58 +19,91 @@ from pyspark.sql.types import StructType
 from fieldloom.sources.files import files_below, ranges, read_range, size_of
 
 SCHEMA = "file string, start long, model string, link string, sec long, nsec int, header map<string,string>, at array<double>, orientation array<double>, error string"
-#: Bytes of a log that a task reads, and that are looked at together.
+#: Bytes of a log's part, and that are looked at together.
 PART_BYTES, STEP = 32 << 20, 1 << 16
+#: From so many tasks on, one reads several small parts, as long as they have no more bytes than a part by default: what a task
+#: and its output file cost would else be most of the time.
+TASKS = 256
 OPEN = b"pose {"
-_FIELD = re.compile(r'([A-Za-z_]\w*)\s*(?:\{|:\s*("(?:[^"\\]|\\.)*"|[^\s{}"]+))|(\})')
-_STACK = re.compile(rb'"(?:[^"\\\n]|\\.)*"|[{}]')
+_QUOTED = r'"(?:[^"\\\n]++|\\.)*+"'
+_FIELD = re.compile(r'([A-Za-z_]\w*+)\s*+(?:\{|:\s*+("(?:[^"\\]++|\\.)*+"|[^\s{}"]++))|(\})')
+_STACK = re.compile(rf"{_QUOTED}|[{{}}]".encode())
+ARROW = pa.schema(
+    [("file", pa.string()), ("start", pa.int64()), ("model", pa.string()), ("link", pa.string()), ("sec", pa.int64()), ("nsec", pa.int32()), ("header", pa.map_(pa.string(), pa.string()))]
+    + [("at", pa.list_(pa.float64())), ("orientation", pa.list_(pa.float64())), ("error", pa.string())]
+)
+#: Rows that are handed to Spark together.
+ROWS = 4096
 
 
-def _tree(text: str) -> dict[str, list[Any]]:
-    """A block's fields, nested; a field that comes again has several values."""
+def _nested(depth: int) -> str:
+    return rf'(?:[^{{}}"]++|{_QUOTED}|\{{{_nested(depth - 1)}\}})*+' if depth else rf'(?:[^{{}}"]++|{_QUOTED})*+'
+
+
+#: A block whose braces match, nested so deep and with all quotes closed, as nearly all are; others are looked at brace by brace.
+_WHOLE = re.compile(rf"pose \{{{_nested(8)}\}}".encode())
+
+
+def _inner(tree: dict[str, list[Any]], name: str) -> dict[str, list[Any]]:
+    found = [x for x in tree.get(name, []) if isinstance(x, dict)]
+    return found[-1] if found else {}
+
+
+@lru_cache(256)
+def _places(names: tuple[str, ...], given: tuple[bool, ...], closes: tuple[str, ...]) -> tuple[Any, list[tuple[Any, Any]], list[Any]]:
+    """Which of a block's fields are its name, its header's keys and values and its numbers: found once for all blocks with
+    the same fields. A field that comes again has its last value; one that is nested where a value should be is a dict."""
     root: dict[str, list[Any]] = {}
     stack = [root]
-    for name, value, close in _FIELD.findall(text):
+    for i, (name, value, close) in enumerate(zip(names, given, closes, strict=True)):
         if close:
             if len(stack) > 1:
                 stack.pop()
         elif value:
-            stack[-1].setdefault(name, []).append(value[1:-1] if value.startswith('"') else value)
+            stack[-1].setdefault(name, []).append(i)
         else:
             inner: dict[str, list[Any]] = {}
             stack[-1].setdefault(name, []).append(inner)
             stack.append(inner)
-    return root
+    last = lambda tree, name: tree[name][-1] if name in tree else None
+    pose = _inner(root, "pose") or root
+    header = _inner(pose, "header")
+    stamp = _inner(header, "stamp") or _inner(pose, "stamp")
+    pairs = [(last(x, "key"), last(x, "value")) for x in header.get("data", []) if isinstance(x, dict) and "key" in x]
+    at, turn = _inner(pose, "position"), _inner(pose, "orientation")
+    return last(pose, "name"), pairs, [*[last(stamp, n) for n in ("sec", "nsec")], *[last(at, a) for a in "xyz"], *[last(turn, a) for a in "xyzw"]]
 
 
-def _inner(tree: dict[str, list[Any]], name: str) -> dict[str, list[Any]]:
-    found = [x for x in tree.get(name, []) if isinstance(x, dict)]
-    return found[-1] if found else {}
+def _text(values: Sequence[str], place: Any) -> str:
+    if place is None:
+        return ""
+    if isinstance(place, dict):
+        told = lambda x: {k: [told(v) for v in vs] for k, vs in x.items()} if isinstance(x, dict) else _text(values, x)
+        return str(told(place))
+    value = values[place]
+    return value[1:-1] if value[0] == '"' else value
 
 
-def _number(tree: dict[str, list[Any]], name: str) -> float | None:
+def _number(values: Sequence[str], place: Any) -> float | None:
     """Numbers that are left out are 0; what isn't one is null."""
+    if place is None:
+        return 0.0
     try:
-        return float(tree[name][-1]) if name in tree else 0.0
-    except (TypeError, ValueError):
+        return float(_text(values, place))
+    except ValueError:
         return None
 
 
 def parsed(text: str, whole: bool = True) -> tuple:
     """model, link, sec, nsec, header, at, orientation and error (the first thing that is wrong) of a block."""
-    top = _tree(text)
-    pose = _inner(top, "pose") or top
-    header = _inner(pose, "header")
-    stamp = _inner(header, "stamp") or _inner(pose, "stamp")
-    pairs: dict[str, str] = {}
-    for data in [x for x in header.get("data", []) if isinstance(x, dict)]:
-        if "key" in data:
-            pairs[str(data["key"][-1])] = str(data.get("value", [""])[-1])
-    name = pose.get("name", [""])[-1]
-    scope, _, own = name.rpartition("::") if isinstance(name, str) else ("", "", "")
-    at = [_number(_inner(pose, "position"), a) for a in "xyz"]
-    turn = [_number(_inner(pose, "orientation"), a) for a in "xyzw"]
-    finite = all(v is not None and math.isfinite(v) for v in at + turn)
+    names, values, closes = zip(*found, strict=True) if (found := _FIELD.findall(text)) else ((), (), ())
+    named, told, places = _places(names, tuple(map(bool, values)), closes)
+    pairs = {_text(values, k): _text(values, v) for k, v in told}
+    name = "" if isinstance(named, dict) else _text(values, named)
+    scope, _, own = name.rpartition("::")
+    sec, nsec, *numbers = [_number(values, p) for p in places]
+    at, turn = numbers[:3], numbers[3:]
+    finite = all(v is not None and math.isfinite(v) for v in numbers)
     problems = [
         (not whole, "braces don't match"),
         (not (scope and own), "name isn't model::link"),
@@ -77,7 +113,7 @@ def parsed(text: str, whole: bool = True) -> tuple:
     ]
     error = next((why for bad, why in problems if bad), None)
     long = lambda v: int(v) if v is not None and math.isfinite(v) else None
-    return scope or None, own or None, long(_number(stamp, "sec")), long(_number(stamp, "nsec")), pairs, at, turn, error
+    return scope or None, own or None, long(sec), long(nsec), pairs, at, turn, error
 
 
 def _begins(data: bytes, at: int) -> bool:
@@ -121,7 +157,14 @@ def blocks_between(path: str, start: int, end: int, last: bool) -> Iterator[tupl
                 if at < 0:
                     looked = max(looked, limit - len(OPEN) + 1) if not done else limit
                     break
-                opened, depth, looked, following = at, 0, at, None
+                opened, depth, looked, following = at, 0, at, data.find(b"\n" + OPEN, at + 1, limit)
+                found = _WHOLE.match(data, at, limit)
+                if found and (following < 0 or found.end() <= following):
+                    looked = found.end()
+                    if place + looked > start:
+                        yield place + opened, found.group(), True
+                    opened = -1
+                    continue
             found = _STACK.search(data, looked, limit)
             if following is None:
                 following = data.find(b"\n" + OPEN, opened + 1, limit)
@@ -156,9 +199,23 @@ class Range(InputPartition):
     last: bool
 
 
-def _rows(part: Range) -> Iterator[tuple]:
-    for start, text, whole in blocks_between(part.path, part.start, part.end, part.last):
-        yield (part.path, start, *parsed(text.decode("utf-8", "replace"), whole))
+@dataclass
+class Ranges(InputPartition):
+    parts: list[Range]
+
+
+def dealt(parts: Sequence[Range], most: int) -> list[Ranges]:
+    """The parts of at most so many bytes, by tasks."""
+    n = max(1, min(PART_BYTES // most, -(-len(parts) // TASKS)))
+    return [Ranges(list(parts[k : k + n])) for k in range(0, len(parts), n)]
+
+
+def _rows(task: Ranges) -> Iterator[pa.RecordBatch]:
+    blocks = ((part.path, *block) for part in task.parts for block in blocks_between(part.path, part.start, part.end, part.last))
+    while some := list(islice(blocks, ROWS)):
+        rows = [(path, start, *parsed(text.decode("utf-8", "replace"), whole)) for path, start, text, whole in some]
+        columns = [[list(x.items()) for x in c] if pa.types.is_map(f.type) else c for f, c in zip(ARROW, zip(*rows, strict=True), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(ARROW, columns, strict=True)], schema=ARROW)
 
 
 class PoseReader(DataSourceReader):
@@ -166,10 +223,10 @@ class PoseReader(DataSourceReader):
         self.paths, self.most = json.loads(options["paths"]), int(options["part_bytes"])
 
     def partitions(self) -> Sequence[InputPartition]:
-        sizes = [(p, size_of(p)) for p in self.paths]
-        return [Range(path, a, b, b == dict(sizes)[path]) for path, a, b in ranges(sizes, self.most)]
+        sizes = {p: size_of(p) for p in self.paths}
+        return dealt([Range(path, a, b, b == sizes[path]) for path, a, b in ranges([(p, sizes[p]) for p in self.paths], self.most)], self.most)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return _rows(partition)
 
 
@@ -191,9 +248,9 @@ class PoseStream(DataSourceStreamReader):
         for path, size in sorted(end.items()):
             begin = start.get(path, 0)
             out += [Range(path, begin + a, begin + b, False) for _, a, b in ranges([(path, size - begin)], self.most) if size > begin]
-        return out
+        return dealt(out, self.most)
 
-    def read(self, partition: Range) -> Iterator[tuple]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         return _rows(partition)
 
 

@@ -1,3 +1,4 @@
+import json
 import random
 import re
 
@@ -166,3 +167,32 @@ def test_a_solver_run_that_stops_keeps_what_is_done(spark, tmp_path):
     third = {p.name: p.read_text() for p in calls.iterdir()}
     assert all(third[k] == before[k] for k in before if int(k) in done)  # what was solved isn't solved again
     assert radio.solve_in_parts(links.limit(0), solver(set()), "y double", str(tmp_path / "none")).collect() == []
+
+
+def test_many_small_parts_are_few_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_text(some_log(k))
+    folder = str(tmp_path / "in")
+    stream = pose_source.PoseStream({"path": folder, "part_bytes": "50"})
+    reader = pose_source.PoseReader({"paths": json.dumps(files.files_below(folder)), "part_bytes": "50"})
+    rows = lambda tasks, of: sorted((repr(r) for t in tasks for batch in of.read(t) for r in batch.to_pylist()))
+    few = stream.partitions({}, stream.latestOffset()), reader.partitions()
+    assert all(len(tasks) <= pose_source.TASKS for tasks in few)
+    told = rows(few[0], stream), rows(few[1], reader)
+    monkeypatch.setattr(pose_source, "PART_BYTES", 50)  # a part for each task
+    many = stream.partitions({}, stream.latestOffset()), reader.partitions()
+    assert all(len(tasks) > pose_source.TASKS for tasks in many)
+    assert all([p for t in a for p in t.parts] == [p for t in b for p in t.parts] for a, b in zip(few, many, strict=True))
+    assert told == (rows(many[0], stream), rows(many[1], reader))
+
+
+def test_odd_blocks_are_told(tmp_path):
+    told = pose_source.parsed('pose {\n name: "m::l"\n header {\n data {\n key: "k"\n value: "a"\n value: "b"\n }\n data {\n key {\n x: "1"\n }\n }\n }\n position {\n x: "2"\n y {\n }\n }\n}')
+    assert told == ("m", "l", 0, 0, {"k": "b", "{'x': ['1']}": ""}, [2.0, None, 0.0], [0.0] * 4, "a number isn't finite")
+    assert pose_source.parsed("pose {\n name {\n }\n}")[:2] == (None, None) and pose_source.parsed("")[-1] == "name isn't model::link"
+    path = tmp_path / "log.txt"
+    deep = "pose {\n" + "a {\n" * 20 + "}\n" * 20 + "}\n"
+    path.write_text(deep + 'pose {\n a: "}\n}\n' + deep)
+    found = list(pose_source.blocks_between(str(path), 0, path.stat().st_size, True))
+    assert [(b.decode().strip(), ok) for _, b, ok in found] == [(deep.strip(), True), ('pose {\n a: "}', True), (deep.strip(), True)]
