@@ -76,15 +76,17 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], ordinal:
     """
     lags = dict(lags or {})
     plain = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant"))]
-    by = [*keys, *order, TIE]
-    rows = df.withColumn(TIE, F.xxhash64(*plain)).repartitionByRange(*by).sortWithinPartitions(*by).drop(TIE)
+    # Spark hands columns to a function by unquoted names, so they go by their places
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    by = [*[F.col(f"`{c}`") if c in names else F.col(c) for c in (*keys, *order)], F.col(TIE)]
+    rows = df.withColumn(TIE, F.xxhash64(*plain)).repartitionByRange(*by).sortWithinPartitions(*by).drop(TIE).toDF(*names.values())
     kinds = {f.name: f.dataType for f in df.schema}
     more = [T.StructField(PART, T.LongType()), T.StructField(PLACE, T.LongType()), *[T.StructField(n, kinds[c]) for n, c in lags.items()]]
-    schema = T.StructType([*df.schema.fields, *more, T.StructField(HEAD, T.BooleanType()), T.StructField(TAIL, T.BooleanType())])
-    rows = settled(rows.mapInArrow(_first_pass(keys, lags), schema), "numbered")
+    schema = T.StructType([*[T.StructField(names[f.name], f.dataType) for f in df.schema], *more, T.StructField(HEAD, T.BooleanType()), T.StructField(TAIL, T.BooleanType())])
+    rows = settled(rows.mapInArrow(_first_pass([names[k] for k in keys], {n: names[c] for n, c in lags.items()}), schema), "numbered")
 
-    named = [F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]
-    values = F.struct(F.lit(True).alias("__any"), *[F.col(c).alias(n) for n, c in lags.items()])
+    named = [F.col(names[k]).alias(f"__key{i}") for i, k in enumerate(keys)]
+    values = F.struct(F.lit(True).alias("__any"), *[F.col(names[c]).alias(n) for n, c in lags.items()])
     heads = rows.where(F.col(HEAD) & (F.col(PLACE) == 0)).select(PART, *named, F.lit(0).alias("__kind"), F.lit(None).cast("long").alias("__n"), F.when(F.lit(False), values).alias("__values"))
     tails = rows.where(TAIL).select(PART, *named, F.lit(1).alias("__kind"), (F.col(PLACE) + 1).alias("__n"), values.alias("__values"))
     earlier = Window.partitionBy(*[f"__key{i}" for i in range(len(keys))]).orderBy(PART, "__kind").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,5 +95,5 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], ordinal:
     # a row for each part at most
     both = rows.join(F.broadcast(carried), (F.col(PART) == F.col("__carried")) & F.col(HEAD), "left")
     place = F.col(PLACE) + F.coalesce("__before", F.lit(0))
-    found = [F.when(F.col(PLACE) == 0, F.col(f"__last.{n}")).otherwise(F.col(n)).alias(n) for n in lags]
-    return both.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(ordinal), *found)
+    found = [F.when(F.col(PLACE) == 0, F.col("__last")[n]).otherwise(F.col(f"`{n}`")).alias(n) for n in lags]
+    return both.select(*[F.col(n).alias(c) for c, n in names.items()], place.alias(ordinal), *found)
