@@ -37,12 +37,15 @@ ROUNDS = 2
 STEPS, BATCH, RATE = 2000, 8192, 0.05
 #: The scores of all branches are held for so many words at once, which a core's cache has room for.
 CACHED = 1024
+#: So many rows of a run are added up one after another.
+RUN = 24
 #: Words of a learner.
 LEARNER_WORDS = 1 << 21
 #: A task's distinct words are sent on when there are more.
 PENDING = 1 << 20
 COUNTS = "word long, ending long, n long"
-JUDGED = "row long, doc_id long, n_tokens long, part double, once long, rest array<struct<word:long,twig:int>>"
+NUMBERED = "row long, doc_id long, place long, size long, twigs binary, n_tokens long, share double, once long, rest array<long>"
+JUDGED = "row long, doc_id long, n_tokens long, part double, once long"
 
 
 def _sorted(numbers: np.ndarray, most: int) -> np.ndarray:
@@ -69,6 +72,30 @@ def _shared_twig(ending: np.ndarray, single: int, twigs: int) -> np.ndarray:
     return _branch(ending) * twigs + single + (mix64(ending.astype(U) + U(1 << 32)) >> U(40)).astype(np.int64) % (twigs - single)
 
 
+def run_sums(x: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The rows `at` of x, added up in runs of `count` rows: RUN of a run at a time, whole rows of all runs at once, and then
+    those sums in the same way."""
+    while True:
+        parts = -(-count // RUN)
+        last = np.cumsum(parts) - 1
+        size = np.full(last[-1] + 1 if len(last) else 0, RUN)
+        size[last] = count - (parts - 1) * RUN
+        # the longest first, so that those with another row are always the first ones
+        order = np.argsort((RUN - size).astype(np.uint8), kind="stable")
+        place = (np.cumsum(size) - size)[order]
+        longer = len(size) - np.cumsum(np.bincount(size, minlength=RUN + 1))
+        total = np.take(x, at[place], axis=0, mode="clip")
+        more = np.empty_like(total)
+        for r in range(1, RUN):
+            some = int(longer[r])
+            place += 1
+            total[:some] += np.take(x, at[place[:some]], axis=0, mode="clip", out=more[:some])
+        more[order] = total
+        if len(parts) == len(size):
+            return more
+        x, at, count = more, np.arange(len(size)), parts
+
+
 @dataclass
 class Vocabulary:
     """The most frequent words, sorted, with twig and count; `sums`: of each twig, the sum of its words' counts and a
@@ -86,6 +113,11 @@ class Vocabulary:
 
     slots: np.ndarray | None = None
 
+    @property
+    def kind(self) -> np.dtype:
+        """In which a table has twigs."""
+        return np.dtype(np.uint16 if self.twigs * BRANCHES <= 1 << 16 else np.uint32)
+
     def sent(self) -> Vocabulary:
         """What tasks need."""
         return replace(self, counts=None, slots=None)
@@ -139,22 +171,31 @@ class Network:
 
     def neighbours(self, twig: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows of `near` for the words `at`; a place beyond the text has a row of its own."""
-        text = np.searchsorted(first, at, "right") - 1
-        low, high = first[text], first[text + 1]
-        out = np.empty((len(at), 2 * SIDE), np.int64)
+        wide, place = self.spread(twig, first)
+        return self.around(wide, place[at])
+
+    def spread(self, twig: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words with SIDE places beyond a text before the first text and after each, and where each word stands there."""
+        count = np.diff(first)
+        place = np.arange(len(twig)) + SIDE * (1 + np.repeat(np.arange(len(count)), count))
+        wide = np.full(len(twig) + SIDE * (1 + len(count)), self.groups)
+        wide[place] = twig
+        return wide, place
+
+    def around(self, wide: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """`neighbours` of the words that stand at `place` in `wide`."""
+        out = np.empty((len(place), 2 * SIDE), np.int64)
         for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            place = at + shift
-            near = np.take(twig, place, mode="clip")
-            near[(place < low) | (place >= high)] = self.groups
-            np.add(near, k * (self.groups + 1), out=out[:, k])
+            np.add(np.take(wide, place + shift, mode="clip"), k * (self.groups + 1), out=out[:, k])
         return out
 
     def hidden(self, rows: np.ndarray) -> np.ndarray:
         """With a last column of ones, for the layers' constants."""
         total = np.empty((len(rows), HIDDEN + 1), np.float32)
         x = np.take(self.near, rows[:, 0], axis=0, mode="clip")
+        more = np.empty_like(x)
         for k in range(1, rows.shape[1]):
-            x += np.take(self.near, rows[:, k], axis=0, mode="clip")
+            x += np.take(self.near, rows[:, k], axis=0, mode="clip", out=more)
         x += self.bias
         np.tanh(x, out=total[:, :HIDDEN])
         total[:, HIDDEN] = 1
@@ -217,7 +258,7 @@ class Network:
             p, _, whole = self._branches(some, mine, reach)
             p[each[: len(mine)], mine] -= whole
             whole *= n
-            layer += (p.T @ (some / whole[:, None])).T
+            layer += (some / whole[:, None]).T @ p
             np.divide(p @ out, whole[:, None], out=back[a : a + CACHED])
         q, _, whole = self._twigs(h, runs, leaf)
         q[leaf, each] -= whole
@@ -231,11 +272,8 @@ class Network:
         order = _sorted(flat, len(self.near))
         flat = flat[order]
         start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        # each hidden place by itself: sums that run along memory
-        near, order, some = np.empty((HIDDEN, len(start)), np.float32), order // rows.shape[1], np.empty(len(flat), np.float32)
-        for x, total in zip(np.ascontiguousarray(back.T), near, strict=True):
-            np.add.reduceat(np.take(x, order, mode="clip", out=some), start, out=total)
-        return flat[start], np.ascontiguousarray(near.T), [back.sum(axis=0), layer[:HIDDEN], layer[HIDDEN], inner]
+        near = run_sums(back, order // rows.shape[1], np.diff(np.append(start, len(flat))))
+        return flat[start], near, [back.sum(axis=0), layer[:HIDDEN], layer[HIDDEN], inner]
 
     def learn(self, rows: np.ndarray, twig: np.ndarray, rate: float) -> None:
         """A step down the gradient, each weight at a rate by the sum of its squared gradients so far (Adagrad)."""
@@ -315,12 +353,47 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(known, twig, n, twigs, single, sums, total, counts.select("word", "n") if len(known) < distinct else None)
 
 
+def numbered(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """A table with a row for each row: number, doc_id, a hash of doc_id and text, the text's bytes, its words' twigs, how many
+    those are, the summed logarithms of the words' shares of their twigs, how many were counted once only, and the words whose
+    counts aren't known here, which are in neither. Texts are read and their words found once for all rounds and the scores."""
+    sent, whole = docs.sparkSession.sparkContext.broadcast(known.sent()), known.counts is None
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        kind, row, log_sums = known.kind, TaskContext.get().partitionId() << 40, np.log(known.sums)
+        for batch in batches:
+            for t in texts(batch.column(2)):
+                word, ending, first = word_numbers(t)
+                twig, n = known.of(word, ending)
+                n = np.maximum(n, 0) if whole else n
+                other = n < 0
+                share = np.where(other, 0.0, np.log(np.maximum(n, 0) + 0.5)) - log_sums[twig]
+                share, once = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[first]) for x in (share, n == 1))
+                ends = np.concatenate([[0], np.cumsum(other)])[first].astype(np.int32)
+                offsets = (first * kind.itemsize).astype(np.int32)
+                columns = [
+                    pa.array(np.arange(row, row + len(t))),
+                    *(batch.column(c).slice(t.first, len(t)) for c in (0, 1)),
+                    pa.array(np.diff(t.off)),
+                    pa.Array.from_buffers(pa.binary(), len(t), [None, pa.py_buffer(offsets), pa.py_buffer(twig.astype(kind))]),
+                    *(pa.array(x) for x in (np.diff(first), share, once.astype(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(word[other])),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "place", "size", "twigs", "n_tokens", "share", "once", "rest"])
+                row += len(t)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text"), "text").toDF("doc_id", "place", "text")
+    return staged(rows.mapInArrow(number, NUMBERED), "numbered")
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts | None]]:
-    """Of rows (learner, text) that are sorted: each learner's texts in slices that depend on nothing but those texts, and
-    after the last one (learner, None)."""
+    """Of rows (learner, text) or (learner, what is had of a text, the text's bytes) that are sorted: each learner's in slices
+    that depend on nothing but those texts, and after the last one (learner, None)."""
     learner, waiting, size = -1, [], 0
     for batch in batches:
-        own, lengths = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        own, lengths = batch.column(0).to_numpy(), batch.column(2) if batch.num_columns > 2 else pc.binary_length(batch.column(1))
+        lengths = lengths.to_numpy(zero_copy_only=False)
         a = 0
         for i in range(batch.num_rows + 1):
             ended = i == batch.num_rows or own[i] != learner
@@ -347,12 +420,16 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, learner_word
     each round their weights are averaged, by how many words each learned from. Which documents a learner has, and in which order,
     is told by a hash of doc_id and text: how rows are dealt to tasks changes nothing, and more documents are more learners, not
     smaller ones."""
-    spark, net = docs.sparkSession, Network.of(known)
-    sent = spark.sparkContext.broadcast(known.sent())
+    return _learned(numbered(docs, known), known, rounds, learner_words)
+
+
+def _learned(rows: DataFrame, known: Vocabulary, rounds: int = ROUNDS, learner_words: int = LEARNER_WORDS) -> Network:
+    """`train` on `numbered` rows."""
+    spark, net = rows.sparkSession, Network.of(known)
+    twigs, kind = known.twigs, known.kind
     learners = max(1, round(known.total / learner_words))
-    place = F.xxhash64("doc_id", "text")
-    dealt = docs.where(F.length("text") > 0).select(F.pmod(place, F.lit(learners)).cast("long").alias("learner"), place.alias("place"), "text")
-    dealt = dealt.repartitionByRange(learners, "learner").sortWithinPartitions("learner", "place", "text").select("learner", "text")
+    dealt = rows.where(F.col("size") > 0).select(F.pmod("place", F.lit(learners)).cast("long").alias("learner"), "place", "twigs", "size")
+    dealt = dealt.repartitionByRange(learners, "learner").sortWithinPartitions("learner", "place", "twigs", "size").select("learner", "twigs", "size")
     size = min(BATCH, max(32, known.total // STEPS))
     rate = RATE * max(1.0, (size / 2048) ** 0.5)
     for k in range(rounds):
@@ -365,18 +442,18 @@ def train(docs: DataFrame, known: Vocabulary, rounds: int = ROUNDS, learner_word
                     yield pieces(own.flat, seen, learner)
                     own, seen = None, 0
                     continue
-                own = own or Network(start.value.copy(), sent.value.twigs)
-                number, ending, first = word_numbers(t)
-                twig = sent.value.of(number, ending)[0]
+                own = own or Network(start.value.copy(), twigs)
+                twig, first = t.buf.view(kind).astype(np.int64), t.off // kind.itemsize
+                wide, place = own.spread(twig, first)
                 at = learned_places(first, k, rounds)
                 at = at[np.random.default_rng(len(at)).permutation(len(at))]
                 for a in range(0, len(at), size):
                     some = at[a : a + size]
-                    own.learn(own.neighbours(twig, first, some), twig[some], rate)
+                    own.learn(own.around(wide, place[some]), twig[some], rate)
                 seen += len(at)
 
         flat = gathered(dealt.mapInArrow(learn, BLOB), np.float32, mean=True)
-        net = Network(flat, known.twigs) if len(flat) == len(net.flat) else net
+        net = Network(flat, twigs) if len(flat) == len(net.flat) else net
     return net
 
 
@@ -391,39 +468,33 @@ def score(docs: DataFrame, known: Vocabulary, net: Network) -> DataFrame:
     a text, given the words on both sides, and how many of its words were counted once only. Without words (or null)
     all are 0. A row for each row; repeated and null doc_ids come out as they are, other columns are not looked at.
     Words that were not counted are taken as one word with half an occurrence in each twig."""
-    context = docs.sparkSession.sparkContext
-    sent, weights = context.broadcast(known.sent()), context.broadcast(net.flat)
-    whole = known.counts is None
+    return _judged(numbered(docs, known), known, net)
+
+
+def _judged(numbers: DataFrame, known: Vocabulary, net: Network) -> DataFrame:
+    """`score` of `numbered` rows."""
+    weights, twigs, kind = numbers.sparkSession.sparkContext.broadcast(net.flat), known.twigs, known.kind
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        own, row, log_sums = Network(weights.value, known.twigs), TaskContext.get().partitionId() << 40, np.log(known.sums)
+        own = Network(weights.value, twigs)
         for batch in batches:
-            for t in texts(batch.column(1), 1 << 18):
-                number, ending, first = word_numbers(t)
-                twig, n = known.of(number, ending)
+            for t in texts(batch.column(0), 1 << 17):
+                twig, first = t.buf.view(kind).astype(np.int64), t.off // kind.itemsize
+                wide, place = own.spread(twig, first)
                 each = np.zeros(len(twig))
                 for a in range(0, len(twig), 4096):
-                    at = np.arange(a, min(a + 4096, len(twig)))
-                    each[at] = own.log_probs(own.neighbours(twig, first, at), twig[at])
-                n = np.maximum(n, 0) if whole else n
-                other = n < 0
-                each += np.where(other, 0.0, np.log(np.maximum(n, 0) + 0.5)) - log_sums[twig]
-                total, once = (np.diff(np.concatenate([[0.0], np.cumsum(x)])[first]) for x in (each, n == 1))
-                ends = np.concatenate([[0], np.cumsum(other)])[first].astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(number[other]), pa.array(twig[other].astype(np.int32))], ["word", "twig"]))
-                columns = [pa.array(np.arange(row, row + len(t))), batch.column(0).slice(t.first, len(t)), pa.array(np.diff(first)), pa.array(total), pa.array(once.astype(np.int64)), rest]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "part", "once", "rest"])
-                row += len(t)
+                    each[a : a + 4096] = own.log_probs(own.around(wide, place[a : a + 4096]), twig[a : a + 4096])
+                row, doc_id, count, share, once = (batch.column(c).slice(t.first, len(t)) for c in range(1, 6))
+                part = np.diff(np.concatenate([[0.0], np.cumsum(each)])[first]) + share.to_numpy()
+                yield pa.RecordBatch.from_arrays([row, doc_id, count, pa.array(part), once], names=["row", "doc_id", "n_tokens", "part", "once"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, JUDGED)
+    rows = numbers.select("twigs", "row", "doc_id", "n_tokens", "share", "once").mapInArrow(judge, JUDGED)
     total, once = F.col("part"), F.col("once")
     if known.counts is not None:
-        rows = staged(rows, "judged")
-        rest = rows.select("row", F.explode("rest.word").alias("word")).join(known.counts.hint("shuffle_merge"), "word", "left")
+        rest = numbers.select("row", F.explode("rest").alias("word")).join(known.counts.hint("shuffle_merge"), "word", "left")
         n: Column = F.coalesce("n", F.lit(0))
         more = rest.groupBy("row").agg(F.sum(F.log(n + 0.5)).alias("more"), F.count_if(n == 1).alias("more_once"))
-        rows = rows.drop("rest").join(more, "row", "left")
+        rows = rows.join(more, "row", "left")
         total, once = total + F.coalesce("more", F.lit(0.0)), once + F.coalesce("more_once", F.lit(0))
     return rows.select("doc_id", "n_tokens", total.alias("log_likelihood"), (total / F.greatest("n_tokens", F.lit(1))).alias("mean_log_prob"), once.alias("n_once"))
 
@@ -431,4 +502,5 @@ def score(docs: DataFrame, known: Vocabulary, net: Network) -> DataFrame:
 def scored(docs: DataFrame) -> DataFrame:
     """Learns from all of `docs` and scores all of them."""
     known = vocabulary(docs)
-    return score(docs, known, train(docs, known))
+    rows = numbered(docs, known)
+    return _judged(rows, known, _learned(rows, known))

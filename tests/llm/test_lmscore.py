@@ -182,3 +182,42 @@ def test_slices_depend_on_the_learners_texts_alone(monkeypatch):
         assert found(cuts, rows) == whole
     assert found([5], [r for r in rows if r[0] == 3]) == [x for x in whole if x[0] == 3]
     assert found([], []) == []
+
+
+def test_texts_are_read_for_counts_and_for_numbers_alone(spark):
+    rows = [(k, f"the cat {k % 7} of the hat") for k in range(90)] + [(90, None), (91, " "), (None, "hat")]
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lmscore.scored(docs.mapInArrow(look, docs.schema)).count() == len(rows)
+    assert seen.value == 2 * len(rows)
+
+
+def test_numbers_are_those_of_the_texts(spark):
+    rows = [(1, "the cat of the hat"), (None, "The  HAT "), (3, None), (4, ""), (5, " \n"), (5, "zz"), (5, "zz")]
+    known = lmscore.vocabulary(spark.createDataFrame(rows[:2], "doc_id long, text string"))
+    table = lmscore.numbered(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+    expected = []
+    for d, text in rows:
+        twig, n = known.of(*numbers(text or "")[:2])
+        share = (np.log(np.maximum(n, 0) + 0.5) - np.log(known.sums[twig])).sum()
+        expected.append((-1 if d is None else d, len((text or "").encode()), tuple(twig), len(twig), round(share, 6), int((n == 1).sum())))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.size, tuple(np.frombuffer(r.twigs, known.kind)), r.n_tokens, round(r.share, 6), r.once) for r in table]
+    assert sorted(got) == sorted(expected) and len({r.row for r in table}) == len(rows) and not any(r.rest for r in table)
+
+
+def test_sums_of_runs(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50, 3)).astype(np.float32)
+    for run in (2, 3, 24):
+        monkeypatch.setattr(lmscore, "RUN", run)
+        for count in ([1], [700], [1, 1, 1], [24, 25, 1, 48, 577, 2], rng.integers(1, 90, 200)):
+            at = rng.integers(0, 50, int(np.sum(count)))
+            expected = np.add.reduceat(x[at].astype(float), np.cumsum(count) - count, axis=0)
+            assert np.allclose(lmscore.run_sums(x, at, np.array(count)), expected, atol=1e-3)
+    assert lmscore.run_sums(x, np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (0, 3)
